@@ -48,23 +48,9 @@ def cut_cell(text: Column, width: int) -> Column:
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width), F.lit("..."))).otherwise(text)
 
 
-def _from(items: Column, start: Column | int) -> Column:
-    return F.slice(items, F.lit(start) if isinstance(start, int) else start, F.greatest(F.size(items), F.lit(1)))
-
-
-def pipe_lines(text: Column) -> Column:
-    """Lines of the first pipe table of a text: from the first row to the next blank line."""
-    lines = F.transform(F.split(strip(text), "\n"), strip)
-
-    def is_row(line: Column) -> Column:
-        return line.contains("|") & ~line.rlike(RULE_LINE)
-
-    kinds = F.transform(lines, lambda x: F.when(is_row(x), "row").when(x == "", "blank").otherwise("other"))
-    start = F.array_position(kinds, "row").cast("int")
-    stop = F.array_position(_from(kinds, F.greatest(start, F.lit(1))), "blank").cast("int")
-    tail = _from(lines, F.greatest(start, F.lit(1)))
-    body = F.when(stop > 0, F.slice(tail, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(tail)
-    return F.when(start > 0, F.filter(body, is_row)).otherwise(F.array().cast("array<string>"))
+def is_pipe_row(line: Column) -> Column:
+    """Whether a stripped line is a row of a pipe table and not a rule."""
+    return line.contains("|") & ~line.rlike(RULE_LINE)
 
 
 def pipe_cells(line: Column) -> Column:
@@ -72,25 +58,29 @@ def pipe_cells(line: Column) -> Column:
     return F.filter(F.transform(F.split(line, "\\|"), strip), lambda c: c != "")
 
 
-_OUTSIDE_QUOTES = r'(?=(?:[^"]*"[^"]*")*[^"]*\z)'
-
-
 def csv_after_marker(text: Column) -> Column:
     """Text behind the row-count line of a tool answer, where its CSV starts; NULL when there is none."""
     return F.when(text.rlike(CSV_AFTER), strip(F.regexp_extract(text, CSV_AFTER, 1)))
 
 
-def csv_lines(text: Column) -> Column:
-    """Non-blank CSV records; a line end inside quotes does not split."""
-    return F.filter(F.split(text, r"\r?\n" + _OUTSIDE_QUOTES), lambda line: strip(line) != "")
+_RECORD, _FIELD = "\u001e", "\u001f"
+
+
+def csv_records(text: Column) -> Column:
+    """CSV records; line ends and commas count only outside quotes, in every second piece between quote marks."""
+    pieces = F.transform(
+        F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), '"'),
+        lambda piece, i: F.when(i % 2 == 0, F.translate(piece, "\n,", _RECORD + _FIELD)).otherwise(piece),
+    )
+    return F.filter(F.split(F.array_join(pieces, '"'), _RECORD), lambda line: strip(line) != "")
 
 
-def csv_cells(line: Column) -> Column:
-    """Fields of one CSV record, unquoted."""
+def csv_cells(record: Column) -> Column:
+    """Fields of one record, unquoted."""
     return F.transform(
-        F.split(line, "," + _OUTSIDE_QUOTES),
+        F.split(record, _FIELD),
         lambda cell: F.when(
             cell.rlike(r'(?s)^".*"\z'),
-            F.replace(F.regexp_extract(cell, r'(?s)^"(.*)"\z', 1), F.lit('""'), F.lit('"')),
+            F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"')),
         ).otherwise(cell),
     )

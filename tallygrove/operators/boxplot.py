@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import WHISKER_REACH
-from .joins import join_null_safe
 from .quantiles import count_values, quantiles_of_counts
 
 
@@ -16,17 +15,14 @@ def box_figures(df: DataFrame, keys: list[str], value: str = "value_as_number",
     Values are counted once; quartiles and whiskers both read that smaller table.
     """
     counted = count_values(df, keys, value)
-    quartiles = quantiles_of_counts(counted, keys, [0.25, 0.5, 0.75], "linear", method).select(
-        *keys,
-        F.col("quantiles")[0].alias("q1"),
-        F.col("quantiles")[1].alias("median"),
-        F.col("quantiles")[2].alias("q3"),
+    quartiles = quantiles_of_counts(counted, [0.25, 0.5, 0.75], "linear", method).selectExpr(
+        "g", "quantiles[0] AS q1", "quantiles[1] AS median", "quantiles[2] AS q3"
     )
     reach = (F.col("q3") - F.col("q1")) * WHISKER_REACH
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        join_null_safe(counted, quartiles, keys)
-        .groupBy(*keys)
+        counted.join(quartiles, "g")
+        .groupBy("g")
         .agg(
             F.sum("count").alias("n"),
             F.max("q1").alias("q1"),
@@ -37,7 +33,11 @@ def box_figures(df: DataFrame, keys: list[str], value: str = "value_as_number",
             F.coalesce(F.sum(F.when(~inside, F.col("count"))), F.lit(0)).alias("outliers"),
             F.max("value").alias("y"),
         )
-        .withColumn("label", F.concat(F.lit("N = "), F.col("n").cast("string")))
+        .select(
+            *[F.col(f"g.{k}").alias(k) for k in keys],
+            "n", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers", "y",
+            F.concat(F.lit("N = "), F.col("n").cast("string")).alias("label"),
+        )
     )
 
 

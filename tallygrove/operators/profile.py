@@ -82,12 +82,12 @@ def column_profile(
         distinct = (
             df.select(F.inline(cells))
             .where(F.col("text").isNotNull())
-            .groupBy("column", "text", "value")
+            .groupBy(F.struct("column").alias("g"), "text", "value")
             .agg(F.count(F.lit(1)).alias("count"))
         )
-        n_distinct = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
-        counted = distinct.where(F.col("value").isNotNull()).select("column", "value", "count")
-        quartiles = quantiles_of_counts(counted, ["column"], [0.25, 0.5, 0.75], max_groups=len(columns)).drop("n")
+        n_distinct = distinct.groupBy("g.column").agg(F.count(F.lit(1)).alias("n_distinct"))
+        counted = distinct.where(F.col("value").isNotNull()).select("g", "value", "count")
+        quartiles = quantiles_of_counts(counted, [0.25, 0.5, 0.75], max_groups=len(columns)).select("g.column", "quantiles")
         result = _single_pass(df, sketches=False).join(n_distinct, "column", "left").join(quartiles, "column", "left")
     return result.select(
         "column", "n", "missing",

@@ -14,113 +14,106 @@ Three ways, chosen by the caller:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import join_null_safe
-
-_COARSE = 16
-_FINE = 16
-_SKETCH_ACCURACY = 2000
+_COARSE = 8
+_FINE = 8
+_SKETCH_ACCURACY = 1000
 _BROADCAST_GROUPS = 2000
 
 
 def count_values(df: DataFrame, keys: list[str], value: str | Column) -> DataFrame:
-    """Rows per (keys, value), missing values left out. Combined before the shuffle, and a hot group spreads by value."""
+    """Rows per group and value, missing values left out, as ``g`` (the keys), ``value`` and ``count``.
+
+    Rows are combined before the shuffle, and a hot group spreads by value. The keys travel as one
+    struct: structs with missing fields equal each other, so later joins on ``g`` are plain equi-joins.
+    """
     column = F.col(value) if isinstance(value, str) else value
-    valued = df.select(*keys, column.cast("double").alias("value")).where(F.col("value").isNotNull())
-    return valued.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("count"))
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    valued = df.select(group.alias("g"), column.cast("double").alias("value")).where(F.col("value").isNotNull())
+    return valued.groupBy("g", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _exact(
-    counted: DataFrame, keys: list[str], probs: list[float], interpolation: str, max_groups: int | None
-) -> DataFrame:
-    steps = _COARSE * _FINE
+def _terms(parts: list[str]) -> str:
+    return " + ".join(f"cast(value > {p} AS INT)" for p in parts)
+
+
+def _positions(p: float, interpolation: str) -> tuple[str, str, str]:
+    """Ranks from 0 of the two values around a quantile and the share of the upper one."""
+    if interpolation == "linear":
+        at = f"({float(p)}D * (n - 1))"
+        return f"floor({at})", f"ceil({at})", f"({at} - floor({at}))"
+    rank = f"(greatest(ceil({float(p)}D * n), 1) - 1)"
+    return rank, rank, "0D"
+
+
+def _exact(counted: DataFrame, probs: list[float], interpolation: str, max_groups: int | None) -> DataFrame:
     # Group tables hold at most a few kilobytes per group; they are broadcast only for a proven number of groups.
     small = F.broadcast if max_groups is not None and max_groups <= _BROADCAST_GROUPS else (lambda df: df)
-    bounds = counted.groupBy(*keys).agg(
-        F.percentile_approx("value", [i / steps for i in range(steps)], _SKETCH_ACCURACY).alias("__bounds")
+    steps = _COARSE * _FINE
+    shares = ", ".join(f"{i / steps}D" for i in range(steps))
+    # The row count also keeps this branch on the same shuffle of counted values as the others.
+    bounds = counted.groupBy("g").agg(
+        F.expr(f"percentile_approx(value, array({shares}), {_SKETCH_ACCURACY})").alias("bounds"),
+        F.sum("count").alias("n"),
     )
-    bounded = join_null_safe(counted, small(bounds), keys)
-
     # A coarse and a fine step of plain comparisons keep the search inside generated code.
-    def above(index: Column | int) -> Column:
-        return (F.col("value") > F.col("__bounds")[index]).cast("int")
-
-    bounded = bounded.withColumn("__coarse", sum((above(_FINE * i) for i in range(1, _COARSE)), F.lit(0)))
-    fine = sum((above(F.col("__coarse") * _FINE + j) for j in range(_FINE)), F.lit(0))
-    bucketed = bounded.select(*keys, "value", "count", (F.col("__coarse") * (_FINE + 1) + fine).alias("__bucket"))
-
-    # At most a few hundred bucket rows per group from here on.
-    totals = bucketed.groupBy(*keys, "__bucket").agg(F.sum("count").alias("__rows"))
-    ordered = Window.partitionBy(*keys).orderBy("__bucket")
-    totals = totals.select(
-        *keys,
-        "__bucket",
-        "__rows",
-        (F.sum("__rows").over(ordered) - F.col("__rows")).alias("__before"),
-        F.sum("__rows").over(Window.partitionBy(*keys)).alias("n"),
+    # Buckets are never missing; saying so spares a null filter that would copy the whole search.
+    coarse = f"coalesce({_terms([f'bounds[{_FINE * i}]' for i in range(1, _COARSE)])}, 0)"
+    fine = _terms([f"bounds[coarse * {_FINE} + {j}]" for j in range(_FINE)])
+    bucketed = (
+        counted.join(small(bounds), "g")
+        .select("g", "value", "count", "n", "bounds", F.expr(coarse).alias("coarse"))
+        .select("g", "value", "count", "n", F.expr(f"coalesce(coarse * {_FINE + 1} + {fine}, 0)").alias("bucket"))
+    )
+
+    # A group has at most a hundred bucket rows, whatever its size.
+    ranks = [_positions(p, interpolation) for p in probs]
+    holds = " OR ".join(
+        f"({r} >= before AND {r} < before + in_bucket)" for r in dict.fromkeys(r for low, high, _ in ranks for r in (low, high))
+    )
+    needed = (
+        bucketed.groupBy("g", "bucket")
+        .agg(F.sum("count").alias("in_bucket"), F.max("n").alias("n"))
+        .withColumn("before", F.expr("sum(in_bucket) OVER (PARTITION BY g ORDER BY bucket) - in_bucket"))
+        .where(holds)
+        .select("g", "bucket", "before")
     )
+    inside = bucketed.join(small(needed), ["g", "bucket"])
+    running = "before + sum(count) OVER (PARTITION BY g, bucket ORDER BY value ROWS UNBOUNDED PRECEDING)"
+    inside = inside.select("g", "value", "count", "n", F.expr(running).alias("upto"))
 
-    def positions(p: float) -> tuple[Column, Column, Column]:
-        if interpolation == "linear":
-            at = F.lit(float(p)) * (F.col("n") - 1)
-            return F.floor(at), F.ceil(at), at - F.floor(at)
-        rank = F.greatest(F.ceil(F.lit(float(p)) * F.col("n")), F.lit(1)) - 1
-        return rank, rank, F.lit(0.0)
-
-    ranks = [positions(p) for p in probs]
-    wanted = [r for low, high, _ in ranks for r in (low, high)]
-    holds = F.lit(False)
-    for rank in wanted:
-        holds = holds | ((rank >= F.col("__before")) & (rank < F.col("__before") + F.col("__rows")))
-    needed = totals.where(holds).select(*keys, "__bucket", "__before", "n")
-
-    inside = join_null_safe(bucketed, small(needed), [*keys, "__bucket"])
-    running = Window.partitionBy(*keys, "__bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("__upto", F.col("__before") + F.sum("count").over(running))
-
-    def at_rank(rank: Column) -> Column:
-        covers = (rank < F.col("__upto")) & (rank >= F.col("__upto") - F.col("count"))
-        return F.max(F.when(covers, F.col("value")))
-
-    picked = inside.groupBy(*keys).agg(
+    def at(rank: str, name: str) -> Column:
+        return F.expr(f"max(value) FILTER (WHERE {rank} < upto AND {rank} >= upto - count)").alias(name)
+
+    picked = inside.groupBy("g").agg(
         F.max("n").alias("n"),
-        *[at_rank(low).alias(f"__low{i}") for i, (low, _, _) in enumerate(ranks)],
-        *[at_rank(high).alias(f"__high{i}") for i, (_, high, _) in enumerate(ranks)],
+        *[at(low, f"low{i}") for i, (low, _, _) in enumerate(ranks)],
+        *[at(high, f"high{i}") for i, (_, high, _) in enumerate(ranks)],
     )
-    values = [
-        (F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * share)
-        for i, (_, _, share) in enumerate(ranks)
-    ]
-    return picked.select(*keys, "n", F.array(*values).alias("quantiles"))
+    values = ", ".join(f"low{i} + (high{i} - low{i}) * {share}" for i, (_, _, share) in enumerate(ranks))
+    return picked.select("g", "n", F.expr(f"array({values})").alias("quantiles"))
 
 
 def quantiles_of_counts(
-    counted: DataFrame, keys: list[str], probs: list[float], interpolation: str = "linear", method: str = "exact",
+    counted: DataFrame, probs: list[float], interpolation: str = "linear", method: str = "exact",
     max_groups: int | None = None,
 ) -> DataFrame:
-    """Quantiles of ``count_values`` output: ``keys``, ``n`` and an array in the order of ``probs``.
+    """Quantiles of ``count_values`` output: ``g``, ``n`` and an array in the order of ``probs``.
 
     ``max_groups`` is a number of groups the caller can prove, such as the columns of a frame.
     """
     if interpolation not in ("linear", "discrete"):
         raise ValueError("interpolation is 'linear' or 'discrete'")
-    spare = [] if keys else ["__all"]
-    if spare:
-        max_groups = 1
-        counted = counted.withColumn("__all", F.lit(0))
-    by = keys or spare
     if method == "exact":
-        result = _exact(counted, by, list(probs), interpolation, max_groups)
-    elif method == "bounded":
-        if interpolation != "linear":
-            raise ValueError("the bounded way gives linear quantiles only")
-        chosen = F.percentile("value", [float(p) for p in probs], F.col("count"))
-        result = counted.groupBy(*by).agg(F.sum("count").alias("n"), chosen.alias("quantiles"))
-    else:
+        return _exact(counted, list(probs), interpolation, max_groups)
+    if method != "bounded":
         raise ValueError("method is 'exact' or 'bounded'")
-    return result.drop(*spare)
+    if interpolation != "linear":
+        raise ValueError("the bounded way gives linear quantiles only")
+    chosen = F.percentile("value", [float(p) for p in probs], F.col("count"))
+    return counted.groupBy("g").agg(F.sum("count").alias("n"), chosen.alias("quantiles"))
 
 
 def group_quantiles(
@@ -131,6 +124,7 @@ def group_quantiles(
     interpolation: str = "linear",
     method: str = "exact",
     accuracy: int = 10000,
+    max_groups: int | None = None,
 ) -> DataFrame:
     """Quantiles of a column by group; groups without any value do not appear."""
     if method == "approx":
@@ -139,4 +133,6 @@ def group_quantiles(
             F.count(F.lit(1)).alias("n"),
             F.percentile_approx(F.col(value).cast("double"), list(probs), accuracy).alias("quantiles"),
         )
-    return quantiles_of_counts(count_values(df, keys, value), keys, probs, interpolation, method)
+    counted = count_values(df, keys, value)
+    found = quantiles_of_counts(counted, probs, interpolation, method, max_groups if keys else 1)
+    return found.select(*[F.col(f"g.{k}").alias(k) for k in keys], "n", "quantiles")

@@ -2,50 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import csv_after_marker, csv_cells, csv_lines, pipe_cells, pipe_lines, sql_block
+from ..functions.text import csv_after_marker, csv_cells, csv_records, is_pipe_row, pipe_cells, sql_block, strip
 
 
 def extract_sql(texts: DataFrame, text: str, name: str = "sql") -> DataFrame:
     return texts.withColumn(name, sql_block(F.col(text)))
 
 
+def _bind(df: DataFrame, **values: Column) -> DataFrame:
+    """Columns computed once per row: without the generator, projections merge and repeat the array work."""
+    for name, value in values.items():
+        df = df.select("*", F.explode_outer(F.array(value)).alias(name))
+    return df
+
+
 def table_cells(texts: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Cells of the table in each text, one row per (row, column): a pipe table, else CSV after the row-count line.
 
-    Rows whose cell count differs from the header's fall out of a pipe table. A CSV part with a record
-    longer than its header is no table; a shorter record is filled with missing values. Each text is
-    taken apart in its own row, so nothing is shuffled.
+    A pipe table runs from its first row to the next blank line; rows whose cell count differs from the
+    header's fall out. A CSV part with a record longer than its header is no table; a shorter record is
+    filled with missing values. Each text is taken apart in its own row, so nothing is shuffled.
     """
-    lines = texts.select(*keys, pipe_lines(F.col(text)).alias("__pipe"), csv_after_marker(F.col(text)).alias("__csv"))
-    split = lines.select(
-        *keys,
-        F.transform("__pipe", pipe_cells).alias("__pipe"),
-        F.transform(csv_lines(F.col("__csv")), csv_cells).alias("__csv"),
+    source = F.col(text)
+    start = texts.where(source.contains("|") | source.contains("rows returned")).select(*keys, source.alias("text"))
+    lined = _bind(start, lines=F.transform(F.split(strip(F.col("text")), "\n"), strip))
+    kinds = F.transform(
+        "lines", lambda x: F.when(is_pipe_row(x), "row").when(x == "", "blank").otherwise("other")
     )
-
-    def body(rows: str):
-        return F.slice(F.col(rows), F.lit(2), F.greatest(F.size(rows), F.lit(1)))
-
-    def header(rows: str):
-        return F.get(F.col(rows), F.lit(0))
-
-    piped = split.select(
-        "*",
-        header("__pipe").alias("__head"),
-        F.filter(body("__pipe"), lambda r: F.size(r) == F.size(header("__pipe"))).alias("__rows"),
+    lined = _bind(lined, kinds=kinds)
+    lined = _bind(lined, first=F.array_position("kinds", "row").cast("int"))
+    rest = F.filter(
+        F.arrays_zip("lines", "kinds"), lambda x, i: (i + 1 >= F.col("first")) & (F.col("first") > 0)
     )
-    use_pipe = F.coalesce(F.size("__rows") > 0, F.lit(False))
-    whole_csv = F.coalesce(F.forall(body("__csv"), lambda r: F.size(r) <= F.size(header("__csv"))), F.lit(False))
-    chosen = piped.select(
+    lined = _bind(lined, rest=rest)
+    lined = _bind(lined, end=F.array_position("rest.kinds", "blank").cast("int"))
+    piped = F.filter("rest", lambda x, i: (x["kinds"] == "row") & ((F.col("end") == 0) | (i + 1 < F.col("end"))))
+    cells = _bind(lined, pipe=F.transform(piped, lambda x: pipe_cells(x["lines"]))).select(*keys, "text", "pipe")
+    cells = _bind(cells, width=F.size(F.get("pipe", F.lit(0))))
+    fitting = F.filter("pipe", lambda r, i: (i > 0) & (F.size(r) == F.col("width")))
+    cells = _bind(cells, fitting=fitting)
+    # The CSV part is only looked for in texts without a pipe table.
+    csv = F.when(F.size("fitting") <= 0, csv_after_marker(F.col("text")))
+    cells = _bind(cells, csv=F.transform(csv_records(csv), csv_cells))
+    cells = _bind(cells, csv_width=F.size(F.get("csv", F.lit(0))))
+    whole = F.forall("csv", lambda r: F.size(r) <= F.col("csv_width"))
+    chosen = cells.select(
         *keys,
-        F.when(use_pipe, F.col("__head")).when(whole_csv, header("__csv")).alias("__head"),
-        F.when(use_pipe, F.col("__rows")).when(whole_csv, body("__csv")).alias("__rows"),
+        F.when(F.size("fitting") > 0, F.get("pipe", F.lit(0))).otherwise(F.get("csv", F.lit(0))).alias("head"),
+        F.when(F.size("fitting") > 0, F.col("fitting"))
+        .when(whole, F.filter("csv", lambda r, i: i > 0))
+        .alias("rows"),
     )
-    rows = chosen.select(*keys, "__head", F.posexplode("__rows").alias("row_no", "__cells"))
-    cells = rows.select(
-        *keys, "row_no", F.posexplode(F.arrays_zip(F.col("__head").alias("name"), F.col("__cells").alias("value"))).alias("column_no", "c")
+    rows = chosen.select(*keys, "head", F.posexplode("rows").alias("row_no", "cells"))
+    pairs = F.arrays_zip(F.col("head").alias("name"), F.col("cells").alias("value"))
+    return rows.select(*keys, "row_no", F.posexplode(pairs).alias("column_no", "c")).select(
+        *keys, "row_no", "column_no", F.col("c.name").alias("column_name"), F.col("c.value").alias("value")
     )
-    return cells.select(*keys, "row_no", "column_no", F.col("c.name").alias("column_name"), F.col("c.value").alias("value"))

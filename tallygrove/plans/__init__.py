@@ -25,6 +25,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import cohorts, measurements  # noqa: F401
+    from . import cohorts, demographics, frames, measurements, texts  # noqa: F401
 
     return QUERIES, ORACLES
