@@ -33,7 +33,9 @@ CONFIG_SCHEMA = (
 MAPPING_SCHEMA = "dataCollectionUuid STRING, cdrEnv STRING, accessTier STRING"
 
 
-def read_documents(spark: SparkSession, path: str, recursive: bool = True, lines: bool = False) -> DataFrame:
+def read_documents(
+    spark: SparkSession, path: str, recursive: bool = True, lines: bool = False, pattern: str = "*.json"
+) -> DataFrame:
     """JSON documents below a folder, local or remote, with their file path; unreadable ones are skipped.
 
     ``lines`` reads files that hold one document per line and can be split between tasks.
@@ -43,7 +45,7 @@ def read_documents(spark: SparkSession, path: str, recursive: bool = True, lines
         spark.read.schema(schema)
         .option("multiLine", not lines)
         .option("recursiveFileLookup", recursive)
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", pattern)
         .option("mode", "PERMISSIVE")
         .json(path)
     )
