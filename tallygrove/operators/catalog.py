@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DOCUMENT_KIND, MAPPING_IDENTITY, SENSITIVE_LABELS, TYPE_DEFAULT, TYPE_NAMES
+from ..functions.once import once
 from ..functions.paths import last_part
 
 
@@ -41,8 +42,8 @@ def _with_url(items: Column, url: str) -> Column:
 
 def _sub(items: Column, url: str, part: str) -> Column:
     """Named parts of all extensions of a URL."""
-    nested = F.transform(_with_url(items, url), lambda e: F.coalesce(e["extension"], F.filter(e["extension"], lambda _: F.lit(False))))
-    return F.filter(F.flatten(F.filter(nested, lambda n: n.isNotNull())), lambda s: s["url"] == part)
+    nested = F.transform(F.filter(items, lambda e: e["url"].endswith(url) & e["extension"].isNotNull()), lambda e: e["extension"])
+    return F.filter(F.flatten(nested), lambda s: s["url"] == part)
 
 
 def extension_value(items: Column, url: str) -> Column:
@@ -112,8 +113,7 @@ def parse_tables(documents: DataFrame, words: Vocabulary = DEFAULT_VOCABULARY) -
     name = _first(_sub(F.col("extension"), words.table_name, "table-name"))["valueString"]
     security = F.filter(F.col("meta.security"), lambda s: s["system"].contains("Confidentiality"))
     parsed = (
-        documents.where(F.col("resourceType") == DOCUMENT_KIND)
-        .withColumn("table_name", _text(name))
+        once(documents.where(F.col("resourceType") == DOCUMENT_KIND), table_name=_text(name))
         .where(F.col("table_name").isNotNull())
         .select(
             "table_name",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import once
 from ..functions.text import csv_after_marker, csv_cells, csv_records, is_pipe_row, pipe_cells, sql_block, strip
 
 
@@ -12,13 +13,6 @@ def extract_sql(texts: DataFrame, text: str, name: str = "sql") -> DataFrame:
     return texts.withColumn(name, sql_block(F.col(text)))
 
 
-def _bind(df: DataFrame, **values: Column) -> DataFrame:
-    """Columns computed once per row: without the generator, projections merge and repeat the array work."""
-    for name, value in values.items():
-        df = df.select("*", F.explode_outer(F.array(value)).alias(name))
-    return df
-
-
 def table_cells(texts: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Cells of the table in each text, one row per (row, column): a pipe table, else CSV after the row-count line.
 
@@ -28,26 +22,26 @@ def table_cells(texts: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """
     source = F.col(text)
     start = texts.where(source.contains("|") | source.contains("rows returned")).select(*keys, source.alias("text"))
-    lined = _bind(start, lines=F.transform(F.split(strip(F.col("text")), "\n"), strip))
+    lined = once(start, lines=F.transform(F.split(strip(F.col("text")), "\n"), strip))
     kinds = F.transform(
         "lines", lambda x: F.when(is_pipe_row(x), "row").when(x == "", "blank").otherwise("other")
     )
-    lined = _bind(lined, kinds=kinds)
-    lined = _bind(lined, first=F.array_position("kinds", "row").cast("int"))
+    lined = once(lined, kinds=kinds)
+    lined = once(lined, first=F.array_position("kinds", "row").cast("int"))
     rest = F.filter(
         F.arrays_zip("lines", "kinds"), lambda x, i: (i + 1 >= F.col("first")) & (F.col("first") > 0)
     )
-    lined = _bind(lined, rest=rest)
-    lined = _bind(lined, end=F.array_position("rest.kinds", "blank").cast("int"))
+    lined = once(lined, rest=rest)
+    lined = once(lined, end=F.array_position("rest.kinds", "blank").cast("int"))
     piped = F.filter("rest", lambda x, i: (x["kinds"] == "row") & ((F.col("end") == 0) | (i + 1 < F.col("end"))))
-    cells = _bind(lined, pipe=F.transform(piped, lambda x: pipe_cells(x["lines"]))).select(*keys, "text", "pipe")
-    cells = _bind(cells, width=F.size(F.get("pipe", F.lit(0))))
+    cells = once(lined, pipe=F.transform(piped, lambda x: pipe_cells(x["lines"]))).select(*keys, "text", "pipe")
+    cells = once(cells, width=F.size(F.get("pipe", F.lit(0))))
     fitting = F.filter("pipe", lambda r, i: (i > 0) & (F.size(r) == F.col("width")))
-    cells = _bind(cells, fitting=fitting)
+    cells = once(cells, fitting=fitting)
     # The CSV part is only looked for in texts without a pipe table.
     csv = F.when(F.size("fitting") <= 0, csv_after_marker(F.col("text")))
-    cells = _bind(cells, csv=F.transform(csv_records(csv), csv_cells))
-    cells = _bind(cells, csv_width=F.size(F.get("csv", F.lit(0))))
+    cells = once(cells, csv=F.transform(csv_records(csv), csv_cells))
+    cells = once(cells, csv_width=F.size(F.get("csv", F.lit(0))))
     whole = F.forall("csv", lambda r: F.size(r) <= F.col("csv_width"))
     chosen = cells.select(
         *keys,

@@ -25,6 +25,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import catalogs, cohorts, demographics, frames, measurements, texts  # noqa: F401
+    from . import catalogs, cohorts, demographics, files, frames, measurements, streams, texts, versions  # noqa: F401
 
     return QUERIES, ORACLES

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import TYPE_NAMES
+from ..functions.once import once
 from ..operators import catalog as c
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources import documents as d
 from ..sources import tables as st
 from . import query
@@ -134,7 +135,7 @@ def document_texts(spark, sf_dir) -> DataFrame:
         contexts.alias("useContext"),
         F.struct(F.concat(root, columns).alias("element")).alias("differential"),
     )
-    return parts.select(F.to_json(document).alias("text"), F.lpad(k.cast("string"), 12, "0").alias("path"))
+    return once(parts, text=F.to_json(document)).select("text", F.lpad(k.cast("string"), 12, "0").alias("path"))
 
 
 def _tables(spark, sf_dir) -> DataFrame:
@@ -210,11 +211,11 @@ def catalog_columns(spark, sf_dir):
 
 @query("catalog_links", f"WITH {_DOCS_SQL} SELECT * FROM links")
 def catalog_links(spark, sf_dir):
-    return c.catalog_links(_tables(spark, sf_dir))
+    return c.catalog_links(stored(_tables(spark, sf_dir).drop("columns")))
 
 
 def _with_targets(spark, sf_dir):
-    tables = _tables(spark, sf_dir)
+    tables = stored(_tables(spark, sf_dir))
     return c.with_targets(tables, c.catalog_links(tables))
 
 
@@ -300,7 +301,7 @@ def catalog_resolve(spark, sf_dir):
     f"WITH {_DOCS_SQL} SELECT full_name AS table_name, p_name AS title, primary_key FROM named JOIN tabs USING (table_name)",
 )
 def resolved_tables(spark, sf_dir):
-    tables = _tables(spark, sf_dir)
+    tables = stored(_tables(spark, sf_dir))
     return c.resolve_tables(tables, c.resolve_names(tables, _listing(spark, sf_dir))).select("table_name", "title", "primary_key")
 
 
@@ -310,7 +311,7 @@ def resolved_tables(spark, sf_dir):
         FROM links JOIN named AS s ON s.table_name = links.table_name LEFT JOIN named AS g ON g.table_name = links.target_table""",
 )
 def resolved_links(spark, sf_dir):
-    tables = _tables(spark, sf_dir)
+    tables = stored(_tables(spark, sf_dir))
     return c.resolve_links(c.catalog_links(tables), c.resolve_names(tables, _listing(spark, sf_dir)))
 
 
@@ -332,7 +333,7 @@ def _find_sql(name: str) -> str:
     f"WITH {_DOCS_SQL} {_find_sql('D2.t1')} UNION ALL {_find_sql('study.d2.T100')} UNION ALL {_find_sql('nosuch')}",
 )
 def find_table(spark, sf_dir):
-    tables = _tables(spark, sf_dir)
+    tables = stored(_tables(spark, sf_dir).select("table_name", "first_path"))
     found = None
     for name in ("D2.t1", "study.d2.T100", "nosuch"):
         hit = c.find_table(tables, name).withColumn("asked", F.lit(name))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import VERSION_PATHS
+from ..functions.once import once
 
 DOCUMENT_SCHEMA = """
 resourceType STRING, id STRING, url STRING, title STRING, description STRING, purpose STRING,
@@ -56,9 +57,10 @@ def read_documents(
 
 def parse_documents(texts: DataFrame, text: str, path: str) -> DataFrame:
     """The same from a column of JSON texts and a column that orders them."""
-    parsed = texts.select(
-        F.from_json(text, DOCUMENT_SCHEMA + ", _corrupt_record STRING", {"mode": "PERMISSIVE"}).alias("doc"),
-        F.col(path).alias("doc_path"),
+    schema = DOCUMENT_SCHEMA + ", _corrupt_record STRING"
+    parsed = once(
+        texts.select(F.col(text).alias("__text"), F.col(path).alias("doc_path")),
+        doc=F.from_json("__text", schema, {"mode": "PERMISSIVE"}),
     )
     kept = parsed.where(F.col("doc").isNotNull() & F.col("doc._corrupt_record").isNull())
     return kept.select("doc.*", "doc_path").drop("_corrupt_record")

@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, infer: bool = False) -> DataFrame:
-    """CSV with a header row. With a schema the files are read once; without one all columns are text unless asked."""
-    reader = spark.read.option("header", True)
+# Quotes are doubled inside quoted fields and blanks are kept, as other CSV tools write them.
+_FORM = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, infer: bool = False, multi_line: bool = True
+) -> DataFrame:
+    """CSV with a header row. With a schema the files are read once; without one all columns are text unless asked.
+
+    Fields may hold line ends. Where none does, ``multi_line=False`` lets one large file be split between tasks.
+    """
+    reader = spark.read.options(**_FORM).option("multiLine", multi_line)
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", infer).csv(path)
@@ -17,7 +26,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV part files with a header row each, without an index column or byte-order mark."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**_FORM).csv(path)
 
 
 def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
