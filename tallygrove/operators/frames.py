@@ -42,7 +42,7 @@ def preview_note(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total_rows")).withColumn("note", F.coalesce(note, F.lit("")))
 
 
-def last_lines(df: DataFrame, key: str, order: list[str], n: int = TAIL_LINES, salts: int = 64) -> DataFrame:
+def last_lines(df: DataFrame, key: str, order: list[str], n: int = TAIL_LINES, salts: int = 4096) -> DataFrame:
     """Last n rows per key, latest first by the order columns.
 
     Up to the pushed rank limit every task keeps only n rows per key before the shuffle. For a larger

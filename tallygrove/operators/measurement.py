@@ -155,9 +155,14 @@ def most_recent(
     measurement: DataFrame, person: DataFrame, concept: DataFrame, ext: DataFrame,
     measurement_concept_id, unit_concept_id, cohort: DataFrame | None = None, ordered: bool = True,
 ) -> DataFrame:
-    """The most recent row per person of one measurement and unit."""
-    rows = _of_interest(measurement, measurement_concept_id, unit_concept_id, cohort)
-    return _ordered(_with_person(latest_per_person(rows), person, concept, ext), ordered)
+    """The most recent row per person of one measurement and unit.
+
+    Rows are ranked before the cohort is applied: a cohort takes persons whole, so the result is the
+    same, and the join meets one row per person instead of all rows of a hot one.
+    """
+    rows = _of_interest(measurement, measurement_concept_id, unit_concept_id, None)
+    latest = in_cohort(latest_per_person(rows), cohort)
+    return _ordered(_with_person(latest, person, concept, ext), ordered)
 
 
 def first_concept(df: DataFrame, name: str, order: str) -> DataFrame:

@@ -17,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_COARSE = 8
-_FINE = 8
-_SKETCH_ACCURACY = 1000
+_COARSE = 16
+_FINE = 16
+_SKETCH_ACCURACY = 2000
 _BROADCAST_GROUPS = 2000
 
 
@@ -68,7 +68,7 @@ def _exact(counted: DataFrame, probs: list[float], interpolation: str, max_group
         .select("g", "value", "count", "n", F.expr(f"coalesce(coarse * {_FINE + 1} + {fine}, 0)").alias("bucket"))
     )
 
-    # A group has at most a hundred bucket rows, whatever its size.
+    # A group has at most a few hundred bucket rows, whatever its size.
     ranks = [_positions(p, interpolation) for p in probs]
     holds = " OR ".join(
         f"({r} >= before AND {r} < before + in_bucket)" for r in dict.fromkeys(r for low, high, _ in ranks for r in (low, high))
