@@ -16,7 +16,7 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header row. With a schema the files are read once; without one all columns are text unless asked.
 
-    Fields may hold line ends. Where none does, ``multi_line=False`` lets one large file be split between tasks.
+    An empty field is a missing value. Fields may hold line ends. Where none does, ``multi_line=False`` lets one large file be split between tasks.
     """
     reader = spark.read.options(**_FORM).option("multiLine", multi_line)
     if schema is not None:
