@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import WHISKER_REACH
+from ..session import stored
 from .quantiles import count_values, quantiles_of_counts
 
 
 def box_figures(df: DataFrame, keys: list[str], value: str = "value_as_number", method: str = "exact") -> DataFrame:
     """Quartiles, whiskers at the last values inside 1.5 interquartile ranges, outlier count, maximum and label.
 
-    Values are counted once; quartiles and whiskers both read that smaller table.
+    Values are counted once, and stored for the exact way; quartiles and whiskers both read that smaller table.
     """
     counted = count_values(df, keys, value)
+    if method == "exact":
+        counted = stored(counted)
     quartiles = quantiles_of_counts(counted, [0.25, 0.5, 0.75], "linear", method).selectExpr(
         "g", "quantiles[0] AS q1", "quantiles[1] AS median", "quantiles[2] AS q3"
     )

@@ -11,13 +11,8 @@ from ..constants import LIMITS, SMALL_CELL
 def count_with_total(df: DataFrame, keys: list[str], person: str | None = None) -> DataFrame:
     """Counts by group next to the grand total, which has missing keys and ``is_total`` set."""
     measure = F.count_distinct(person) if person else F.count(F.lit(1))
-    grouped = df.rollup(*keys).agg(measure.alias("n"), F.grouping_id(*keys).alias("__level"))
-    whole = 2 ** len(keys) - 1
-    return (
-        grouped.where(F.col("__level").isin(0, whole))
-        .withColumn("is_total", F.col("__level") == whole)
-        .drop("__level")
-    )
+    grouped = df.groupingSets([[F.col(k) for k in keys], []], *keys).agg(measure.alias("n"), F.grouping_id().alias("__level"))
+    return grouped.withColumn("is_total", F.col("__level") > 0).drop("__level")
 
 
 def top_values(df: DataFrame, key: str, k: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from ..constants import PROFILE_ROWS
+from ..session import stored
 from .quantiles import quantiles_of_counts
 
 _PLAIN = (NumericType, StringType, BooleanType, DateType, TimestampType, TimestampNTZType)
@@ -60,11 +61,12 @@ def column_profile(
     """One row per column: counts, distinct values, mean, deviation, least, quartiles, greatest.
 
     ``approx`` is a single pass that shuffles sketches only. ``exact`` also counts the values of all
-    columns as (column, value), so that its shuffles spread every column over all tasks.
+    columns as (column, value), which spreads every column over all tasks, and stores the counts.
     ``rows`` gives the short form on the first rows.
     """
     if rows is not None:
-        df = first_rows(df, order, rows)
+        # Stored, so that all figures see the same rows.
+        df = stored(first_rows(df, order, rows))
     if method == "approx":
         result = _single_pass(df, sketches=True)
     else:
@@ -85,9 +87,10 @@ def column_profile(
             .groupBy(F.struct("column").alias("g"), "text", "value")
             .agg(F.count(F.lit(1)).alias("count"))
         )
+        distinct = stored(distinct)
         n_distinct = distinct.groupBy("g.column").agg(F.count(F.lit(1)).alias("n_distinct"))
         counted = distinct.where(F.col("value").isNotNull()).select("g", "value", "count")
-        quartiles = quantiles_of_counts(counted, [0.25, 0.5, 0.75], max_groups=len(columns)).select("g.column", "quantiles")
+        quartiles = quantiles_of_counts(counted, [0.25, 0.5, 0.75]).select("g.column", "quantiles")
         result = _single_pass(df, sketches=False).join(n_distinct, "column", "left").join(quartiles, "column", "left")
     return result.select(
         "column", "n", "missing",

@@ -3,11 +3,12 @@
 Three ways, chosen by the caller:
 
 ``exact``
-    Bucket the counted values of each group, find the few buckets that hold a wanted rank, and rank
-    only inside those. No task ever holds a whole group, so a group with a third of all rows is fine.
+    Count and store the values of each group. Groups of few distinct values are taken whole. For the
+    others, bucket the values, find the few buckets that hold a wanted rank, and rank only inside
+    those. No task ever holds a large group, so a group with a third of all rows is fine.
 ``bounded``
-    The built-in ``percentile`` over counted values. It holds a group's distinct values in memory;
-    use it for values that take few distinct figures, such as ages or scores.
+    Every group taken whole, without the check of its size: for values that take few distinct
+    figures, such as ages or scores.
 ``approx``
     ``percentile_approx``: one pass, mergeable sketches, a set relative rank error.
 """
@@ -17,10 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 _COARSE = 16
 _FINE = 16
-_SKETCH_ACCURACY = 2000
+_SKETCH_SIZE = 1000
 _BROADCAST_GROUPS = 2000
+_SMALL_GROUP = 1000
 
 
 def count_values(df: DataFrame, keys: list[str], value: str | Column) -> DataFrame:
@@ -48,72 +52,102 @@ def _positions(p: float, interpolation: str) -> tuple[str, str, str]:
     return rank, rank, "0D"
 
 
-def _exact(counted: DataFrame, probs: list[float], interpolation: str, max_groups: int | None) -> DataFrame:
-    # Group tables hold at most a few kilobytes per group; they are broadcast only for a proven number of groups.
-    small = F.broadcast if max_groups is not None and max_groups <= _BROADCAST_GROUPS else (lambda df: df)
-    steps = _COARSE * _FINE
-    shares = ", ".join(f"{i / steps}D" for i in range(steps))
-    # The row count also keeps this branch on the same shuffle of counted values as the others.
-    bounds = counted.groupBy("g").agg(
-        F.expr(f"percentile_approx(value, array({shares}), {_SKETCH_ACCURACY})").alias("bounds"),
-        F.sum("count").alias("n"),
+def _picked(running: DataFrame, ranks: list[tuple[str, str, str]]) -> DataFrame:
+    """Quantiles from rows of (g, value, count, n, upto), where upto counts the group's rows up to the value."""
+
+    def at(rank: str, name: str) -> Column:
+        return F.expr(f"max(value) FILTER (WHERE {rank} < upto AND {rank} >= upto - count)").alias(name)
+
+    picked = running.groupBy("g").agg(
+        F.max("n").alias("n"),
+        *[at(low, f"low{i}") for i, (low, _, _) in enumerate(ranks)],
+        *[at(high, f"high{i}") for i, (_, high, _) in enumerate(ranks)],
     )
+    values = ", ".join(f"low{i} + (high{i} - low{i}) * {share}" for i, (_, _, share) in enumerate(ranks))
+    return picked.select("g", "n", F.expr(f"array({values})").alias("quantiles"))
+
+
+def _of_small_groups(counted: DataFrame, probs: list[float], interpolation: str) -> DataFrame:
+    """Groups known to have few distinct values, each taken whole."""
+    if interpolation == "linear":
+        chosen = F.percentile("value", [float(p) for p in probs], F.col("count"))
+        return counted.groupBy("g").agg(F.sum("count").alias("n"), chosen.alias("quantiles"))
+    running = counted.select(
+        "*",
+        F.expr("sum(count) OVER (PARTITION BY g)").alias("n"),
+        F.expr("sum(count) OVER (PARTITION BY g ORDER BY value ROWS UNBOUNDED PRECEDING)").alias("upto"),
+    )
+    return _picked(running, [_positions(p, interpolation) for p in probs])
+
+
+def _of_large_groups(bounded: DataFrame, small, probs: list[float], interpolation: str) -> DataFrame:
+    """Groups of any size: find the buckets that hold a wanted rank, rank only inside them."""
     # A coarse and a fine step of plain comparisons keep the search inside generated code.
     # Buckets are never missing; saying so spares a null filter that would copy the whole search.
     coarse = f"coalesce({_terms([f'bounds[{_FINE * i}]' for i in range(1, _COARSE)])}, 0)"
     fine = _terms([f"bounds[coarse * {_FINE} + {j}]" for j in range(_FINE)])
-    bucketed = (
-        counted.join(small(bounds), "g")
-        .select("g", "value", "count", "n", "bounds", F.expr(coarse).alias("coarse"))
-        .select("g", "value", "count", "n", F.expr(f"coalesce(coarse * {_FINE + 1} + {fine}, 0)").alias("bucket"))
+    bucketed = bounded.select("g", "value", "count", "n", "bounds", F.expr(coarse).alias("coarse")).select(
+        "g", "value", "count", "n", F.expr(f"coalesce(coarse * {_FINE + 1} + {fine}, 0)").alias("bucket")
     )
-
-    # A group has at most a few hundred bucket rows, whatever its size.
     ranks = [_positions(p, interpolation) for p in probs]
-    holds = " OR ".join(
-        f"({r} >= before AND {r} < before + in_bucket)" for r in dict.fromkeys(r for low, high, _ in ranks for r in (low, high))
-    )
+    wanted = dict.fromkeys(r for low, high, _ in ranks for r in (low, high))
+    # A group has at most a few hundred bucket rows, whatever its size.
     needed = (
         bucketed.groupBy("g", "bucket")
         .agg(F.sum("count").alias("in_bucket"), F.max("n").alias("n"))
         .withColumn("before", F.expr("sum(in_bucket) OVER (PARTITION BY g ORDER BY bucket) - in_bucket"))
-        .where(holds)
+        .where(" OR ".join(f"({r} >= before AND {r} < before + in_bucket)" for r in wanted))
         .select("g", "bucket", "before")
     )
-    inside = bucketed.join(small(needed), ["g", "bucket"])
     running = "before + sum(count) OVER (PARTITION BY g, bucket ORDER BY value ROWS UNBOUNDED PRECEDING)"
-    inside = inside.select("g", "value", "count", "n", F.expr(running).alias("upto"))
+    inside = bucketed.join(small(needed), ["g", "bucket"]).select("g", "value", "count", "n", F.expr(running).alias("upto"))
+    return _picked(inside, ranks)
 
-    def at(rank: str, name: str) -> Column:
-        return F.expr(f"max(value) FILTER (WHERE {rank} < upto AND {rank} >= upto - count)").alias(name)
 
-    picked = inside.groupBy("g").agg(
-        F.max("n").alias("n"),
-        *[at(low, f"low{i}") for i, (low, _, _) in enumerate(ranks)],
-        *[at(high, f"high{i}") for i, (_, high, _) in enumerate(ranks)],
+def _exact(counted: DataFrame, probs: list[float], interpolation: str) -> DataFrame:
+    """Large groups apart from small ones, by a stored table of the large ones.
+
+    The bounds come from a sketch whose figures depend on merge order. They are stored, so every later
+    step and every repeated task reads the same ones; the result is exact with any bounds.
+    """
+    steps = _COARSE * _FINE
+    shares = ", ".join(f"{i / steps}D" for i in range(steps))
+    large = stored(
+        counted.groupBy("g")
+        .agg(
+            F.count(F.lit(1)).alias("values"),
+            F.sum("count").alias("n"),
+            F.expr(f"kll_sketch_agg_double(value, {_SKETCH_SIZE})").alias("sketch"),
+        )
+        .where(F.col("values") > _SMALL_GROUP)
+        .select("g", "n", F.expr(f"kll_sketch_get_quantile_double(sketch, array({shares}))").alias("bounds"))
+    )
+    groups = large.count()
+    if groups == 0:
+        return _of_small_groups(counted, probs, interpolation)
+    # Broadcast a counted number of groups of two kilobytes each; beyond it the joins shuffle.
+    small = F.broadcast if groups <= _BROADCAST_GROUPS else (lambda df: df)
+    few = counted.join(small(large.select("g")), "g", "left_anti")
+    many = counted.join(small(large), "g")
+    return _of_small_groups(few, probs, interpolation).unionByName(
+        _of_large_groups(many, small, probs, interpolation)
     )
-    values = ", ".join(f"low{i} + (high{i} - low{i}) * {share}" for i, (_, _, share) in enumerate(ranks))
-    return picked.select("g", "n", F.expr(f"array({values})").alias("quantiles"))
 
 
 def quantiles_of_counts(
-    counted: DataFrame, probs: list[float], interpolation: str = "linear", method: str = "exact",
-    max_groups: int | None = None,
+    counted: DataFrame, probs: list[float], interpolation: str = "linear", method: str = "exact"
 ) -> DataFrame:
     """Quantiles of ``count_values`` output: ``g``, ``n`` and an array in the order of ``probs``.
 
-    ``max_groups`` is a number of groups the caller can prove, such as the columns of a frame.
+    The exact way reads its input several times: give it a stored frame.
     """
     if interpolation not in ("linear", "discrete"):
         raise ValueError("interpolation is 'linear' or 'discrete'")
     if method == "exact":
-        return _exact(counted, list(probs), interpolation, max_groups)
+        return _exact(counted, list(probs), interpolation)
     if method != "bounded":
         raise ValueError("method is 'exact' or 'bounded'")
-    if interpolation != "linear":
-        raise ValueError("the bounded way gives linear quantiles only")
-    chosen = F.percentile("value", [float(p) for p in probs], F.col("count"))
-    return counted.groupBy("g").agg(F.sum("count").alias("n"), chosen.alias("quantiles"))
+    return _of_small_groups(counted, list(probs), interpolation)
 
 
 def group_quantiles(
@@ -124,9 +158,11 @@ def group_quantiles(
     interpolation: str = "linear",
     method: str = "exact",
     accuracy: int = 10000,
-    max_groups: int | None = None,
 ) -> DataFrame:
-    """Quantiles of a column by group; groups without any value do not appear."""
+    """Quantiles of a column by group; groups without any value do not appear.
+
+    The exact way counts values and stores the counts when called; the rest stays lazy.
+    """
     if method == "approx":
         valued = df.where(F.col(value).isNotNull())
         return valued.groupBy(*keys).agg(
@@ -134,5 +170,7 @@ def group_quantiles(
             F.percentile_approx(F.col(value).cast("double"), list(probs), accuracy).alias("quantiles"),
         )
     counted = count_values(df, keys, value)
-    found = quantiles_of_counts(counted, probs, interpolation, method, max_groups if keys else 1)
+    if method == "exact":
+        counted = stored(counted)
+    found = quantiles_of_counts(counted, probs, interpolation, method)
     return found.select(*[F.col(f"g.{k}").alias(k) for k in keys], "n", "quantiles")
