@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import (
+    BooleanType, ByteType, DateType, DoubleType, FloatType, IntegerType, NumericType, ShortType, StringType,
+    TimestampNTZType, TimestampType,
+)
 
 from ..constants import PROFILE_ROWS
 from ..session import stored
@@ -12,6 +15,8 @@ from .quantiles import quantiles_of_counts
 
 _PLAIN = (NumericType, StringType, BooleanType, DateType, TimestampType, TimestampNTZType)
 
+_IN_DOUBLE = (ByteType, ShortType, IntegerType, FloatType, DoubleType)
+
 
 def frame_shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)).cast("long"))
@@ -71,19 +76,21 @@ def column_profile(
         result = _single_pass(df, sketches=True)
     else:
         columns = _columns(df)
+        exact = {f.name for f in df.schema.fields if isinstance(f.dataType, _IN_DOUBLE)}
         cells = F.array(
             *[
                 F.struct(
                     F.lit(name).alias("column"),
-                    F.col(name).cast("string").alias("text"),
-                    (F.col(name).cast("double") if number else F.lit(None).cast("double")).alias("value"),
+                    # Numbers that a double holds exactly need no text to be told apart.
+                    (F.lit(None) if name in exact else F.col(name)).cast("string").alias("text"),
+                    (F.col(name) if number else F.lit(None)).cast("double").alias("value"),
                 )
                 for name, number in columns.items()
             ]
         )
         distinct = (
             df.select(F.inline(cells))
-            .where(F.col("text").isNotNull())
+            .where(F.col("text").isNotNull() | F.col("value").isNotNull())
             .groupBy(F.struct("column").alias("g"), "text", "value")
             .agg(F.count(F.lit(1)).alias("count"))
         )
