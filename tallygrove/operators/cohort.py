@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import id_prefix
 
 
-def define_cohort(table: DataFrame, condition: Column, key: str = "person_id") -> DataFrame:
+def define_cohort(table: DataFrame, condition: Column | str, key: str = "person_id") -> DataFrame:
     """Distinct keys of the rows that meet the condition."""
     return table.where(condition).select(key).distinct()
 

@@ -178,8 +178,9 @@ def plot_rows(
     sex: str | None = "sex_at_birth",
     value: str = "value_as_number",
     null_policy: str = "drop_unit",
+    age: str | None = None,
 ) -> DataFrame:
-    """Rows fit for plotting: one concept, matched units and sexes, no outliers.
+    """Rows fit for plotting: one concept, matched units and sexes, no outliers, and a known age if one is named.
 
     ``drop_unit`` drops missing units and keeps missing sexes; ``drop_sex`` does the reverse and also
     drops the word NULL among the units. Missing and outlying values always go.
@@ -198,6 +199,8 @@ def plot_rows(
             rows = rows.where(F.col(sex) != NO_MATCH)
     else:
         raise ValueError("null_policy is 'drop_unit' or 'drop_sex'")
+    if age:
+        rows = rows.where(F.col(age).isNotNull())
     return within_limit(rows, value)
 
 

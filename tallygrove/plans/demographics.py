@@ -150,7 +150,7 @@ def _plot_sql(where: str, keys: str) -> str:
 def _plotted(spark, sf_dir, keys, policy):
     rows = _named(spark, sf_dir)
     first = m.first_concept(rows, "standard_concept_name", "measurement_id")
-    kept = m.plot_rows(rows, first, null_policy=policy)
+    kept = m.plot_rows(rows, first, null_policy=policy, age="age")
     return kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("value_as_number").alias("y"))
 
 

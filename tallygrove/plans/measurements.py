@@ -61,8 +61,9 @@ def measurement_summary_cohort(spark, sf_dir):
     return _summary(spark, sf_dir, _building(spark, sf_dir), method="exact", interpolation="discrete")
 
 
-@query("measurement_summary_sketch")
+@query("measurement_summary_sketch", _summary_sql("", "quantile_disc"))
 def measurement_summary_sketch(spark, sf_dir):
+    """One pass with sketches; groups smaller than a sketch, as here, give exact ranks."""
     return _summary(spark, sf_dir, method="approx")
 
 

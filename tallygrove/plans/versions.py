@@ -57,7 +57,7 @@ def _versions(spark, sf_dir) -> DataFrame:
         _pick(["registered", "controlled"], s % 2).alias("accessTier"),
         F.concat(F.lit("cdrv"), s % 5 + 6).alias("dcVersionName"),
         F.col("s_name").alias("name"),
-        F.concat(F.lit("wb-"), text).alias("bigqueryProject"),
+        F.concat(F.lit("proj-"), text).alias("bigqueryProject"),
         F.concat(F.lit("d"), text).alias("bigqueryDataset"),
         F.when(s % 7 == 0, "").otherwise(F.concat(F.lit("/v"), s % 5, F.lit("/"))).alias("storageBasePath"),
         F.concat(F.lit("wgs/"), text, F.lit("/hail.vds")).alias("wgsVdsPath"),
@@ -171,7 +171,7 @@ def _matched(spark, sf_dir):
 @query(
     "version_match",
     f"""WITH {_MATCH_SQL} SELECT workspace_id, collection_id, version, environment, tier, status, 'repo' || CAST(n AS VARCHAR) AS repo,
-        'wb-' || CAST(s AS VARCHAR) AS project FROM matched""",
+        'proj-' || CAST(s AS VARCHAR) AS project FROM matched""",
 )
 def version_match(spark, sf_dir):
     return _matched(spark, sf_dir).select(
@@ -196,7 +196,7 @@ _STATIC_SQL = " ".join(
         UNION ALL SELECT workspace_id, 'WORKSPACE_UFID', 'ws-' || CAST(workspace_id AS VARCHAR) FROM based
         UNION ALL SELECT workspace_id, 'WORKSPACE_BUCKET', 'gs://cloned-mybucket-p' || CAST(workspace_id AS VARCHAR) FROM based
         UNION ALL SELECT workspace_id, 'ARTIFACT_REGISTRY_DOCKER_REPO', 'repo' || CAST(n AS VARCHAR) FROM based
-        UNION ALL SELECT workspace_id, 'WORKSPACE_CDR', 'wb-' || CAST(s AS VARCHAR) || '.d' || CAST(s AS VARCHAR) FROM based
+        UNION ALL SELECT workspace_id, 'WORKSPACE_CDR', 'proj-' || CAST(s AS VARCHAR) || '.d' || CAST(s AS VARCHAR) FROM based
         UNION ALL SELECT workspace_id, 'CDR_STORAGE_PATH', root FROM based WHERE root IS NOT NULL {_STATIC_SQL}""",
 )
 def workspace_variables(spark, sf_dir):

@@ -15,6 +15,8 @@ _DEFAULTS = {
     # Split a hot key even where a later step on the same key then needs its own shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Stored frames leave the checkpoint folder once nothing refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

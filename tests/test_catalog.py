@@ -15,9 +15,9 @@ def _document(name, url, **parts):
 
 
 RICH = _document(
-    "bhs.admin.ONE", "u1", title="One", description="first", purpose="one per person",
+    "study.admin.ONE", "u1", title="One", description="first", purpose="one per person",
     extension=[
-        {"url": BASE + "primary-identity", "valueString": "", "valueCanonical": "", "valueCode": "USUBJID"},
+        {"url": BASE + "primary-identity", "valueString": "", "valueCanonical": "", "valueCode": "SUBJECT"},
         {"url": BASE + "structural-link", "valueCanonical": "u2"},
         {"url": BASE + "structural-link", "valueCanonical": "u-unknown"},
         {"url": BASE + "structural-link"},
@@ -34,7 +34,7 @@ RICH = _document(
         "element": [
             {"path": "ONE"},
             {
-                "path": "ONE.sub.USUBJID", "min": 1, "short": "id", "definition": "subject id", "comment": "keep",
+                "path": "ONE.sub.SUBJECT", "min": 1, "short": "id", "definition": "subject id", "comment": "keep",
                 "type": [{"code": "string"}, {"code": "date"}],
                 "extension": [
                     {"url": "x/extension-inline-sec-label", "valueCoding": {"system": "z", "code": "NO"}},
@@ -59,14 +59,14 @@ def folder(tmp_path_factory):
     (root / "sub").mkdir()
     documents = {
         "a.json": RICH,
-        "b.json": _document("bhs.admin.TWO", "u2", title="old"),
-        "sub/c.json": _document("bhs.admin.TWO", "u2", title="new"),
+        "b.json": _document("study.admin.TWO", "u2", title="old"),
+        "sub/c.json": _document("study.admin.TWO", "u2", title="new"),
         "d.json": {"resourceType": "ValueSet", "id": "x"},
         "e.json": {"resourceType": "StructureDefinition", "id": "no extension"},
         "f.json": _document("", "u3"),
         "g.json": _document("analysis.FOUR", "u2"),
         "h.json": _document("a.b.c.FIVE", "u5"),
-        "i.txt": _document("bhs.admin.TEXT", "u6"),
+        "i.txt": _document("study.admin.TEXT", "u6"),
     }
     for name, document in documents.items():
         (root / name).write_text(json.dumps(document, indent=1))
@@ -81,16 +81,16 @@ def tables(spark, folder):
 
 def test_reading(spark, folder, tables, rows):
     assert rows(tables, "table_name", "title") == [
-        ("a.b.c.FIVE", ""), ("analysis.FOUR", ""), ("bhs.admin.ONE", "One"), ("bhs.admin.TWO", "new"),
+        ("a.b.c.FIVE", ""), ("analysis.FOUR", ""), ("study.admin.ONE", "One"), ("study.admin.TWO", "new"),
     ]
     flat = c.parse_tables(d.read_documents(spark, folder, recursive=False))
-    assert rows(flat.where("table_name = 'bhs.admin.TWO'"), "title") == [("old",)]
+    assert rows(flat.where("table_name = 'study.admin.TWO'"), "title") == [("old",)]
 
 
 def test_table_fields(tables):
-    r = tables.where("table_name = 'bhs.admin.ONE'").first()
+    r = tables.where("table_name = 'study.admin.ONE'").first()
     assert (r.profile_id, r.primary_key, r.confidentiality, r.compliance_zone, r.schema_stability, r.retention_years, r.domain_contact) == (
-        "bhs.admin.ONE", "USUBJID", "Restricted", "HIPAA", "Stable", 7.0, "desk",
+        "study.admin.ONE", "SUBJECT", "Restricted", "HIPAA", "Stable", 7.0, "desk",
     )
     plain = tables.where("table_name = 'analysis.FOUR'").first()
     assert (plain.primary_key, plain.confidentiality, plain.columns, plain.link_urls) == ("", None, [], [])
@@ -99,7 +99,7 @@ def test_table_fields(tables):
 def test_columns(tables, rows):
     columns = c.catalog_columns(tables)
     assert rows(columns, "position", "name", "data_type", "is_required") == [
-        (0, "USUBJID", "STRING", True), (1, "score", "FLOAT", False), (2, "when", "TIMESTAMP", False), (3, "odd", "STRING", False),
+        (0, "SUBJECT", "STRING", True), (1, "score", "FLOAT", False), (2, "when", "TIMESTAMP", False), (3, "odd", "STRING", False),
         (4, "bare", "STRING", False),
     ]
     first = columns.where("position = 0").first()
@@ -117,7 +117,7 @@ def test_links_and_resolution(spark, tables, rows):
         "priority INT, project STRING, dataset STRING, table_name STRING",
     )
     names = c.resolve_names(tables, listed)
-    assert rows(names, "table_name", "full_name") == [("analysis.FOUR", "second.analysis.FOUR"), ("bhs.admin.ONE", "first.admin.ONE")]
+    assert rows(names, "table_name", "full_name") == [("analysis.FOUR", "second.analysis.FOUR"), ("study.admin.ONE", "first.admin.ONE")]
     assert rows(c.resolve_tables(tables, names), "table_name") == [("first.admin.ONE",), ("second.analysis.FOUR",)]
     assert rows(c.resolve_links(links, names), "table_name", "target_table") == [
         ("first.admin.ONE", "second.analysis.FOUR"), ("first.admin.ONE", None), ("first.admin.ONE", None),
@@ -135,35 +135,35 @@ def test_two_names_for_one_table(spark, rows):
 
 def test_texts(tables):
     full = c.with_targets(tables, c.catalog_links(tables))
-    text = {r.table_name: r.text for r in c.catalog_text(full).collect()}["bhs.admin.ONE"].split("\n")
+    text = {r.table_name: r.text for r in c.catalog_text(full).collect()}["study.admin.ONE"].split("\n")
     assert text[:9] == [
-        "TABLE: `bhs.admin.ONE`", "  Title: One", "  Description: first", "  Grain: one per person", "  Primary Key: USUBJID",
-        "  Joins To: analysis.FOUR, u-unknown, ", "  Columns:", "    - USUBJID (STRING, REQUIRED [UID])", "      subject id",
+        "TABLE: `study.admin.ONE`", "  Title: One", "  Description: first", "  Grain: one per person", "  Primary Key: SUBJECT",
+        "  Joins To: analysis.FOUR, u-unknown, ", "  Columns:", "    - SUBJECT (STRING, REQUIRED [UID])", "      subject id",
     ]
     assert text[9:11] == ["      Allowed values: yes or no; strength=required", "      FHIR: Patient.id"]
     detail = {r.table_name: r.text for r in c.detail_text(full).collect()}
-    assert "    Note: keep" in detail["bhs.admin.ONE"] and "Confidentiality: N/A" in detail["analysis.FOUR"]
-    assert detail["bhs.admin.ONE"].endswith("\n\nJOINS TO: analysis.FOUR, u-unknown, ")
-    sheet = {r.table_name: r.text for r in c.sheet_text(full).collect()}["bhs.admin.ONE"]
-    assert "| `USUBJID` | STRING | ✓ | UID | id |" in sheet and sheet.endswith("### Joins To\n- `analysis.FOUR`\n- `?`\n- `?`")
-    short = {r.table_name: r.text for r in c.summary_text(full).collect()}["bhs.admin.ONE"]
-    assert short.endswith("   Key: USUBJID\n   Cols: USUBJID, score, when, odd, bare")
+    assert "    Note: keep" in detail["study.admin.ONE"] and "Confidentiality: N/A" in detail["analysis.FOUR"]
+    assert detail["study.admin.ONE"].endswith("\n\nJOINS TO: analysis.FOUR, u-unknown, ")
+    sheet = {r.table_name: r.text for r in c.sheet_text(full).collect()}["study.admin.ONE"]
+    assert "| `SUBJECT` | STRING | ✓ | UID | id |" in sheet and sheet.endswith("### Joins To\n- `analysis.FOUR`\n- `?`\n- `?`")
+    short = {r.table_name: r.text for r in c.summary_text(full).collect()}["study.admin.ONE"]
+    assert short.endswith("   Key: SUBJECT\n   Cols: SUBJECT, score, when, odd, bare")
     facts = {r.table_name: r for r in c.table_facts(full).collect()}
-    assert (facts["bhs.admin.ONE"].column_count, facts["analysis.FOUR"].join_targets) == (5, "")
+    assert (facts["study.admin.ONE"].column_count, facts["analysis.FOUR"].join_targets) == (5, "")
 
 
 def test_finding_and_flagging(spark, tables, rows):
-    assert rows(c.find_table(tables, "bhs.admin.TWO")) == [("bhs.admin.TWO", True)]
-    assert rows(c.find_table(tables, "ADMIN")) == [("bhs.admin.ONE", False)]
+    assert rows(c.find_table(tables, "study.admin.TWO")) == [("study.admin.TWO", True)]
+    assert rows(c.find_table(tables, "ADMIN")) == [("study.admin.ONE", False)]
     assert rows(c.find_table(tables, "nothing")) == []
     assert rows(c.available_names(tables))[0] == ("a.b.c.FIVE",)
-    selected = spark.createDataFrame([("bhs.admin.ONE", "USUBJID"), ("bhs.admin.ONE", "score"), ("x", "y")], "table_name STRING, column_name STRING")
-    assert rows(c.flag_sensitive(selected, c.catalog_columns(tables)), "column_name", "is_sensitive") == [("USUBJID", True), ("score", False), ("y", False)]
+    selected = spark.createDataFrame([("study.admin.ONE", "SUBJECT"), ("study.admin.ONE", "score"), ("x", "y")], "table_name STRING, column_name STRING")
+    assert rows(c.flag_sensitive(selected, c.catalog_columns(tables)), "column_name", "is_sensitive") == [("SUBJECT", True), ("score", False), ("y", False)]
 
 
 def test_parsing_from_texts(spark, folder, rows):
     texts = spark.createDataFrame([("1", json.dumps(RICH)), ("2", '{"resourceType": '), ("3", None)], "path STRING, text STRING")
-    assert rows(c.parse_tables(d.parse_documents(texts, "text", "path")), "table_name") == [("bhs.admin.ONE",)]
+    assert rows(c.parse_tables(d.parse_documents(texts, "text", "path")), "table_name") == [("study.admin.ONE",)]
 
 
 def test_whole_urls_limit_the_match(spark, tables, folder):

@@ -158,6 +158,8 @@ def test_plot_rows(spark, rows):
     assert rows(m.plot_rows(df, "c"), "value_as_number") == [(1.0,), (4.0,), (5.0,)]
     assert rows(m.plot_rows(df, "c", null_policy="drop_sex"), "value_as_number") == [(1.0,), (2.0,)]
     assert rows(m.plot_rows(df, "c", sex=None), "value_as_number") == [(1.0,), (4.0,), (5.0,), (6.0,)]
+    aged = df.withColumn("age", F.when(F.col("value_as_number") < 5, 40))
+    assert rows(m.plot_rows(aged, "c", age="age"), "value_as_number") == [(1.0,), (4.0,)]
     first = m.first_concept(df, "standard_concept_name", "value_as_number")
     assert rows(first) == [("c",)]
     assert rows(m.plot_rows(df, first), "value_as_number") == [(1.0,), (4.0,), (5.0,)]
