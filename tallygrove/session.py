@@ -17,6 +17,7 @@ _DEFAULTS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Stored frames leave the checkpoint folder once nothing refers to them.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.checkpoint.compress": "true",
 }
 
 
