@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..constants import STATIC_VARIABLES
 from ..operators import versions as v
+from ..session import scratch_path
+from ..sources import documents as d
 from . import query
 from .bind import table
 
@@ -141,6 +143,41 @@ paths AS (
   UNION ALL SELECT workspace_id, 'LONG_READS_MANIFEST_PATH', root || '/lr/' || CAST(s AS VARCHAR) FROM based WHERE root IS NOT NULL AND s % 3 = 0)"""
 
 
+@query(
+    "config_rows",
+    """SELECT 'tier' AS kind, 0 AS position, s_name AS name, 'repo' || CAST(s_suppkey AS VARCHAR) AS place, NULL AS path FROM supplier
+       UNION ALL SELECT 'version', 0, s_name || ' a', 'p' || CAST(s_nationkey AS VARCHAR), '/wgs/' || CAST(s_suppkey AS VARCHAR) FROM supplier
+       UNION ALL SELECT 'version', 1, s_name || ' b', 'p' || CAST(s_nationkey AS VARCHAR), NULL FROM supplier WHERE s_suppkey % 2 = 0""",
+)
+def config_rows(spark, sf_dir):
+    """Configuration documents, one per supplier, written under the shared folder and read back."""
+    key, nothing = F.col("s_suppkey"), F.lit(None).cast("string")
+
+    def version(tail: str, path: Column) -> Column:
+        return F.struct(
+            F.concat("s_name", F.lit(tail)).alias("name"), F.concat(F.lit("p"), "s_nationkey").alias("bigqueryProject"),
+            path.alias("wgsVdsPath"),
+        )
+
+    first = F.array(version(" a", F.concat(F.lit("/wgs/"), key)))
+    both = F.concat(first, F.array(version(" b", nothing)))
+    tier = F.struct(F.col("s_name").alias("shortName"), F.concat(F.lit("repo"), key).alias("artifactRegistryRepo"))
+    document = F.struct(
+        F.array(tier).alias("accessTiers"), F.when(key % 2 == 0, both).otherwise(first).alias("cdrVersions")
+    )
+    path = scratch_path(spark, "config")
+    table(spark, sf_dir, "supplier").select(F.to_json(document).alias("value")).write.text(path)
+    tiers, versions = d.read_config(spark, path, "made", lines=True)
+    return tiers.select(
+        F.lit("tier").alias("kind"), "position", F.col("shortName").alias("name"),
+        F.col("artifactRegistryRepo").alias("place"), nothing.alias("path"),
+    ).unionByName(
+        versions.select(
+            F.lit("version").alias("kind"), "position", "name", F.col("bigqueryProject").alias("place"), F.col("wgsVdsPath").alias("path")
+        )
+    )
+
+
 @query("folder_roots", f"WITH {_FOREST_SQL} SELECT id, root_id, status FROM roots")
 def folder_roots(spark, sf_dir):
     return v.folder_roots(_folders(spark, sf_dir))

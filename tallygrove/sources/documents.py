@@ -66,9 +66,11 @@ def parse_documents(texts: DataFrame, text: str, path: str) -> DataFrame:
     return kept.select("doc.*", "doc_path").drop("_corrupt_record")
 
 
-def read_config(spark: SparkSession, path: str, environment: str) -> tuple[DataFrame, DataFrame]:
-    """Access tiers and versions of one environment's configuration file, in file order."""
-    config = spark.read.schema(CONFIG_SCHEMA).option("multiLine", True).json(path)
+def read_config(
+    spark: SparkSession, path: str, environment: str, lines: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Access tiers and versions of one environment's configuration, in file order; ``lines`` as for documents."""
+    config = spark.read.schema(CONFIG_SCHEMA).option("multiLine", not lines).json(path)
 
     def rows(name: str) -> DataFrame:
         return config.select(F.posexplode(name).alias("position", "item")).select(
