@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, quality, simhash
+from . import bpe, mixing, quality, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,4 +48,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=3, radius=3)
 
 
+@query("op1_sharding")
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents", "doc_id", "text"), 40)
+
+
+@query("op4_mixing")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
