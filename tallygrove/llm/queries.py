@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, mixing, neighbours, quality, sharding, simhash, warc
+from . import bpe, linededup, mixing, neighbours, quality, quotes, sharding, simhash, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,4 +86,53 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 20 == 0, 20)
 
 
+@query(
+    "op2_line_dedup",
+    """
+    WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+    w AS (SELECT doc_id, i, ls[i] AS x, ls[i + 1] AS y, ls[i + 2] AS z FROM (SELECT *, unnest(range(1, len(ls) - 1)) AS i FROM l WHERE len(ls) >= 3)),
+    n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, i) AS k FROM w
+          WHERE NOT regexp_full_match(x || y || z, '[\x20\x09-\x0D]*')),
+    c AS (SELECT DISTINCT doc_id, i + j AS i FROM n, (SELECT unnest([0, 1, 2]) AS j) WHERE k > 1),
+    e AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM l)),
+    k AS (SELECT e.doc_id, count(*) AS n_lines, count(c.i) AS n_removed, string_agg(line, chr(10) ORDER BY e.i) FILTER (WHERE c.i IS NULL) AS kept
+          FROM e LEFT JOIN c USING (doc_id, i) GROUP BY e.doc_id)
+    SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
+        CASE WHEN d.text IS NOT NULL THEN coalesce(kept, '') END AS text
+    FROM documents d LEFT JOIN k USING (doc_id)
+    """,
+)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "row.doc_id", "n_lines", F.size("removed").alias("n_removed"), F.col("kept_text").alias("text")
+    )
+
+
+def mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as mail: every turn quotes the one before, which quotes the one before that."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    own = turns.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.coalesce("text", F.lit("")).alias("said")).dropDuplicates(["c", "t"])
+
+    def back(n: int, name: str) -> DataFrame:
+        return own.select(F.col("c").alias(f"c{n}"), (F.col("t") + n).alias(f"t{n}"), F.col("said").alias(name))
+
+    def quoted(name: str, marks: str):
+        return F.when(F.col(name).isNotNull(), F.concat(F.lit(marks), F.replace(F.col(name), F.lit("\n"), F.lit("\n" + marks))))
+
+    met = turns
+    for n, name in ((1, "last"), (2, "before")):
+        other = back(n, name)
+        met = met.join(other, (F.col("conv_id") == F.col(f"c{n}")) & (F.col("turn") == F.col(f"t{n}")), "left")
+    body = F.concat_ws("\n\n", quoted("before", "> > "), quoted("last", "> "), F.coalesce("text", F.lit("")))
+    return met.select("conv_id", "turn", "role", body.alias("text"))
+
+
+@query("op8_quote_threads")
+def op8_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(mailbox(spark, sf_dir), ["conv_id", "turn"], ["conv_id"]).select(
+        "id.conv_id", "id.turn", F.col("parent.conv_id").alias("parent_conv_id"), F.col("parent.turn").alias("parent_turn"),
+        F.col("root.conv_id").alias("root_conv_id"), F.col("root.turn").alias("root_turn"), "depth", "n_quotes", F.col("own").alias("text"),
+    )
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
