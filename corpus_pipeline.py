@@ -4,27 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallygrove.llm import quality
+from tallygrove.llm import bpe, linededup, mixing, quality, simhash
+from tallygrove.local import name_shared_dir
 from tallygrove.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _documents(df: DataFrame) -> DataFrame:
+    """The columns of documents, with the length of the text as it is now."""
+    return df.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are good with a probability of a half or more."""
+    name_shared_dir(spark)
     return quality.judge(docs.select(*COLUMNS)).where("kept").select("row.*")
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", good_documents)]
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, less the lines of three-line windows that an earlier document or place holds."""
+    name_shared_dir(spark)
+    found = linededup.remove_repeats(docs.select(*COLUMNS))
+    return _documents(found.select("row.doc_id", F.col("kept_text").alias("text"), "row.lang", "row.source"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id."""
+    name_shared_dir(spark)
+    return simhash.distinct_texts(docs.select(*COLUMNS))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document; a document taken twice is there twice."""
+    name_shared_dir(spark)
+    return _documents(mixing.mixed_texts(docs.select(*COLUMNS)))
+
+
+def token_counts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of each text's tokens, and the digest of the text decoded from them."""
+    name_shared_dir(spark)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", good_documents),
+    ("line dedup", without_repeated_lines),
+    ("simhash near-dedup", without_near_duplicates),
+    ("mixing to target weights", mixed),
+    ("byte-level bpe", token_counts),
+]
 
-#: Signatures and permutations have no SQL form.
+#: Signatures, permutations and tokens have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written as Parquet and read again."""
+    name_shared_dir(spark)
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         path = scratch_path(spark, f"stage-{i}")

@@ -22,10 +22,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .common import words
 from .graph import components
 
 BITS, UNITS, UNIT_BITS = 64, 8, 8
@@ -206,8 +207,15 @@ def plan(distinct: DataFrame, radius: int) -> Plan | None:
     return min(plans)[2]
 
 
+def _part_bits(cut: Plan, part: int) -> int:
+    """The bits of a part, as a signed mask over fingerprints."""
+    first, last = cut.cuts[part]
+    mask = sum(1 << (BITS - 1 - bit) for bit in cut.order[first * UNIT_BITS : last * UNIT_BITS])
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
 def links(distinct: DataFrame, radius: int) -> DataFrame:
-    """Pairs ``a < b`` of distinct fingerprints (column ``fp``) that differ in 1 to ``radius`` bits; repeats may be there."""
+    """Pairs ``a < b`` of distinct fingerprints (column ``fp``) that differ in 1 to ``radius`` bits, each once."""
     cut = plan(distinct, radius)
     if cut is None:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
@@ -225,25 +233,31 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
                 fps = batch.column(0).slice(start, 4096).to_numpy()
                 units = _units(fps, cut.order)
                 limits, _ = cut.thresholds(units)
+                packed = ((limits.astype(np.int64) + 1) << (3 * np.arange(len(cut.cuts)))).sum(axis=1)
                 for p, (first, last) in enumerate(cut.cuts):
                     values = cut.values(units, p)
                     for t in range(_MOST + 1):
                         if (at := limits[:, p] == t).any():
                             masks = _masks((last - first) * UNIT_BITS, t)
-                            yield _rows(p, (values[at][:, None] ^ masks).ravel(), np.repeat(fps[at], len(masks)))
+                            n = len(masks)
+                            yield _rows(p, (values[at][:, None] ^ masks).ravel(), np.repeat(fps[at], n), np.repeat(packed[at], n))
 
     one = distinct.select("fp")
     index = one.mapInArrow(filed, "part int, value long, fp long")
-    asked = one.mapInArrow(probes, "part int, value long, fp long")
-    near = F.bit_count(F.col("q.fp").bitwiseXOR(F.col("i.fp"))) <= radius
+    asked = one.mapInArrow(probes, "part int, value long, fp long, limits long")
+    apart = F.col("q.fp").bitwiseXOR(F.col("i.fp"))
+    fresh = F.lit(True)  # not found by an earlier part already
+    for p in range(len(cut.cuts) - 1):
+        limit = F.shiftright(F.col("q.limits"), 3 * p).bitwiseAND(F.lit(7)) - 1
+        fresh = fresh & ((F.col("q.part") <= p) | (F.bit_count(apart.bitwiseAND(F.lit(_part_bits(cut, p)))) > limit))
     same = (F.col("q.part") == F.col("i.part")) & (F.col("q.value") == F.col("i.value")) & (F.col("q.fp") < F.col("i.fp"))
+    near = (F.bit_count(apart) <= radius) & fresh
     return asked.alias("q").join(index.alias("i").hint("merge"), same & near).select(F.col("q.fp").alias("a"), F.col("i.fp").alias("b"))
 
 
-def _rows(part: int, values: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(
-        {"part": pa.array(np.full(len(fps), part, dtype=np.int32)), "value": pa.array(values.view(np.int64)), "fp": pa.array(fps)}
-    )
+def _rows(part: int, values: np.ndarray, fps: np.ndarray, limits: np.ndarray | None = None) -> pa.RecordBatch:
+    columns = {"part": pa.array(np.full(len(fps), part, dtype=np.int32)), "value": pa.array(values.view(np.int64)), "fp": pa.array(fps)}
+    return pa.RecordBatch.from_pydict(columns | ({} if limits is None else {"limits": pa.array(limits)}))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
@@ -258,3 +272,49 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     ).select("fp", F.coalesce("component_id", "least").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(by_print, "fp").select(key, hexed, "component_id")
+
+
+#: Names of A-Z in lower case, as the fingerprints take them.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def shingles(text: Column, width: int) -> Column:
+    """Distinct hashes of the runs of ``width`` words; of all words, where they are fewer; none for a blank text."""
+    w = words(F.translate(text, _UPPER, _LOWER))
+    return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, width))))
+    )
+
+
+def distinct_texts(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 6, width: int = 3, words_each: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """The documents, all columns, that stay when of each group of near duplicates the one with the smallest id stays.
+
+    Texts whose fingerprints (of ``width`` words) lie within ``radius`` bits are candidates. They are linked if their
+    sets of ``words_each`` words have a Jaccard similarity of ``similarity`` or more; groups are connected over links.
+    Texts with one fingerprint are compared with the first of them, which stands for it towards others. A null id is
+    larger than any other; rows of one text with the same id, or all without, stay together.
+    """
+    marked = docs.select("*", F.coalesce(F.col(text), F.lit("")).alias("_body")).select("*", F.sha2(F.col("_body").cast("binary"), 256).alias("_mark"))
+    seen = stored(fingerprints(marked.select(F.struct(F.col(key).alias("id"), F.col("_mark").alias("mark")).alias("who"), "_body"), "who", "_body", width))
+    texts = stored(seen.groupBy("who.mark").agg(F.min("who.id").alias("least"), F.min("fp").alias("fp")))
+    first = stored(texts.groupBy("fp").agg(F.min("mark").alias("first"), F.count("*").alias("n")))
+    near = links(first.select("fp"), radius)
+    across = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    within = texts.join(first.where("n > 1").select(F.col("fp").alias("f"), "first"), F.col("fp") == F.col("f")).where("mark != first").select(F.col("first").alias("x"), F.col("mark").alias("y"))
+    pairs = stored(across.union(within))
+    involved = pairs.select(F.explode(F.array("x", "y")).alias("_mark")).distinct()
+    # Sets only of texts that have a candidate, once per text.
+    bodies = marked.select("_mark", "_body").join(involved, "_mark", "left_semi").dropDuplicates(["_mark"])
+    sets = stored(bodies.select(F.col("_mark").alias("mark"), shingles(F.col("_body"), words_each).alias("s")))
+    left, right = sets.select(F.col("mark").alias("x"), F.col("s").alias("sx")), sets.select(F.col("mark").alias("y"), F.col("s").alias("sy"))
+    both = F.size(F.array_intersect("sx", "sy"))
+    every = F.size("sx") + F.size("sy") - both
+    alike = pairs.join(left, "x").join(right, "y").where((every == 0) | (both >= F.lit(similarity) * every)).select("x", "y")
+    groups = components(alike, "x", "y")
+    ranked = texts.join(groups, F.col("mark") == F.col("node"), "left").select("mark", F.coalesce("least", F.lit(None)).alias("least"), F.coalesce("root", "mark").alias("root"))
+    best = ranked.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "mark")).alias("best"))
+    stay = best.select(F.col("best.mark").alias("m"), F.col("best.least").alias("i"))
+    kept = marked.join(stay, (F.col("_mark") == F.col("m")) & F.col(key).eqNullSafe(F.col("i")))
+    return kept.select(*(marked[c] for c in docs.columns))
