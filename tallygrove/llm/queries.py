@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, linededup, mixing, neighbours, quality, quotes, sharding, simhash, warc
+from . import bpe, linededup, mixing, neighbours, quality, quotes, sharding, simhash, suffixes, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
-@query("op6_warc")
+@query(
+    "op6_warc",
+    """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS s FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS low FROM p)
+    SELECT page_id, n AS payload_bytes, s AS payload_digest,
+        CASE WHEN n >= 100 AND page_id <> low THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= 100 AND page_id <> low THEN low END AS refers_to
+    FROM f
+    """,
+)
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     folder = warc.new_folder(pages)
@@ -135,4 +145,9 @@ def op8_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
