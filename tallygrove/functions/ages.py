@@ -52,9 +52,13 @@ def age_band(age: Column) -> Column:
     return chain.when(age.isNotNull(), AGE_LABELS[-1])
 
 
-def width_band(age: Column, width: int) -> Column:
-    """Bands of equal width from 0, closed on the right; the lowest edge belongs to the first band."""
-    top = (F.greatest(F.ceil(age / F.lit(width)), F.lit(1)) * width).cast("long")
+def width_band(age: Column, width: int, least: int | None) -> Column:
+    """Bands of equal width, closed on the right, edges at multiples of the width.
+
+    The first band starts at or below ``least``, the smallest age of all, and is closed on both sides.
+    """
+    start = (least or 0) // width * width
+    top = F.lit(start) + (F.greatest(F.ceil((age - F.lit(start)) / F.lit(width)), F.lit(1)) * width).cast("long")
     low = top - width
-    opening = F.when(low == 0, "[").otherwise("(")
+    opening = F.when(low == start, "[").otherwise("(")
     return F.when(age.isNotNull(), F.concat(opening, low.cast("string"), F.lit(","), top.cast("string"), F.lit("]")))

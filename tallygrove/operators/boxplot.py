@@ -7,20 +7,29 @@ from pyspark.sql import functions as F
 
 from ..constants import WHISKER_REACH
 from ..session import stored
-from .quantiles import count_values, quantiles_of_counts
+from .quantiles import count_values, group_quantiles, quantiles_of_counts
 
+#: Groups whose quartiles, some hundred bytes each, are broadcast; beyond it the join shuffles.
+BROADCAST_GROUPS = 10_000
 
-def box_figures(df: DataFrame, keys: list[str], value: str = "value_as_number", method: str = "exact") -> DataFrame:
+
+def box_figures(df: DataFrame, keys: list[str], value: str = "value_as_number", method: str = "approx") -> DataFrame:
     """Quartiles, whiskers at the last values inside 1.5 interquartile ranges, outlier count, maximum and label.
 
-    Values are counted once, and stored for the exact way; quartiles and whiskers both read that smaller table.
+    ``approx`` takes quartiles from sketches in one pass. ``exact`` counts values once and stores the counts, which
+    quartiles and whiskers both read. Quartiles, one row per group, are broadcast after a count of the groups.
     """
     counted = count_values(df, keys, value)
+    probs = [0.25, 0.5, 0.75]
     if method == "exact":
         counted = stored(counted)
-    quartiles = quantiles_of_counts(counted, [0.25, 0.5, 0.75], "linear", method).selectExpr(
-        "g", "quantiles[0] AS q1", "quantiles[1] AS median", "quantiles[2] AS q3"
-    )
+        found = quantiles_of_counts(counted, probs)
+    else:
+        found = group_quantiles(df, keys, value, probs, method="approx")
+        found = found.select(F.struct(*keys).alias("g") if keys else F.struct(F.lit(0).alias("all")).alias("g"), "quantiles")
+    quartiles = stored(found.selectExpr("g", "quantiles[0] AS q1", "quantiles[1] AS median", "quantiles[2] AS q3"))
+    if quartiles.count() <= BROADCAST_GROUPS:
+        quartiles = F.broadcast(quartiles)
     reach = (F.col("q3") - F.col("q1")) * WHISKER_REACH
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return (

@@ -32,15 +32,22 @@ def limit_for(df: DataFrame, mode: str = "explore") -> DataFrame:
 
 
 def hide_small_cells(
-    df: DataFrame, keys: list[str], figures: dict[str, Column], person: str = "person_id", limit: int = SMALL_CELL
+    df: DataFrame, keys: list[str], figures: dict[str, Column], person: str = "person_id", limit: int = SMALL_CELL,
+    also: list[list[str]] | None = None,
 ) -> DataFrame:
-    """Figures by group; a group of fewer persons than the limit shows none and is flagged."""
+    """Figures by group; a group of fewer persons than the limit shows none and is flagged.
+
+    ``also`` names further sets of keys to group by in the same pass. Keys a row is not grouped by are
+    missing in it, and ``grouped_by`` lists those it is grouped by.
+    """
     small = F.col("__persons") < limit
-    grouped = df.groupBy(*keys).agg(
-        F.count_distinct(person).alias("__persons"), *[f.alias(name) for name, f in figures.items()]
+    sets = [[F.col(k) for k in names] for names in [keys, *(also or [])]]
+    grouped = df.groupingSets(sets, *keys).agg(
+        F.count_distinct(person).alias("__persons"), *[f.alias(name) for name, f in figures.items()],
+        F.array_compact(F.array(*[F.when(F.grouping(k) == 0, k) for k in keys])).alias("grouped_by"),
     )
     return grouped.select(
-        *keys,
+        *keys, *(["grouped_by"] if also else []),
         F.when(~small, F.col("__persons")).alias("n_persons"),
         *[F.when(~small, F.col(name)).alias(name) for name in figures],
         small.alias("suppressed"),

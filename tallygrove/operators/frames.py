@@ -9,8 +9,6 @@ from pyspark.sql.types import ArrayType, StringType
 from ..constants import PREVIEW_ROWS, PREVIEW_WIDTH, STATUS_DEFAULT, TAIL_LINES
 from ..functions.text import cut_cell
 
-_PUSHED_RANKS = 1000
-
 
 def lists_to_text(df: DataFrame) -> DataFrame:
     """List columns as JSON text; other columns unchanged."""
@@ -45,8 +43,9 @@ def preview_note(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
 def last_lines(df: DataFrame, key: str, order: list[str], n: int = TAIL_LINES, salts: int = 4096) -> DataFrame:
     """Last n rows per key, latest first by the order columns.
 
-    Up to the pushed rank limit every task keeps only n rows per key before the shuffle. For a larger
-    n a first cut per (key, salt) bounds what the second one gathers; it drops no row of the result.
+    Up to the session's limit for pushed ranks every task keeps only n rows per key before the shuffle.
+    For a larger n a first cut per (key, salt) bounds what the second one gathers; it drops no row of
+    the result.
     """
     latest = [F.desc(c) for c in order]
 
@@ -54,7 +53,7 @@ def last_lines(df: DataFrame, key: str, order: list[str], n: int = TAIL_LINES, s
         ranked = rows.withColumn("line_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*latest)))
         return ranked.where(F.col("line_rank") <= n)
 
-    if n > _PUSHED_RANKS:
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
         salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
         df = cut(salted, key, "__salt").drop("__salt", "line_rank")
     return cut(df, key)

@@ -30,8 +30,11 @@ def first_rows(df: DataFrame, order: list[str] | None = None, rows: int = PROFIL
 def _single_pass(df: DataFrame, sketches: bool) -> DataFrame:
     """Figures of all columns from one aggregate row, turned into one row per column."""
 
-    def figures(name: str, is_number: bool):
-        column = F.col(name)
+    plain = _columns(df)
+
+    def figures(name: str):
+        column = F.col(f"`{name}`")
+        is_number = plain.get(name, False)
         nothing = F.lit(None).cast("double")
         parts = [
             F.lit(name).alias("column"),
@@ -43,7 +46,8 @@ def _single_pass(df: DataFrame, sketches: bool) -> DataFrame:
             (F.max(column).cast("double") if is_number else nothing).alias("max"),
         ]
         if sketches:
-            parts.append(F.approx_count_distinct(column).alias("n_distinct"))
+            distinct = F.approx_count_distinct(column) if name in plain else F.lit(None).cast("long")
+            parts.append(distinct.alias("n_distinct"))
             parts.append(
                 F.percentile_approx(column.cast("double"), [0.25, 0.5, 0.75]).alias("quantiles")
                 if is_number
@@ -51,7 +55,7 @@ def _single_pass(df: DataFrame, sketches: bool) -> DataFrame:
             )
         return F.struct(*parts)
 
-    row = df.agg(F.array(*[figures(name, number) for name, number in _columns(df).items()]).alias("columns"))
+    row = df.agg(F.array(*[figures(name) for name in df.columns]).alias("columns"))
     return row.select(F.inline("columns"))
 
 
@@ -61,10 +65,12 @@ def _columns(df: DataFrame) -> dict[str, bool]:
 
 
 def column_profile(
-    df: DataFrame, method: str = "exact", rows: int | None = None, order: list[str] | None = None
+    df: DataFrame, method: str = "approx", rows: int | None = None, order: list[str] | None = None
 ) -> DataFrame:
     """One row per column: counts, distinct values, mean, deviation, least, quartiles, greatest.
 
+    Columns of lists, maps, structures and bytes have counts of values and missing ones only.
+
     ``approx`` is a single pass that shuffles sketches only. ``exact`` also counts the values of all
     columns as (column, value), which spreads every column over all tasks, and stores the counts.
     ``rows`` gives the short form on the first rows.
@@ -72,7 +78,7 @@ def column_profile(
     if rows is not None:
         # Stored, so that all figures see the same rows.
         df = stored(first_rows(df, order, rows))
-    if method == "approx":
+    if method == "approx" or not _columns(df):
         result = _single_pass(df, sketches=True)
     else:
         columns = _columns(df)
@@ -99,9 +105,11 @@ def column_profile(
         counted = distinct.where(F.col("value").isNotNull()).select("g", "value", "count")
         quartiles = quantiles_of_counts(counted, [0.25, 0.5, 0.75]).select("g.column", "quantiles")
         result = _single_pass(df, sketches=False).join(n_distinct, "column", "left").join(quartiles, "column", "left")
+        counted_columns = F.col("column").isin(list(columns))
+        result = result.withColumn("n_distinct", F.when(counted_columns, F.coalesce("n_distinct", F.lit(0))))
     return result.select(
         "column", "n", "missing",
-        F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
+        "n_distinct",
         "mean", "stddev", "min",
         F.col("quantiles")[0].alias("q1"),
         F.col("quantiles")[1].alias("median"),

@@ -1,14 +1,12 @@
 """Quantiles by group.
 
-Three ways, chosen by the caller:
+Two ways, chosen by the caller:
 
 ``exact``
-    Count and store the values of each group. Groups of few distinct values are taken whole. For the
-    others, bucket the values, find the few buckets that hold a wanted rank, and rank only inside
-    those. No task ever holds a large group, so a group with a third of all rows is fine.
-``bounded``
-    Every group taken whole, without the check of its size: for values that take few distinct
-    figures, such as ages or scores.
+    Count and store the values of each group, then narrow down: as long as the part of a group that holds
+    a wanted rank has more distinct values than one task should sort, cut that part into buckets at the
+    bounds of a sketch and keep the buckets that hold a wanted rank. What is left is ranked. Every
+    group, small or large, goes through the same steps and the same interpolation.
 ``approx``
     ``percentile_approx``: one pass, mergeable sketches, a set relative rank error.
 """
@@ -23,8 +21,8 @@ from ..session import stored
 _COARSE = 16
 _FINE = 16
 _SKETCH_SIZE = 1000
-_BROADCAST_GROUPS = 2000
-_SMALL_GROUP = 1000
+#: Distinct values of one part of a group that one task sorts.
+SORTED_VALUES = 100_000
 
 
 def count_values(df: DataFrame, keys: list[str], value: str | Column) -> DataFrame:
@@ -67,87 +65,70 @@ def _picked(running: DataFrame, ranks: list[tuple[str, str, str]]) -> DataFrame:
     return picked.select("g", "n", F.expr(f"array({values})").alias("quantiles"))
 
 
-def _of_small_groups(counted: DataFrame, probs: list[float], interpolation: str) -> DataFrame:
-    """Groups known to have few distinct values, each taken whole."""
-    if interpolation == "linear":
-        chosen = F.percentile("value", [float(p) for p in probs], F.col("count"))
-        return counted.groupBy("g").agg(F.sum("count").alias("n"), chosen.alias("quantiles"))
-    running = counted.select(
-        "*",
-        F.expr("sum(count) OVER (PARTITION BY g)").alias("n"),
-        F.expr("sum(count) OVER (PARTITION BY g ORDER BY value ROWS UNBOUNDED PRECEDING)").alias("upto"),
-    )
-    return _picked(running, [_positions(p, interpolation) for p in probs])
-
+def _narrowed(parts: DataFrame, ranks: list[tuple[str, str, str]], limit: int) -> DataFrame | None:
+    """Parts of more than ``limit`` values cut into buckets, without the buckets that hold no wanted rank; None if no part is that large.
 
-def _of_large_groups(bounded: DataFrame, small, probs: list[float], interpolation: str) -> DataFrame:
-    """Groups of any size: find the buckets that hold a wanted rank, rank only inside them."""
+    The bounds come from a sketch whose figures depend on merge order. They are stored, so every later
+    step and every repeated task reads the same ones; the result is exact with any bounds.
+    """
+    values = F.count(F.lit(1)).alias("values")
+    large = stored(parts.groupBy("g", "part").agg(values).where(F.col("values") > limit).select("g", "part"))
+    if large.isEmpty():
+        return None
+    steps = _COARSE * _FINE
+    shares = ", ".join(f"{i / steps}D" for i in range(steps))
+    bounds = stored(
+        parts.join(large, ["g", "part"])
+        .groupBy("g", "part")
+        .agg(F.expr(f"kll_sketch_agg_double(value, {_SKETCH_SIZE})").alias("sketch"))
+        .select("g", "part", F.expr(f"kll_sketch_get_quantile_double(sketch, array({shares}))").alias("bounds"))
+    )
     # A coarse and a fine step of plain comparisons keep the search inside generated code.
     # Buckets are never missing; saying so spares a null filter that would copy the whole search.
     coarse = f"coalesce({_terms([f'bounds[{_FINE * i}]' for i in range(1, _COARSE)])}, 0)"
     fine = _terms([f"bounds[coarse * {_FINE} + {j}]" for j in range(_FINE)])
-    bucketed = bounded.select("g", "value", "count", "n", "bounds", F.expr(coarse).alias("coarse")).select(
-        "g", "value", "count", "n", F.expr(f"coalesce(coarse * {_FINE + 1} + {fine}, 0)").alias("bucket")
+    cut = parts.join(bounds, ["g", "part"], "left").select(
+        "g", "part", "value", "count", "n", "before", "bounds", F.expr(coarse).alias("coarse")
+    )
+    cut = cut.select(
+        "g", "part", "value", "count", "n", "before", F.expr(f"coalesce(coarse * {_FINE + 1} + {fine}, 0)").alias("bucket")
     )
-    ranks = [_positions(p, interpolation) for p in probs]
     wanted = dict.fromkeys(r for low, high, _ in ranks for r in (low, high))
-    # A group has at most a few hundred bucket rows, whatever its size.
+    # A part has at most a few hundred bucket rows, whatever its size.
     needed = (
-        bucketed.groupBy("g", "bucket")
-        .agg(F.sum("count").alias("in_bucket"), F.max("n").alias("n"))
-        .withColumn("before", F.expr("sum(in_bucket) OVER (PARTITION BY g ORDER BY bucket) - in_bucket"))
-        .where(" OR ".join(f"({r} >= before AND {r} < before + in_bucket)" for r in wanted))
-        .select("g", "bucket", "before")
+        cut.groupBy("g", "part", "bucket")
+        .agg(F.sum("count").alias("held"), F.max("n").alias("n"), F.max("before").alias("ahead"))
+        .withColumn("start", F.expr("ahead + sum(held) OVER (PARTITION BY g, part ORDER BY bucket) - held"))
+        .where(" OR ".join(f"({r} >= start AND {r} < start + held)" for r in wanted))
+        .select("g", "part", "bucket", "start")
+    )
+    inside = cut.drop("before").join(needed, ["g", "part", "bucket"])
+    width = (_COARSE + 1) * (_FINE + 1)
+    return stored(
+        inside.select("g", (F.col("part") * width + F.col("bucket")).alias("part"), "value", "count", "n", F.col("start").alias("before"))
     )
-    running = "before + sum(count) OVER (PARTITION BY g, bucket ORDER BY value ROWS UNBOUNDED PRECEDING)"
-    inside = bucketed.join(small(needed), ["g", "bucket"]).select("g", "value", "count", "n", F.expr(running).alias("upto"))
-    return _picked(inside, ranks)
-
 
-def _exact(counted: DataFrame, probs: list[float], interpolation: str) -> DataFrame:
-    """Large groups apart from small ones, by a stored table of the large ones.
 
-    The bounds come from a sketch whose figures depend on merge order. They are stored, so every later
-    step and every repeated task reads the same ones; the result is exact with any bounds.
-    """
-    steps = _COARSE * _FINE
-    shares = ", ".join(f"{i / steps}D" for i in range(steps))
-    large = stored(
-        counted.groupBy("g")
-        .agg(
-            F.count(F.lit(1)).alias("values"),
-            F.sum("count").alias("n"),
-            F.expr(f"kll_sketch_agg_double(value, {_SKETCH_SIZE})").alias("sketch"),
-        )
-        .where(F.col("values") > _SMALL_GROUP)
-        .select("g", "n", F.expr(f"kll_sketch_get_quantile_double(sketch, array({shares}))").alias("bounds"))
-    )
-    groups = large.count()
-    if groups == 0:
-        return _of_small_groups(counted, probs, interpolation)
-    # Broadcast a counted number of groups of two kilobytes each; beyond it the joins shuffle.
-    small = F.broadcast if groups <= _BROADCAST_GROUPS else (lambda df: df)
-    few = counted.join(small(large.select("g")), "g", "left_anti")
-    many = counted.join(small(large), "g")
-    return _of_small_groups(few, probs, interpolation).unionByName(
-        _of_large_groups(many, small, probs, interpolation)
-    )
+def _exact(counted: DataFrame, probs: list[float], interpolation: str, limit: int) -> DataFrame:
+    ranks = [_positions(p, interpolation) for p in probs]
+    totals = counted.groupBy("g").agg(F.sum("count").alias("n"))
+    parts = counted.join(totals, "g").select("g", F.lit(0).cast("long").alias("part"), "value", "count", "n", F.lit(0).cast("long").alias("before"))
+    while (finer := _narrowed(parts, ranks, limit)) is not None:
+        parts = finer
+    running = "before + sum(count) OVER (PARTITION BY g, part ORDER BY value ROWS UNBOUNDED PRECEDING)"
+    return _picked(parts.select("g", "value", "count", "n", F.expr(running).alias("upto")), ranks)
 
 
 def quantiles_of_counts(
-    counted: DataFrame, probs: list[float], interpolation: str = "linear", method: str = "exact"
+    counted: DataFrame, probs: list[float], interpolation: str = "linear", limit: int = SORTED_VALUES
 ) -> DataFrame:
     """Quantiles of ``count_values`` output: ``g``, ``n`` and an array in the order of ``probs``.
 
-    The exact way reads its input several times: give it a stored frame.
+    It reads its input several times: give it a stored frame. ``limit`` is the number of values one task sorts.
     """
     if interpolation not in ("linear", "discrete"):
         raise ValueError("interpolation is 'linear' or 'discrete'")
-    if method == "exact":
-        return _exact(counted, list(probs), interpolation)
-    if method != "bounded":
-        raise ValueError("method is 'exact' or 'bounded'")
-    return _of_small_groups(counted, list(probs), interpolation)
+    return _exact(counted, list(probs), interpolation, limit)
 
 
 def group_quantiles(
@@ -169,8 +150,7 @@ def group_quantiles(
             F.count(F.lit(1)).alias("n"),
             F.percentile_approx(F.col(value).cast("double"), list(probs), accuracy).alias("quantiles"),
         )
-    counted = count_values(df, keys, value)
-    if method == "exact":
-        counted = stored(counted)
-    found = quantiles_of_counts(counted, probs, interpolation, method)
+    if method != "exact":
+        raise ValueError("method is 'exact' or 'approx'")
+    found = quantiles_of_counts(stored(count_values(df, keys, value)), probs, interpolation)
     return found.select(*[F.col(f"g.{k}").alias(k) for k in keys], "n", "quantiles")

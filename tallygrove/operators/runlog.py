@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from ..constants import LARGE_RESULT, MAX_RETRIES
 from ..functions.paths import megabytes
 from ..functions.text import clean_error
 
-RUN_SCHEMA = "query_id STRING, attempt INT, sql STRING, success BOOLEAN, error STRING, row_count BIGINT"
+RUN_SCHEMA = (
+    "query_id STRING, attempt INT, sql STRING, checked BOOLEAN, estimated_bytes DECIMAL(38,0), success BOOLEAN, error STRING, row_count BIGINT"
+)
 
 
 @dataclass
@@ -28,6 +31,11 @@ class QueryRun:
         return with_large_flag(rows.withColumn("error", clean_error(F.col("error"))))
 
 
+def estimated_bytes(frame: DataFrame) -> Decimal:
+    """The planner's estimate of a result's size."""
+    return Decimal(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def run_query(
     spark: SparkSession,
     sql: str,
@@ -38,18 +46,21 @@ def run_query(
 ) -> QueryRun:
     """Check and run one statement; the driver sees its row count only.
 
-    Analysis is the check without running. A failed text goes to ``repair(sql, error)`` for a new text
+    Analysis is the check without running; a text that passes it is ``checked`` and has the planner's
+    estimate of the bytes of its result. A failed text goes to ``repair(sql, error)`` for a new text
     until it works, the repairs run out or give none.
     """
     records: list[tuple] = []
     for attempt in range(1, max_retries + 2):
+        checked, size = False, None
         try:
             frame = spark.sql(sql, args=args) if args else spark.sql(sql)
-            records.append((query_id, attempt, sql, True, None, frame.count()))
+            checked, size = True, estimated_bytes(frame)
+            records.append((query_id, attempt, sql, checked, size, True, None, frame.count()))
             return QueryRun(frame, records)
         except PySparkException as problem:
             message = str(problem)
-            records.append((query_id, attempt, sql, False, message, None))
+            records.append((query_id, attempt, sql, checked, size, False, message, None))
             fixed = repair(sql, message) if repair and attempt <= max_retries else None
             if not fixed:
                 break
@@ -65,16 +76,15 @@ def with_megabytes(runs: DataFrame, size: str = "bytes") -> DataFrame:
     return runs.withColumn("megabytes", megabytes(F.col(size)))
 
 
-def attempt_summary(attempts: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
+def attempt_summary(attempts: DataFrame) -> DataFrame:
     """Per query: attempts made, final outcome, final text, first and last error.
 
-    Attempts beyond one run and its retries are not part of a query's history. All figures combine
-    before the shuffle.
+    All attempts of a log count, however many; the limit on retries belongs to ``run_query``. All
+    figures combine before the shuffle.
     """
     error = F.when(~F.col("success"), clean_error(F.col("error")))
     return (
-        attempts.where(F.col("attempt") <= max_retries + 1)
-        .groupBy("query_id")
+        attempts.groupBy("query_id")
         .agg(
             F.max("attempt").alias("attempts"),
             F.max_by("success", "attempt").alias("success"),

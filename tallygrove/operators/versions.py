@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,35 +15,34 @@ from ..session import ensure_checkpoint_dir
 def folder_roots(folders: DataFrame, key: str = "id", parent: str = "parent_id") -> DataFrame:
     """Root of every folder, with a status: ok, missing_parent or cycle.
 
-    Pointers double in every round, so a tree of depth d takes about log2(d) joins. Settled folders
-    leave the moving side, and each round is cut off by a reliable checkpoint.
+    Pointers double in every round, so a tree of depth d takes about log2(d) joins. A round stores only
+    the folders that still moved in it; those it settles are stored once, with the round that settled them.
     """
     ensure_checkpoint_dir(folders.sparkSession)
     start = folders.select(F.col(key).alias("id"), F.col(parent).alias("__parent"))
-    state = start.select(
-        "id",
-        F.coalesce("__parent", "id").alias("at"),
-        F.when(F.col("__parent").isNull(), "ok").alias("status"),
-    ).checkpoint()
+    moving = start.select("id", F.coalesce("__parent", "id").alias("at"), F.when(F.col("__parent").isNull(), "ok").alias("status")).checkpoint()
+    settled = [moving.where("status IS NOT NULL")]
     open_before = None
     while True:
-        moving = state.where(F.col("status").isNull())
+        moving = moving.where("status IS NULL")
         open_now = moving.count()
         if open_now == 0:
             break
         if open_now == open_before:
             # A round that settles nothing has only folders on or below a cycle left.
-            state = state.withColumn("status", F.coalesce("status", F.lit("cycle")))
+            settled.append(moving.withColumn("status", F.lit("cycle")))
             break
         open_before = open_now
-        seen = state.select(F.col("id").alias("at"), F.col("at").alias("__next"), F.col("status").alias("__state"), F.lit(True).alias("__found"))
-        moved = moving.drop("status").join(seen, "at", "left").select(
+        seen = reduce(DataFrame.unionByName, settled, moving).select(
+            F.col("id").alias("at"), F.col("at").alias("__next"), F.col("status").alias("__state"), F.lit(True).alias("__found")
+        )
+        moving = moving.drop("status").join(seen, "at", "left").select(
             "id",
             F.coalesce("__next", "at").alias("at"),
             F.when(F.col("__found").isNull(), "missing_parent").otherwise(F.col("__state")).alias("status"),
-        )
-        state = state.where(F.col("status").isNotNull()).unionByName(moved).checkpoint()
-    return state.select(
+        ).checkpoint()
+        settled.append(moving.where("status IS NOT NULL"))
+    return reduce(DataFrame.unionByName, settled).select(
         F.col("id").alias(key), F.when(F.col("status") == "ok", F.col("at")).alias("root_id"), "status"
     )
 
@@ -83,7 +84,7 @@ def match_versions(
 ) -> DataFrame:
     """Requests (collection_id, version) with tier and version rows, and a status for the three failures.
 
-    The first tier or version row in file order counts.
+    The first tier or version row in file order counts, and the last mapping row of a collection.
     """
     first_tiers = tiers.groupBy("environment", F.col("shortName").alias("tier")).agg(
         F.min_by(F.struct("datasetsBucket", "artifactRegistryRepo"), "position").alias("tier_row")
@@ -92,7 +93,11 @@ def match_versions(
     first_versions = versions.groupBy(
         "environment", F.col("accessTier").alias("tier"), F.col("dcVersionName").alias("version")
     ).agg(F.min_by(F.struct(*version_fields), "position").alias("version_row"))
-    known = mapping.select("collection_id", "environment", "tier")
+    known = (
+        mapping.groupBy("collection_id")
+        .agg(F.max_by(F.struct("environment", "tier"), "position").alias("last"))
+        .select("collection_id", "last.environment", "last.tier")
+    )
     joined = (
         wanted.join(known, "collection_id", "left")
         .join(first_tiers, ["environment", "tier"], "left")
@@ -128,18 +133,29 @@ def path_variables(versions: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def workspace_variables(matched: DataFrame, keys: list[str]) -> DataFrame:
-    """All variables of workspaces (workspace_name, project) with their matched tier and version, one row each."""
-    base = _base_path()
+    """All variables of workspaces (workspace_name, project) with their matched tier and version, one row each.
+
+    A field that a configuration lacks counts as an empty text, so repository and dataset are always given.
+    """
+    matched = matched.withColumn("__base", _base_path())
+    nothing = F.lit(None).cast("string")
+
+    def filled(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(""))
+
     values = {
         "WORKSPACE_UFID": F.col("workspace_name"),
         "WORKSPACE_BUCKET": F.concat(F.lit(WORKSPACE_BUCKET_PREFIX), F.col("project")),
-        "ARTIFACT_REGISTRY_DOCKER_REPO": F.col("artifactRegistryRepo"),
-        "WORKSPACE_CDR": F.concat(F.col("bigqueryProject"), F.lit("."), F.col("bigqueryDataset")),
-        "CDR_STORAGE_PATH": base,
+        "ARTIFACT_REGISTRY_DOCKER_REPO": filled("artifactRegistryRepo"),
+        "WORKSPACE_CDR": F.concat(filled("bigqueryProject"), F.lit("."), filled("bigqueryDataset")),
+        "CDR_STORAGE_PATH": F.col("__base"),
     }
+    pairs = [F.struct(F.lit(n).alias("variable"), v.alias("whole"), nothing.alias("path")) for n, v in values.items()]
     for field, variable in VERSION_PATHS.items():
         if field in matched.columns:
-            values[variable] = F.when(base.isNotNull() & (F.col(field) != ""), join_paths(base, F.col(field)))
-    values |= {name: F.lit(value) for name, value in STATIC_VARIABLES.items()}
-    pairs = F.array(*[F.struct(F.lit(n).alias("variable"), v.alias("value")) for n, v in values.items()])
-    return matched.select(*keys, F.inline(pairs)).where(F.col("value").isNotNull())
+            pairs.append(F.struct(F.lit(variable).alias("variable"), nothing.alias("whole"), F.nullif(F.col(field), F.lit("")).alias("path")))
+    pairs += [F.struct(F.lit(n).alias("variable"), F.lit(v).alias("whole"), nothing.alias("path")) for n, v in STATIC_VARIABLES.items()]
+    # Paths are joined after the rows are made, by one expression for all fields.
+    rows = matched.select(*keys, "__base", F.inline(F.array(*pairs)))
+    value = F.coalesce("whole", F.when(F.col("__base").isNotNull() & F.col("path").isNotNull(), join_paths(F.col("__base"), F.col("path"))))
+    return rows.select(*keys, "variable", value.alias("value")).where(F.col("value").isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import TYPE_NAMES
 from ..functions.once import once
 from ..operators import catalog as c
+from ..operators.profile import column_profile
 from ..session import scratch_path, stored
 from ..sources import documents as d
 from ..sources import tables as st
@@ -363,17 +364,23 @@ def sensitive_columns(spark, sf_dir):
 
 @query(
     "documents_read",
-    f"WITH {_DOCS_SQL} SELECT table_name, p_name AS title, p_size % 4 + 1 AS column_count FROM tabs",
+    f"""WITH {_DOCS_SQL}
+        SELECT {_name_sql('t')} AS table_name, arg_max(p_name, p_partkey % 3) || ' v' || CAST(max(p_partkey % 3) + 1 AS VARCHAR) AS title,
+               arg_max(p_size, p_partkey % 3) % 4 + 1 AS column_count
+        FROM docs GROUP BY t""",
 )
 def documents_read(spark, sf_dir):
-    """Documents written as files under the shared folder, with broken ones among them, and read back."""
+    """Documents as files in subfolders, one to three versions of each and broken ones among them; the last path of a table counts."""
     path = scratch_path(spark, "documents")
-    texts = document_texts(spark, sf_dir)
-    broken = texts.where("CAST(path AS BIGINT) % 50 = 0").withColumn("text", F.expr("substring(text, 1, length(text) DIV 2)"))
-    texts.unionByName(broken).select("text").write.text(path)
+    texts = document_texts(spark, sf_dir).withColumn("key", F.col("path").cast("long"))
+    titled = F.regexp_replace("text", '"title":"([^"]*)"', F.concat(F.lit('"title":"$1 v'), F.col("version").cast("string"), F.lit('"')))
+    versions = texts.withColumn("version", F.explode(F.sequence(F.lit(1), (F.col("key") % 3 + 1).cast("int"))))
+    whole = versions.select("key", "version", titled.alias("text"))
+    broken = texts.where("key % 50 = 0").select("key", F.lit(9).alias("version"), F.expr("substring(text, 1, length(text) DIV 2)").alias("text"))
+    # One line per document; folders keep versions apart and in order.
+    whole.unionByName(broken).select("version", "text").write.partitionBy("version").text(path)
     read = d.read_documents(spark, path, lines=True, pattern="*.txt")
-    ordered = read.withColumn("doc_path", F.lpad(F.substring_index("id", "-", -1), 12, "0"))
-    return c.parse_tables(ordered).select("table_name", "title", F.size("columns").cast("long").alias("column_count"))
+    return c.parse_tables(read).select("table_name", "title", F.size("columns").cast("long").alias("column_count"))
 
 
 _GIVEN = (
@@ -384,21 +391,76 @@ _GIVEN = (
 @query(
     "table_list",
     " UNION ALL ".join(
-        f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS row_count, (SELECT count(*) FROM (DESCRIBE {n})) AS column_count"
+        f"""SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS row_count, (SELECT count(*) FROM (DESCRIBE {n})) AS column_count,
+            true AS has_bytes, true AS has_time"""
         for n in _GIVEN
     ),
 )
 def table_list(spark, sf_dir):
-    return st.table_sizes({n: table(spark, sf_dir, n) for n in _GIVEN})
+    listed = st.table_sizes({n: table(spark, sf_dir, n) for n in _GIVEN})
+    return listed.select(
+        "table_name", "row_count", "column_count", (F.col("size_bytes") > 0).alias("has_bytes"), F.col("changed").isNotNull().alias("has_time")
+    )
+
+
+_TYPE_SQL = """CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
+    WHEN 'TIMESTAMP' THEN 'timestamp' WHEN 'DATE' THEN 'date' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'FLOAT[]' THEN 'array<float>' END"""
 
 
 @query(
     "table_columns",
-    """SELECT row_number() OVER () AS position, column_name, (SELECT count(*) FROM orders) AS row_count
-       FROM (DESCRIBE orders) AS q""",
+    " UNION ALL ".join(
+        f"""SELECT '{n}' AS table_name, position, q.column_name, {_TYPE_SQL} AS data_type, true AS is_nullable, CAST(NULL AS VARCHAR) AS description, r.n
+            FROM (SELECT row_number() OVER () AS position, column_name, column_type FROM (DESCRIBE {n})) AS q
+            JOIN (UNPIVOT (SELECT count(COLUMNS(*)) FROM {n}) ON * INTO NAME column_name VALUE n) AS r USING (column_name)"""
+        for n in _GIVEN
+    ),
 )
 def table_columns(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    counts = st.table_sizes({"orders": orders}).select("table_name", "row_count")
-    columns = st.columns_of(orders).withColumn("table_name", F.lit("orders"))
-    return columns.join(counts, "table_name").select(F.col("position").cast("long").alias("position"), "column_name", "row_count")
+    """Columns of all given tables with type, whether they may miss values, description, and how many values they have."""
+    found = None
+    for name in _GIVEN:
+        given = table(spark, sf_dir, name)
+        counts = column_profile(given).select(F.col("column").alias("column_name"), "n")
+        one = st.columns_of(given).join(counts, "column_name").withColumn("table_name", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    kind = F.regexp_replace("data_type", "timestamp_ntz", "timestamp")
+    return found.select("table_name", F.col("position").cast("long").alias("position"), "column_name", kind.alias("data_type"), "is_nullable", "description", "n")
+
+
+@query(
+    "project_tables",
+    " UNION ALL ".join(
+        f"SELECT 1 AS priority, 'ward_{w}' AS dataset, '{n}' AS table_name, (SELECT count(*) FROM {n}) AS row_count, true AS has_bytes"
+        for w, names in (("a", _GIVEN[::2]), ("b", _GIVEN[1::2])) for n in names
+    ),
+)
+def project_tables(spark, sf_dir):
+    """The given tables as catalogue tables of two datasets, listed over two projects of which one is not there, with their facts."""
+    folder, listed = scratch_path(spark, "wards"), None
+    for w, names in (("a", _GIVEN[::2]), ("b", _GIVEN[1::2])):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS ward_{w} LOCATION '{folder}/{w}'")
+        for n in names:
+            spark.sql(f"DROP TABLE IF EXISTS ward_{w}.{n}")
+            spark.sql(f"CREATE TABLE ward_{w}.{n} USING parquet LOCATION '{sf_dir.rstrip('/')}/{n}.parquet'")
+        facts = st.dataset_tables(spark, f"spark_catalog.ward_{w}", count_rows=True).withColumn("dataset", F.lit(f"ward_{w}"))
+        listed = facts if listed is None else listed.unionByName(facts)
+    tables = st.list_tables(spark, ["nosuch", "spark_catalog"]).where(F.col("dataset").startswith("ward_"))
+    return tables.join(listed, ["dataset", "table_name"]).select(
+        "priority", "dataset", "table_name", "row_count", (F.col("size_bytes") > 0).alias("has_bytes")
+    )
+
+
+@query(
+    "named_parameters",
+    """SELECT o_orderpriority, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey
+       WHERE o_totalprice >= 1000.0 AND c_acctbal < 5000.0 GROUP BY o_orderpriority""",
+)
+def named_parameters(spark, sf_dir):
+    """SQL with named values and frames."""
+    return st.sql_with(
+        spark,
+        """SELECT o_orderpriority, count(*) AS n FROM {orders} JOIN {customers} ON c_custkey = o_custkey
+           WHERE o_totalprice >= :least AND c_acctbal < :below GROUP BY o_orderpriority""",
+        orders=table(spark, sf_dir, "orders"), customers=table(spark, sf_dir, "customer"), least=1000.0, below=5000.0,
+    )

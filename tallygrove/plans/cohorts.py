@@ -157,6 +157,7 @@ def top_scores(spark, sf_dir):
 def small_cells(spark, sf_dir):
     rows = event_measurements(spark, sf_dir).join(persons_with_sex(persons(spark, sf_dir), sexes(spark, sf_dir)), "person_id")
     figures = {"n_rows": F.count(F.lit(1)), "mean_value": F.round(F.avg("value_as_number"), 6)}
-    by_sex = n.hide_small_cells(rows, ["sex_at_birth", "measurement_concept_id"], figures)
-    overall = n.hide_small_cells(rows, ["measurement_concept_id"], figures)
-    return by_sex.unionByName(overall.withColumn("sex_at_birth", F.lit("all")))
+    keys = ["sex_at_birth", "measurement_concept_id"]
+    both = n.hide_small_cells(rows, keys, figures, also=[["measurement_concept_id"]])
+    by_sex = F.array_contains("grouped_by", "sex_at_birth")
+    return both.withColumn("sex_at_birth", F.when(by_sex, F.col("sex_at_birth")).otherwise("all")).drop("grouped_by")

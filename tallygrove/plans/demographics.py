@@ -23,10 +23,14 @@ rows_ AS (
   FROM joined)"""
 
 
-def _joined(spark, sf_dir):
-    """Measurements with person, sex, source and ages."""
-    people = m.persons_with_sex(persons(spark, sf_dir), sexes(spark, sf_dir))
-    rows = event_measurements(spark, sf_dir).join(event_sources(spark, sf_dir), "measurement_id").join(people, "person_id")
+def _joined(spark, sf_dir, sex=False, site=False):
+    """Measurements with person and ages, and with sex and source where they are asked for."""
+    people = persons(spark, sf_dir)
+    if sex:
+        people = m.persons_with_sex(people, sexes(spark, sf_dir))
+    rows = event_measurements(spark, sf_dir).join(people, "person_id")
+    if site:
+        rows = rows.join(event_sources(spark, sf_dir), "measurement_id", "left")
     age = a.age_by_days(F.col("measurement_date"), F.col("birth_datetime"))
     return rows.withColumn("age", age).withColumn("age_group", a.age_band(F.col("age")))
 
@@ -67,14 +71,19 @@ def age_band(spark, sf_dir):
 
 
 def _width_sql(width: int) -> str:
-    top = f"(greatest(CAST(ceil(calendar_age / {width}.0) AS BIGINT), 1) * {width})"
-    return f"""{_JOINED_SQL} SELECT CASE WHEN {top} = {width} THEN '[' ELSE '(' END || CAST({top} - {width} AS VARCHAR) || ','
-               || CAST({top} AS VARCHAR) || ']' AS age_group, count(*) AS n FROM joined GROUP BY ALL"""
+    """The cut by its definition: edges are multiples of the width from below the least age on; a band holds its upper edge, the first both."""
+    return f"""{_JOINED_SQL}, bounds AS (SELECT CAST(floor(min(calendar_age) / {width}.0) AS BIGINT) * {width} AS low, max(calendar_age) AS high FROM joined),
+      edges AS (SELECT unnest(generate_series(low, greatest(high, low + 1) + {width} - 1, {width})) AS edge, low FROM bounds),
+      bands AS (SELECT edge - {width} AS a, edge AS b, edge - {width} = low AS lowest FROM edges WHERE edge > low)
+      SELECT CASE WHEN lowest THEN '[' ELSE '(' END || CAST(a AS VARCHAR) || ',' || CAST(b AS VARCHAR) || ']' AS age_group, count(*) AS n
+      FROM joined JOIN bands ON calendar_age <= b AND (calendar_age > a OR lowest AND calendar_age = a) GROUP BY ALL"""
 
 
 def _width(spark, sf_dir, width):
     years = a.age_by_calendar(F.col("measurement_date"), F.col("birth_datetime"))
-    banded = _joined(spark, sf_dir).select(a.width_band(years, width).alias("age_group"))
+    aged = _joined(spark, sf_dir).select(years.alias("years"))
+    least = aged.agg(F.min("years")).first()[0]
+    banded = aged.select(a.width_band(F.col("years"), width, least).alias("age_group"))
     return banded.groupBy("age_group").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -103,22 +112,22 @@ FROM plotted AS r JOIN q ON {on} GROUP BY {picked}"""
 
 
 def _box(rows, keys):
-    return rounded(b.box_figures(m.within_limit(rows), keys), "q1", "median", "q3")
+    return rounded(b.box_figures(m.within_limit(rows), keys, method="exact"), "q1", "median", "q3")
 
 
 @query("box_by_sex", _box_sql("sex_at_birth"))
 def box_by_sex(spark, sf_dir):
-    return _box(_joined(spark, sf_dir), ["sex_at_birth"])
+    return _box(_joined(spark, sf_dir, sex=True), ["sex_at_birth"])
 
 
 @query("box_by_site", _box_sql("src_id"))
 def box_by_site(spark, sf_dir):
-    return _box(_joined(spark, sf_dir), ["src_id"])
+    return _box(_joined(spark, sf_dir, site=True), ["src_id"])
 
 
 @query("box_by_age_sex", _box_sql("age_group, sex_at_birth"))
 def box_by_age_sex(spark, sf_dir):
-    return _box(_joined(spark, sf_dir).where(F.col("age_group").isNotNull()), ["age_group", "sex_at_birth"])
+    return _box(_joined(spark, sf_dir, sex=True).where(F.col("age_group").isNotNull()), ["age_group", "sex_at_birth"])
 
 
 _NAMED_SQL = """CASE WHEN unit_concept_id = 0 THEN 'No matching concept' WHEN unit_concept_id = 1 THEN NULL ELSE 'mg' END"""
@@ -132,7 +141,7 @@ def _named(spark, sf_dir):
         F.col("sex_at_birth") != "NATION_2", F.col("sex_at_birth")
     )
     return (
-        _joined(spark, sf_dir)
+        _joined(spark, sf_dir, sex=True)
         .withColumnRenamed("measurement_concept_id", "standard_concept_name")
         .withColumn("unit_concept_name", unit)
         .withColumn("sex_at_birth", sex)
@@ -149,7 +158,8 @@ def _plot_sql(where: str, keys: str) -> str:
 
 def _plotted(spark, sf_dir, keys, policy):
     rows = _named(spark, sf_dir)
-    first = m.first_concept(rows, "standard_concept_name", "measurement_id")
+    events = event_measurements(spark, sf_dir).withColumnRenamed("measurement_concept_id", "standard_concept_name")
+    first = m.first_concept(events, "standard_concept_name", "measurement_id")
     kept = m.plot_rows(rows, first, null_policy=policy, age="age")
     return kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("value_as_number").alias("y"))
 
@@ -182,7 +192,15 @@ def plot_rows_drop_sex(spark, sf_dir):
     _box_sql("measurement_concept_id, unit_concept_id, sex_at_birth"),
 )
 def box_by_unit_sex(spark, sf_dir):
-    return _box(_joined(spark, sf_dir), ["measurement_concept_id", "unit_concept_id", "sex_at_birth"])
+    return _box(_joined(spark, sf_dir, sex=True), ["measurement_concept_id", "unit_concept_id", "sex_at_birth"])
+
+
+@query(
+    "box_by_unit_age_sex",
+    _box_sql("measurement_concept_id, unit_concept_id, age_group, sex_at_birth"),
+)
+def box_by_unit_age_sex(spark, sf_dir):
+    return _box(_joined(spark, sf_dir, sex=True), ["measurement_concept_id", "unit_concept_id", "age_group", "sex_at_birth"])
 
 
 @query(
@@ -190,7 +208,7 @@ def box_by_unit_sex(spark, sf_dir):
     f"{_JOINED_SQL} SELECT sex_at_birth, max(value_as_number) AS y, 'N = ' || CAST(count(*) AS VARCHAR) AS label FROM rows_ GROUP BY sex_at_birth",
 )
 def group_labels(spark, sf_dir):
-    return b.group_label(_joined(spark, sf_dir), ["sex_at_birth"])
+    return b.group_label(_joined(spark, sf_dir, sex=True), ["sex_at_birth"])
 
 
 @query(
@@ -259,18 +277,49 @@ def _rounded_profile(df):
 
 @query("profile", _profile_sql("SELECT * FROM orders"))
 def profile(spark, sf_dir):
-    return _rounded_profile(p.column_profile(table(spark, sf_dir, "orders")))
+    return _rounded_profile(p.column_profile(table(spark, sf_dir, "orders"), method="exact"))
 
 
 @query("profile_first_rows", _profile_sql("SELECT * FROM orders ORDER BY o_orderkey LIMIT 10001"))
 def profile_first_rows(spark, sf_dir):
     """The short form of the profile, which looks at the first 10,001 rows by its definition."""
-    return _rounded_profile(p.column_profile(table(spark, sf_dir, "orders"), rows=p.PROFILE_ROWS, order=["o_orderkey"]))
+    return _rounded_profile(p.column_profile(table(spark, sf_dir, "orders"), method="exact", rows=p.PROFILE_ROWS, order=["o_orderkey"]))
 
 
-@query("profile_sketch")
+@query(
+    "profile_sketch",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS n, count(*) - count({c}) AS missing, true AS distinct_close, true AS quartiles_close FROM lineitem"""
+        for c in (
+            "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
+        ).split()
+    ),
+)
 def profile_sketch(spark, sf_dir):
-    return p.column_profile(table(spark, sf_dir, "lineitem"), method="approx")
+    """The one-pass profile of a large table: exact counts, and whether its estimates lie within their stated errors of the exact profile."""
+    lines = table(spark, sf_dir, "lineitem")
+    rough, exact = p.column_profile(lines), p.column_profile(lines, method="exact")
+    # One hundredth of the range around each quartile is far wider than the sketch's rank error allows for these values.
+    met = rough.alias("r").join(exact.alias("e"), "column")
+    near = F.lit(True)
+    for q in ("q1", "median", "q3"):
+        near = near & (F.abs(F.col(f"r.{q}") - F.col(f"e.{q}")) <= (F.col("e.max") - F.col("e.min")) / 100 + F.lit(1))
+    distinct = F.abs(F.col("r.n_distinct") - F.col("e.n_distinct")) <= F.col("e.n_distinct") * 0.2 + 1
+    return met.select(
+        "column", "r.n", "r.missing", distinct.alias("distinct_close"),
+        F.when(F.col("e.mean").isNull(), True).otherwise(near).alias("quartiles_close"),
+    )
+
+
+@query(
+    "profile_nested",
+    """SELECT 'vec_id' AS "column", count(vec_id) AS n, count(*) - count(vec_id) AS missing, max(vec_id)::DOUBLE AS max FROM embeddings
+       UNION ALL SELECT 'embedding', count(embedding), count(*) - count(embedding), NULL FROM embeddings
+       UNION ALL SELECT 'label', count(label), count(*) - count(label), max(label)::DOUBLE FROM embeddings""",
+)
+def profile_nested(spark, sf_dir):
+    """A table with a list column, which has counts only."""
+    return p.column_profile(table(spark, sf_dir, "embeddings")).select("column", "n", "missing", "max")
 
 
 @query(

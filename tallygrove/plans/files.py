@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from ..sources import files as s
 from . import query
-from .bind import table
+from .bind import as_text, table
 
 
-@query("csv_round_trip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("csv_round_trip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders")
 def csv_round_trip(spark, sf_dir):
     """Orders written as CSV with a header and read back with a schema."""
-    orders = table(spark, sf_dir, "orders").drop("o_orderdate")
+    orders = table(spark, sf_dir, "orders")
     path = scratch_path(spark, "orders-csv")
     s.write_csv(orders, path)
-    return s.read_csv(spark, path, orders.schema, multi_line=False)
+    return as_text(s.read_csv(spark, path, orders.schema), "o_orderdate")
 
 
 @query(
@@ -28,7 +28,7 @@ def csv_texts(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     path = scratch_path(spark, "texts-csv")
     s.write_csv(texts, path)
-    return s.read_csv(spark, path, texts.schema).select("doc_id", F.md5("text").alias("text_md5"), "lang")
+    return s.read_csv(spark, path, texts.schema, multi_line=True).select("doc_id", F.md5("text").alias("text_md5"), "lang")
 
 
 @query("csv_listing", "SELECT o_orderstatus AS part, true AS has_data FROM orders GROUP BY o_orderstatus")
@@ -40,10 +40,3 @@ def csv_listing(spark, sf_dir):
     return found.groupBy(F.regexp_extract("path", "o_orderstatus=([^/]+)/", 1).alias("part")).agg(
         (F.sum("size_bytes") > 0).alias("has_data")
     )
-
-
-@query("list_files")
-def list_files(spark, sf_dir):
-    return s.list_files(spark, sf_dir, "*.parquet").select(
-        F.substring_index("path", "/", -1).alias("file_name"), "size_bytes"
-    )

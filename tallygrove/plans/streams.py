@@ -66,7 +66,7 @@ def container_lines(spark, sf_dir):
     log = F.concat("event_type", F.lit(' "'), F.col("user_id"), F.lit('"'))
     line = F.to_json(F.struct(log.alias("log"), F.lit("stdout").alias("stream"), F.col("ts").alias("time"), "event_id"))
     table(spark, sf_dir, "events").select(line.alias("value")).write.text(source)
-    lines = g.tail_files(spark, source, pattern="*.txt", max_length=10_000)
+    lines = g.tail_files(spark, source, pattern="*.txt")
     parsed = g.parse_container_lines(lines, g.CONTAINER_SCHEMA + ", event_id BIGINT")
     _finish(g.write_routed(parsed.drop("line"), out, marks, available_now=True))
     read = spark.read.schema("event_id BIGINT, log STRING, stream STRING, filepath STRING, tag STRING").parquet(out)

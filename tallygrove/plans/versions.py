@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import STATIC_VARIABLES
+from ..constants import STATIC_VARIABLES, VERSION_PATHS
 from ..operators import versions as v
 from ..session import scratch_path
 from ..sources import documents as d
 from . import query
 from .bind import table
 
+# Path fields that are filled by rule; the three others have forms of their own.
+_OTHER_PATHS = [
+    (i, f) for i, f in enumerate(VERSION_PATHS) if f not in ("wgsVdsPath", "wgsCramManifestPath", "wgsLongReadsManifestPath")
+]
+
 # ---- made inputs, in Spark ----
 
 
@@ -32,16 +37,23 @@ def _pick(words: list[str], index: Column) -> Column:
 
 def _mapping(spark, sf_dir) -> DataFrame:
     n = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").select(
-        F.concat(F.lit("c"), n).alias("collection_id"),
-        _pick(["test", "stable", "prod", "lab"], n % 4).alias("environment"),
-        _pick(["registered", "controlled"], n % 2).alias("tier"),
-    )
+    nations = table(spark, sf_dir, "nation")
+
+    def rows(shift: int) -> DataFrame:
+        return nations.select(
+            F.concat(F.lit("c"), n).alias("collection_id"),
+            _pick(["test", "stable", "prod", "lab"], (n + shift) % 4).alias("environment"),
+            _pick(["registered", "controlled"], (n + shift) % 2).alias("tier"),
+            (n + shift * 1000).alias("position"),
+        )
+
+    # Every third collection is mapped again further down; the later row counts.
+    return rows(0).unionByName(rows(1).where("position % 3 = 0"))
 
 
 def _tiers(spark, sf_dir) -> DataFrame:
     n = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").where(n % 6 != 5).select(
+    return table(spark, sf_dir, "nation").select(
         _pick(["test", "stable", "prod"], n % 3).alias("environment"),
         n.alias("position"),
         _pick(["registered", "controlled"], n % 2).alias("shortName"),
@@ -65,6 +77,7 @@ def _versions(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("wgs/"), text, F.lit("/hail.vds")).alias("wgsVdsPath"),
         F.when(s % 2 == 0, F.concat(F.lit("/cram/"), text, F.lit("/"))).otherwise("").alias("wgsCramManifestPath"),
         F.when(s % 3 == 0, F.concat(F.lit("lr/"), text)).alias("wgsLongReadsManifestPath"),
+        *[F.when(s % (i % 5 + 2) == 0, "").otherwise(F.concat(F.lit(f"f{i}/"), text)).alias(f) for i, f in _OTHER_PATHS],
     )
 
 
@@ -104,8 +117,9 @@ walk AS (
 roots AS (SELECT f.id, root_id, coalesce(status, 'cycle') AS status FROM folders AS f LEFT JOIN walk USING (id))"""
 
 _LINEAGE_SQL = f"""{_FOREST_SQL},
-mapping AS (SELECT 'c' || CAST(n_nationkey AS VARCHAR) AS collection_id, (['test', 'stable', 'prod', 'lab'])[n_nationkey % 4 + 1] AS environment,
-                   (['registered', 'controlled'])[n_nationkey % 2 + 1] AS tier FROM nation),
+mapping AS (SELECT 'c' || CAST(n_nationkey AS VARCHAR) AS collection_id, (['test', 'stable', 'prod', 'lab'])[(n_nationkey + again) % 4 + 1] AS environment,
+                   (['registered', 'controlled'])[(n_nationkey + again) % 2 + 1] AS tier
+            FROM (SELECT *, CASE WHEN (n_nationkey + 1000) % 3 = 0 THEN 1 ELSE 0 END AS again FROM nation)),
 entries AS (
   SELECT o_custkey AS workspace_id, o_orderkey AS resource_order, 0 AS position, o_orderkey * 7 % 149 AS r, o_orderkey * 7 % 149 % 40 AS w FROM orders
   UNION ALL SELECT o_custkey, o_orderkey, 1, o_orderkey * 3 % 149, o_orderkey * 3 % 149 % 25 FROM orders),
@@ -120,7 +134,7 @@ workspace_version AS (
 _MATCH_SQL = f"""{_LINEAGE_SQL},
 tiers AS (
   SELECT (['test', 'stable', 'prod'])[n_nationkey % 3 + 1] AS environment, (['registered', 'controlled'])[n_nationkey % 2 + 1] AS tier,
-         min(n_nationkey) AS n FROM nation WHERE n_nationkey % 6 <> 5 GROUP BY ALL),
+         min(n_nationkey) AS n FROM nation GROUP BY ALL),
 versions AS (
   SELECT (['test', 'stable', 'prod'])[s_suppkey % 3 + 1] AS environment, (['registered', 'controlled'])[s_suppkey % 2 + 1] AS tier,
          'cdrv' || CAST(s_suppkey % 5 + 6 AS VARCHAR) AS version, min(s_suppkey) AS s FROM supplier GROUP BY ALL),
@@ -140,7 +154,8 @@ based AS (SELECT *, CASE WHEN bucket <> '' AND base <> '' THEN trim(bucket, '/')
 paths AS (
   SELECT workspace_id, 'WGS_VDS_PATH' AS variable, root || '/wgs/' || CAST(s AS VARCHAR) || '/hail.vds' AS value FROM based WHERE root IS NOT NULL
   UNION ALL SELECT workspace_id, 'WGS_CRAM_MANIFEST_PATH', root || '/cram/' || CAST(s AS VARCHAR) FROM based WHERE root IS NOT NULL AND s % 2 = 0
-  UNION ALL SELECT workspace_id, 'LONG_READS_MANIFEST_PATH', root || '/lr/' || CAST(s AS VARCHAR) FROM based WHERE root IS NOT NULL AND s % 3 = 0)"""
+  UNION ALL SELECT workspace_id, 'LONG_READS_MANIFEST_PATH', root || '/lr/' || CAST(s AS VARCHAR) FROM based WHERE root IS NOT NULL AND s % 3 = 0
+  {" ".join(f"UNION ALL SELECT workspace_id, '{VERSION_PATHS[f]}', root || '/f{i}/' || CAST(s AS VARCHAR) FROM based WHERE root IS NOT NULL AND s % {i % 5 + 2} <> 0" for i, f in _OTHER_PATHS)})"""
 
 
 @query(

@@ -39,7 +39,8 @@ def read_documents(
 ) -> DataFrame:
     """JSON documents below a folder, local or remote, with their file path; unreadable ones are skipped.
 
-    ``lines`` reads files that hold one document per line and can be split between tasks.
+    ``lines`` reads files that hold one document per line and can be split between tasks; the place within
+    the file then follows the path, so that a later line of a file also sorts later.
     """
     schema = DOCUMENT_SCHEMA + ", _corrupt_record STRING"
     found = (
@@ -51,7 +52,12 @@ def read_documents(
         .json(path)
     )
     # The path column keeps the parser reading whole documents, so the broken-record mark is always set.
-    located = found.select("*", F.col("_metadata.file_path").alias("doc_path"))
+    path_column = F.col("_metadata.file_path")
+    if lines:
+        # Blocks of a file in order, and rows of a block in the order they are read.
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        path_column = F.format_string("%s#%020d#%020d", path_column, F.col("_metadata.file_block_start"), row)
+    located = found.select("*", path_column.alias("doc_path"))
     return located.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
@@ -81,5 +87,6 @@ def read_config(
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """Collection mapping rows: a JSON array of objects."""
-    return spark.read.schema(MAPPING_SCHEMA).option("multiLine", True).json(path)
+    """Collection mapping rows, a JSON array of objects, with their ``position`` in the file."""
+    texts = spark.read.text(path, wholetext=True)
+    return texts.select(F.posexplode(F.from_json("value", f"ARRAY<STRUCT<{MAPPING_SCHEMA.replace(' STRING', ': STRING')}>>")).alias("position", "row")).select("row.*", "position")

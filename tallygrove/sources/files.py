@@ -8,15 +8,19 @@ from pyspark.sql.types import StructType
 
 
 # Quotes are doubled inside quoted fields and blanks are kept, as other CSV tools write them.
-_FORM = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_FORM = {
+    "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType | str | None = None, infer: bool = False, multi_line: bool = True
+    spark: SparkSession, path: str, schema: StructType | str | None = None, infer: bool = False, multi_line: bool = False
 ) -> DataFrame:
     """CSV with a header row. With a schema the files are read once; without one all columns are text unless asked.
 
-    An empty field is a missing value. Fields may hold line ends. Where none does, ``multi_line=False`` lets one large file be split between tasks.
+    An empty field is a missing value. Large files are split between tasks; ``multi_line`` reads files whose
+    fields hold line ends, each in one task.
     """
     reader = spark.read.options(**_FORM).option("multiLine", multi_line)
     if schema is not None:

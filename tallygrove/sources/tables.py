@@ -19,11 +19,9 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def sql_with(spark: SparkSession, sql: str, **args) -> DataFrame:
-    """Run SQL with named parameters; DataFrames become temporary views of that name."""
-    for name, value in args.items():
-        if isinstance(value, DataFrame):
-            value.createOrReplaceTempView(name)
-    return spark.sql(sql, args={k: v for k, v in args.items() if not isinstance(v, DataFrame)})
+    """Run SQL with named parameters (``:name``) and frames (``{name}``); no view of the session is touched."""
+    frames = {k: v for k, v in args.items() if isinstance(v, DataFrame)}
+    return spark.sql(sql, args={k: v for k, v in args.items() if k not in frames}, **frames)
 
 
 def name_parts(name: str) -> list[str] | None:
@@ -70,20 +68,29 @@ def list_tables(spark: SparkSession, projects: list[str] | None = None) -> DataF
 
 
 def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
-    """Row count, column count and file count of named tables, ordered by name; each count reads file footers only."""
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(
+    """Rows, columns, files, bytes and latest change of named tables that lie in files, ordered by name; rows and files come from file footers."""
+
+    def facts(name: str, df: DataFrame) -> DataFrame:
+        file = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        files = file.groupBy("file_path", "file_size", "file_modification_time").agg(F.count(F.lit(1)).alias("rows"))
+        return files.agg(
             F.lit(name).alias("table_name"),
-            "row_count",
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"),
             F.lit(len(df.columns)).cast("long").alias("column_count"),
+            F.count(F.lit(1)).alias("file_count"),
+            F.coalesce(F.sum("file_size"), F.lit(0)).alias("size_bytes"),
+            F.max("file_modification_time").alias("changed"),
         )
-        for name, df in tables.items()
-    ]
+
+    counts = [facts(name, df) for name, df in tables.items()]
     return reduce(DataFrame.unionByName, counts).orderBy("table_name")
 
 
-def dataset_tables(spark: SparkSession, dataset: str) -> DataFrame | None:
-    """Tables of a one- or two-part dataset name with type, rows, bytes and times, ordered by name."""
+def dataset_tables(spark: SparkSession, dataset: str, count_rows: bool = False) -> DataFrame | None:
+    """Tables of a one- or two-part dataset name with type, bytes and times, ordered by name.
+
+    Rows and bytes come from the catalogue's statistics, where it has any; ``count_rows`` counts instead.
+    """
     parts = dataset.replace("`", "").split(".")
     if len(parts) > 2:
         return None
@@ -92,16 +99,18 @@ def dataset_tables(spark: SparkSession, dataset: str) -> DataFrame | None:
         names = [t for t in spark.catalog.listTables(scope) if not t.isTemporary]
     except PySparkException:
         return None
-    schema = "table_name STRING, table_type STRING, size_bytes BIGINT, created STRING"
+    schema = "table_name STRING, table_type STRING, size_bytes BIGINT, row_count BIGINT, created STRING"
     rows = []
     for t in names:
         facts = {
             r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {scope}.`{t.name}`").collect()
         }
-        size = re.match(r"(\d+) bytes", facts.get("Statistics") or "")
-        rows.append((t.name, t.tableType, int(size.group(1)) if size else None, facts.get("Created Time")))
+        size = re.match(r"(\d+) bytes(?:, (\d+) rows)?", facts.get("Statistics") or "")
+        known = [int(x) if x else None for x in size.groups()] if size else [None, None]
+        rows.append((t.name, t.tableType, *known, facts.get("Created Time")))
     listed = spark.createDataFrame(rows, schema)
-    if not names:
-        return listed.withColumn("row_count", F.lit(None).cast("long"))
+    if not names or not count_rows:
+        return listed.orderBy("table_name")
     counts = table_sizes({t.name: spark.table(f"{scope}.`{t.name}`") for t in names})
-    return listed.join(counts.select("table_name", "row_count"), "table_name").orderBy("table_name")
+    counts = counts.select("table_name", "size_bytes", "row_count")
+    return listed.drop("size_bytes", "row_count").join(counts, "table_name").orderBy("table_name")

@@ -11,7 +11,10 @@ from tallygrove.operators import boxplot as b
 from tallygrove.operators import measurement as m
 from tallygrove.operators import profile as p
 from tallygrove.operators import survey as s
-from tallygrove.operators.quantiles import group_quantiles
+from tallygrove.operators import quantiles
+from tallygrove.operators.profile import column_profile
+from tallygrove.operators.quantiles import count_values, group_quantiles, quantiles_of_counts
+from tallygrove.session import stored
 
 
 @pytest.fixture(scope="module")
@@ -46,22 +49,51 @@ def test_exact_quantiles(skewed, interpolation):
         assert np.allclose(got[k][1], np.quantile(values, probs, method=method), rtol=1e-12)
 
 
-def test_quantiles_overall_and_bounded(skewed):
+def test_quantiles_overall_and_sketch(skewed):
     data, df = skewed
     values = [v for _, v in data if v is not None]
     row = group_quantiles(df, [], "v", [0.1, 0.5]).first()
     assert row.n == len(values) and np.allclose(row.quantiles, np.quantile(values, [0.1, 0.5]))
-    bounded = group_quantiles(df.where("k = 'flat'"), ["k"], "v", [0.5], method="bounded").first()
-    assert (bounded.n, bounded.quantiles) == (3000, [5.0])
+    flat = group_quantiles(df.where("k = 'flat'"), ["k"], "v", [0.5]).first()
+    assert (flat.n, flat.quantiles) == (3000, [5.0])
     approx = group_quantiles(df.where("k = 'hot'"), ["k"], "v", [0.5], method="approx").first().quantiles[0]
     ordered = sorted(v for k, v in data if k == "hot")
     rank = sum(v < approx for v in ordered) / len(ordered)
     assert abs(rank - 0.5) < 0.001
 
 
+@pytest.mark.parametrize("limit", [3, 50, 100_000])
+def test_quantiles_do_not_depend_on_what_a_task_sorts(skewed, limit):
+    data, df = skewed
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.999, 1.0]
+    counted = stored(count_values(df, ["k"], "v"))
+    got = {r.g.k: r.quantiles for r in quantiles_of_counts(counted, probs, limit=limit).collect()}
+    whole = {r.g.k: r.quantiles for r in quantiles_of_counts(counted, probs).collect()}
+    assert got == whole
+
+
+def test_no_part_is_larger_than_what_a_task_sorts(skewed, monkeypatch):
+    data, df = skewed
+    seen = []
+    picked = quantiles._picked
+    monkeypatch.setattr(quantiles, "_picked", lambda running, ranks: seen.append(running) or picked(running, ranks))
+    narrowed = quantiles._narrowed
+    sizes = []
+
+    def watch(parts, ranks, limit):
+        finer = narrowed(parts, ranks, limit)
+        if finer is None:
+            sizes.append(parts.groupBy("g", "part").count().agg(F.max("count")).first()[0])
+        return finer
+
+    monkeypatch.setattr(quantiles, "_narrowed", watch)
+    quantiles_of_counts(stored(count_values(df, ["k"], "v")), [0.25, 0.5, 0.75], limit=40).collect()
+    assert sizes and sizes[0] <= 40
+
+
 def test_box_figures(skewed):
     data, df = skewed
-    got = {r.k: r for r in b.box_figures(df, ["k"], "v").collect()}
+    got = {r.k: r for r in b.box_figures(df, ["k"], "v", method="exact").collect()}
     for k, values in _by_group(data).items():
         q1, q2, q3 = np.quantile(values, [0.25, 0.5, 0.75])
         inside = [v for v in values if q1 - 1.5 * (q3 - q1) <= v <= q3 + 1.5 * (q3 - q1)]
@@ -142,12 +174,32 @@ def test_ages(spark):
 
 def test_bands(spark):
     df = spark.createDataFrame([(x,) for x in (None, 0, 10, 11, 34, 35, 49, 50, 64, 65, 120)], "age INT")
-    bands = [tuple(r) for r in df.select(a.age_band(F.col("age")), a.width_band(F.col("age"), 10), a.width_band(F.col("age"), 5)).collect()]
+    bands = [tuple(r) for r in df.select(a.age_band(F.col("age")), a.width_band(F.col("age"), 10, 0), a.width_band(F.col("age"), 5, 0)).collect()]
     assert [x[0] for x in bands] == [None] + ["<35"] * 4 + ["35-49"] * 2 + ["50-64"] * 2 + ["65+"] * 2
     assert [x[1] for x in bands[:5]] == [None, "[0,10]", "[0,10]", "(10,20]", "(30,40]"]
     assert [x[2] for x in bands[:4]] == [None, "[0,5]", "(5,10]", "(10,15]"]
 
 
+@pytest.mark.parametrize(
+    "ages, width, want",
+    [
+        ([18, 20, 21], 10, ["[10,20]", "[10,20]", "(20,30]"]), ([20, 30, 31], 10, ["[20,30]", "[20,30]", "(30,40]"]),
+        ([0, 10, 11], 10, ["[0,10]", "[0,10]", "(10,20]"]), ([-3, 0, 10], 10, ["[-10,0]", "[-10,0]", "(0,10]"]), ([18, 20, 25], 5, ["[15,20]", "[15,20]", "(20,25]"]),
+    ],
+)
+def test_width_bands_start_at_the_least_age(spark, ages, width, want):
+    df = spark.createDataFrame([(x,) for x in ages], "age INT")
+    assert [r[0] for r in df.select(a.width_band(F.col("age"), width, min(ages))).collect()] == want
+
+
+def test_profile_of_nested_columns(spark):
+    df = spark.createDataFrame([([1.0], b"x", 3), (None, b"y", None)], "v ARRAY<DOUBLE>, raw BINARY, n INT")
+    for method in ("approx", "exact"):
+        got = {r.column: (r.n, r.missing, r.n_distinct, r.max) for r in column_profile(df, method=method).collect()}
+        assert got == {"v": (1, 1, None, None), "raw": (2, 0, None, None), "n": (1, 1, 1, 3.0)}
+    assert column_profile(df.select("v"), method="exact").count() == 1
+
+
 def test_plot_rows(spark, rows):
     data = [
         ("c", "mg", "F", 1.0), ("c", None, "F", 2.0), ("c", "No matching concept", "F", 3.0), ("c", "NULL", "F", 4.0),
@@ -189,7 +241,7 @@ def test_profile(spark):
         assert (got["v"].n, got["v"].missing, got["t"].n_distinct, got["b"].n_distinct) == (75, 25, 3, 2)
         assert np.isclose(got["v"].mean, np.mean(values)) and np.isclose(got["v"].stddev, np.std(values, ddof=1))
         assert got["t"].mean is None and (got["id"].min, got["id"].max) == (0.0, 99.0)
-    assert np.isclose({r.column: r for r in p.column_profile(df).collect()}["id"].q1, 24.75)
+    assert np.isclose({r.column: r for r in p.column_profile(df, "exact").collect()}["id"].q1, 24.75)
     assert {r.n for r in p.column_profile(df, rows=10, order=["id"]).where("column = 'id'").collect()} == {10}
     assert tuple(p.frame_shape(df).first()) == (100, 4)
     empty = p.column_profile(df.limit(0)).collect()

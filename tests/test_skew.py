@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrove.operators import cohort as c
+from tallygrove.operators import frames as f
 from tallygrove.operators import measurement as m
 
 _SMALL = {
@@ -58,3 +59,16 @@ def test_counts_and_ranks_of_a_hot_person(spark, small_limits, facts):
     assert c.count_persons(facts, cohort, "n").first().n == facts.select("person_id").distinct().where("person_id < 2500").count()
     latest = m.latest_per_person(facts)
     assert latest.count() == 5000 and latest.where("person_id = 7").first().measurement_id == 299_997
+
+
+def test_last_lines_of_a_hot_key_without_pushed_ranks(spark, small_limits, facts):
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(name)
+    want = sorted(tuple(r) for r in f.last_lines(facts, "person_id", ["id"], 100).where("person_id = 7").select("id", "line_rank").collect())
+    spark.conf.set(name, "-1")
+    try:
+        lines = f.last_lines(facts, "person_id", ["id"], 100)
+        assert sorted(tuple(r) for r in lines.where("person_id = 7").select("id", "line_rank").collect()) == want
+        assert lines._jdf.queryExecution().executedPlan().toString().count("Window") >= 2
+    finally:
+        spark.conf.set(name, before)

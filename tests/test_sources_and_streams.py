@@ -15,9 +15,9 @@ def test_csv(spark, tmp_path, rows):
     path = str(tmp_path / "out")
     s.write_csv(df.coalesce(1), path)
     # An empty text and a missing one look alike in CSV and come back as missing.
-    assert rows(s.read_csv(spark, path, df.schema)) == [(1, ' a "q", b\nline ', None), (2, None, 1.5)]
+    assert rows(s.read_csv(spark, path, df.schema, multi_line=True)) == [(1, ' a "q", b\nline ', None), (2, None, 1.5)]
     assert s.read_csv(spark, path).dtypes == [("id", "string"), ("text", "string"), ("v", "string")]
-    assert s.read_csv(spark, path, infer=True).dtypes[0] == ("id", "int")
+    assert s.read_csv(spark, path, infer=True, multi_line=True).dtypes[0] == ("id", "int")
     listed = s.list_files(spark, str(tmp_path), "*.csv")
     assert listed.columns == ["path", "size_bytes", "modificationTime"] and listed.count() == 1
     assert s.list_files(spark, str(tmp_path), "*.txt").count() == 0
@@ -36,10 +36,11 @@ def test_tables(spark, rows):
     found = st.list_tables(spark, ["nosuch", "spark_catalog"]).where("dataset = 'ward'")
     assert rows(found, "priority", "project", "table_name") == [(1, "spark_catalog", "person")]
     spark.sql("ANALYZE TABLE ward.person COMPUTE STATISTICS")
-    tables = st.dataset_tables(spark, "ward").first()
+    assert st.dataset_tables(spark, "ward").first().row_count == 2
+    tables = st.dataset_tables(spark, "ward", count_rows=True).first()
     assert (tables.table_name, tables.row_count, tables.table_type) == ("person", 2, "MANAGED") and tables.size_bytes > 0
     assert st.dataset_tables(spark, "a.b.c") is None and st.dataset_tables(spark, "nosuch") is None
-    asked = st.sql_with(spark, "SELECT count(*) AS n FROM IDENTIFIER(:t) JOIN members USING (person_id)", t="ward.person", members=spark.createDataFrame([(1,)], "person_id BIGINT"))
+    asked = st.sql_with(spark, "SELECT count(*) AS n FROM IDENTIFIER(:t) JOIN {members} USING (person_id)", t="ward.person", members=spark.createDataFrame([(1,)], "person_id BIGINT"))
     assert rows(asked) == [(1,)]
 
 

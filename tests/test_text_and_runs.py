@@ -100,6 +100,7 @@ def test_runs(spark):
     spark.range(1200).createOrReplaceTempView("numbers")
     fine = g.run_query(spark, "SELECT * FROM numbers WHERE id >= :low", args={"low": 100})
     log = fine.log(spark).first()
+    assert log.checked and log.estimated_bytes > 0
     assert (fine.frame.count(), log.row_count, log.is_large, log.success, log.attempt) == (1100, 1100, True, True, 1)
     asked = []
 
@@ -114,3 +115,9 @@ def test_runs(spark):
     assert len(gave_up.records) == 1
     summary = g.attempt_summary(failed.log(spark)).first()
     assert (summary.attempts, summary.success, summary.final_sql) == (3, False, "SELECT nosuch FROM numbers") and "nosuch" in summary.last_error
+
+
+def test_all_attempts_count(spark):
+    attempts = spark.createDataFrame([("q", i, f"s{i}", i == 5, None if i == 5 else "e") for i in range(1, 6)], "query_id STRING, attempt INT, sql STRING, success BOOLEAN, error STRING")
+    got = g.attempt_summary(attempts).first()
+    assert (got.attempts, got.success, got.final_sql) == (5, True, "s5")

@@ -43,10 +43,11 @@ def config(spark, tmp_path_factory):
         ],
     }
     mapping = [{"dataCollectionUuid": f"c{i}", "cdrEnv": e, "accessTier": t} for i, (e, t) in enumerate([("prod", "registered"), ("prod", "controlled"), ("lab", "controlled"), ("prod", "open")])]
+    mapping.insert(0, {"dataCollectionUuid": "c1", "cdrEnv": "lab", "accessTier": "registered"})  # mapped again below
     (root / "prod.json").write_text(json.dumps(prod, indent=1))
     (root / "mapping.json").write_text(json.dumps(mapping, indent=1))
     tiers, versions = d.read_config(spark, str(root / "prod.json"), "prod")
-    known = d.read_mapping(spark, str(root / "mapping.json")).toDF("collection_id", "environment", "tier")
+    known = d.read_mapping(spark, str(root / "mapping.json")).toDF("collection_id", "environment", "tier", "position")
     return known, tiers, versions
 
 
