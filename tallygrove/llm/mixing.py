@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.once import once
 from ..session import stored
 from .common import SPACES, running_before, text_of, word_count
 
@@ -112,7 +113,7 @@ def taken_pieces(placed: DataFrame, drawn: DataFrame, block: int = BLOCK) -> Dat
 
 def _parts(docs: DataFrame, text: str, weights: tuple[int, ...], budget: float, most: float, block: int, seed: int) -> DataFrame:
     t = text_of(text)
-    narrow = stored(docs.select("doc_id", "source", word_count(t).alias("size"), F.xxhash64(t).alias("mark")))
+    narrow = stored(docs.select("doc_id", "source", word_count(t).alias("size"), F.xxhash64(t, "source").alias("mark")))
     sources = stored(targets(narrow, weights, budget, most))
     return taken_pieces(streams(narrow, sources), draws(sources, block, SHARDS, seed), block)
 
@@ -134,16 +135,18 @@ def mixed_texts(
 ) -> DataFrame:
     """The mix as documents: each with the words taken of it, in order, and again for those taken once more.
 
-    All columns stay; ``pass`` tells how many takes went before. A pass without words gives no row.
+    All columns stay, whatever their names. A take without words gives no row.
     """
     parts = _parts(docs, text, weights, budget, most, block, seed).where("times > 0")
     parts = parts.select("doc_id", "mark", "sid", "start", "first", "n", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("pass"))
     cuts = parts.groupBy("doc_id", "mark", "sid", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("cuts"))
-    one = docs.select("*", F.xxhash64(text_of(text)).alias("_mark")).dropDuplicates(["doc_id", "source", "_mark"])
-    names = cuts.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"), "cuts", (F.col("pass") - 1).alias("pass"))
-    met = one.join(names, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")))
-    # A word with the white space behind it; what stands before the first word goes with it.
-    tokens = F.regexp_extract_all(F.btrim(text_of(text), F.lit(SPACES)), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    met = met.select(*docs.columns, "pass", "cuts", F.explode(F.array(tokens)).alias("_tokens"))
-    pieces = F.transform("cuts", lambda c: F.array_join(F.slice("_tokens", c["first"].cast("int") + 1, c["n"].cast("int")), ""))
-    return met.withColumn(text, F.rtrim(F.array_join(pieces, ""))).drop("cuts", "_tokens")
+    body = text_of(text)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(body, "source").alias("same"), body.alias("body"))
+    # Equal documents have their places in ``cuts`` each; one of them gives the text.
+    met = rows.dropDuplicates(["id", "same"]).join(cuts, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("same") == F.col("mark")))
+    # A word with the white space behind it.
+    tokens = F.regexp_extract_all(F.btrim("body", F.lit(SPACES)), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    met = once(met.select("row", "cuts", tokens.alias("split")), tokens=F.col("split"))
+    pieces = F.transform("cuts", lambda c: F.array_join(F.slice("tokens", c["first"].cast("int") + 1, c["n"].cast("int")), ""))
+    taken = F.btrim(F.array_join(pieces, ""), F.lit(SPACES))
+    return met.select(*(taken.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))

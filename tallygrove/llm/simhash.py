@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return prints.join(by_print, "fp").select(key, hexed, "component_id")
 
 
-#: Names of A-Z in lower case, as the fingerprints take them.
+#: A-Z and their lower case, as the fingerprints take them.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -294,10 +294,13 @@ def distinct_texts(
     Texts whose fingerprints (of ``width`` words) lie within ``radius`` bits are candidates. They are linked if their
     sets of ``words_each`` words have a Jaccard similarity of ``similarity`` or more; groups are connected over links.
     Texts with one fingerprint are compared with the first of them, which stands for it towards others. A null id is
-    larger than any other; rows of one text with the same id, or all without, stay together.
+    larger than any other; rows of one text with the same id, or all without, stay together. Of all groups, that of
+    texts without words is one.
     """
-    marked = docs.select("*", F.coalesce(F.col(text), F.lit("")).alias("_body")).select("*", F.sha2(F.col("_body").cast("binary"), 256).alias("_mark"))
-    seen = stored(fingerprints(marked.select(F.struct(F.col(key).alias("id"), F.col("_mark").alias("mark")).alias("who"), "_body"), "who", "_body", width))
+    body = F.coalesce(F.col(text), F.lit(""))
+    marked = docs.select(F.struct("*").alias("row"), F.col(key).alias("_id"), body.alias("_body"), F.sha2(body.cast("binary"), 256).alias("_mark"))
+    who = F.struct(F.col("_id").alias("id"), F.col("_mark").alias("mark")).alias("who")
+    seen = stored(fingerprints(marked.select(who, "_body"), "who", "_body", width))
     texts = stored(seen.groupBy("who.mark").agg(F.min("who.id").alias("least"), F.min("fp").alias("fp")))
     first = stored(texts.groupBy("fp").agg(F.min("mark").alias("first"), F.count("*").alias("n")))
     near = links(first.select("fp"), radius)
@@ -313,8 +316,7 @@ def distinct_texts(
     every = F.size("sx") + F.size("sy") - both
     alike = pairs.join(left, "x").join(right, "y").where((every == 0) | (both >= F.lit(similarity) * every)).select("x", "y")
     groups = components(alike, "x", "y")
-    ranked = texts.join(groups, F.col("mark") == F.col("node"), "left").select("mark", F.coalesce("least", F.lit(None)).alias("least"), F.coalesce("root", "mark").alias("root"))
+    ranked = texts.join(groups, F.col("mark") == F.col("node"), "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
     best = ranked.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "mark")).alias("best"))
     stay = best.select(F.col("best.mark").alias("m"), F.col("best.least").alias("i"))
-    kept = marked.join(stay, (F.col("_mark") == F.col("m")) & F.col(key).eqNullSafe(F.col("i")))
-    return kept.select(*(marked[c] for c in docs.columns))
+    return marked.join(stay, (F.col("_mark") == F.col("m")) & F.col("_id").eqNullSafe(F.col("i"))).select("row.*")
