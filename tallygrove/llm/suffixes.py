@@ -165,15 +165,23 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _anchors(texts: DataFrame, length: int) -> DataFrame:
+    """The anchors of each stretch of a text, as a list."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         for batch in batches:
-            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
+            places, lists = [], []
+            for row, text in enumerate(batch.column(2).cast(pa.large_binary())):
                 for _, hashes, _, _ in segments(text.as_py(), length, powers):
-                    n = len(hashes)
-                    yield pa.RecordBatch.from_pydict({"ta": pa.array(np.full(n, a)), "tb": pa.array(np.full(n, b)), "anchor": pa.array(hashes)})
+                    places.append(row)
+                    lists.append(hashes)
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            values = pa.array(np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64))
+            at = pa.array(places, pa.int64())
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.ListArray.from_arrays(pa.array(ends), values)]
+            yield pa.RecordBatch.from_arrays(columns, names=["ta", "tb", "anchors"])
 
-    return texts.select("ta", "tb", "text").mapInArrow(run, "ta long, tb long, anchor long")
+    return texts.select("ta", "tb", "text").mapInArrow(run, "ta long, tb long, anchors array<long>")
 
 
 def _bodies(texts: DataFrame, length: int) -> DataFrame:
@@ -241,7 +249,7 @@ def _counted(hot: DataFrame, length: int) -> DataFrame:
 def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per text (``ta``, ``tb``, ``text``; all different) with a repeated string, ``spans`` of (first byte, end), merged."""
     texts = texts.where(F.octet_length("text") >= length)
-    anchors = _anchors(texts, length)
+    anchors = written(_anchors(texts, length), "anchors").select("ta", "tb", F.explode("anchors").alias("anchor"))
     twice = anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     listed = anchors.join(twice, "anchor", "left_semi").groupBy("ta", "tb").agg(F.collect_set("anchor").alias("anchors"))
     found = _bodies(texts.join(listed, ["ta", "tb"]), length)
