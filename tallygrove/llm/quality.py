@@ -50,6 +50,9 @@ ROUNDS = 20
 #: Imaginary votes of each kind that keep estimated shares off zero and one.
 SMOOTHING = 0.5
 THRESHOLD = 0.5
+#: Share of good texts that a rule may vote against. Without a bound, a flaw that one rule alone sees and chance bad
+#: votes on good texts explain the votes equally well.
+FALSE_ALARMS = 0.002
 
 _FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_upper", "n_loud"]
 
@@ -141,6 +144,12 @@ def _first_guess(pattern: tuple[int, ...]) -> list[float]:
     return [0.0] + [b / sum(bad) for b in bad]
 
 
+def _few_alarms(shares: dict[int, float]) -> dict[int, float]:
+    alarms = min(shares[-1], FALSE_ALARMS)
+    rest = (1 - alarms) / (1 - shares[-1])
+    return {-1: alarms, 0: shares[0] * rest, 1: shares[1] * rest}
+
+
 def fit(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> Model | None:
     """Expectation-maximisation over pattern counts; None for no documents.
 
@@ -162,6 +171,7 @@ def fit(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> Model | Non
             ]
             for k in range(size + 1)
         ]
+        votes[0] = [_few_alarms(shares) for shares in votes[0]]
         weights = [(m + SMOOTHING) / (sum(mass) + (size + 1) * SMOOTHING) for m in mass]
         model = Model(weights, votes)
         guess = {p: model.kinds(p) for p in counts}
