@@ -111,3 +111,18 @@ FORWARD_TEXT = "Forwarded request to backend"
 FORWARD_TIME_FORMAT = "yyyy/MM/dd HH:mm:ss"
 LOAD_THRESHOLD = 0.1
 ACTIVITY_KINDS = ("cpu", "proxy", "ssh", "boot")
+
+# Messages of the registry rules.
+RULE_MESSAGES = {
+    "name": "app_name is required",
+    "name_form": "app_name must contain only letters, numbers, hyphens, and underscores",
+    "name_reserved": "app_name cannot be a reserved path",
+    "user": "username is required",
+    "home": "user_home_directory is required",
+    "dockerfile": "dockerfile is required",
+    "port": "port must be between 1 and 65535",
+    "feature": "invalid optional feature: ",
+}
+
+# Fixed value: characters of a description in a table sheet.
+SHEET_WIDTH = 60

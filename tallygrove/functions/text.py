@@ -28,11 +28,11 @@ def marked_sql(text: Column) -> Column:
     return F.coalesce(F.when(text.rlike(SQL_BLOCK), strip(F.regexp_extract(text, SQL_BLOCK, 1))), F.lit(""))
 
 
-def clean_error(text: Column) -> Column:
+def clean_error(text: Column, length: int = ERROR_LENGTH) -> Column:
     """Drop the first three-digit code, cut long texts, strip."""
     bare = F.regexp_replace(text, ERROR_CODE, "$1")
     cut = F.when(
-        F.length(bare) > ERROR_LENGTH, F.concat(F.substring(bare, 1, ERROR_LENGTH), F.lit(ERROR_TAIL))
+        F.length(bare) > length, F.concat(F.substring(bare, 1, length), F.lit(ERROR_TAIL))
     ).otherwise(bare)
     return strip(cut)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DOCUMENT_KIND, MAPPING_IDENTITY, SENSITIVE_LABELS, TYPE_DEFAULT, TYPE_NAMES
+from ..constants import DOCUMENT_KIND, MAPPING_IDENTITY, SENSITIVE_LABELS, SHEET_WIDTH, TYPE_DEFAULT, TYPE_NAMES
 from ..functions.once import once
 from ..functions.paths import last_part
 
@@ -302,15 +302,15 @@ def detail_text(tables: DataFrame) -> DataFrame:
     return tables.select("table_name", _lines(head, columns, joins).alias("text"))
 
 
-def sheet_text(tables: DataFrame) -> DataFrame:
-    """Text of single tables as a sheet with a column table."""
+def sheet_text(tables: DataFrame, width: int = SHEET_WIDTH) -> DataFrame:
+    """Text of single tables as a sheet with a column table; descriptions are cut to a width."""
     columns = F.transform(
         "columns",
         lambda c: F.concat(
             F.lit("| `"), c["name"], F.lit("` | "), c["data_type"], F.lit(" | "),
             F.when(c["is_required"], "✓").otherwise(""), F.lit(" | "),
             F.coalesce(_text(c["sensitivity_label"]), F.lit("-")), F.lit(" | "),
-            F.substring(c["short_description"], 1, 60), F.lit(" |"),
+            F.substring(c["short_description"], 1, width), F.lit(" |"),
         ),
     )
 

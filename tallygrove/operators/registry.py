@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import APP_NAME_PATTERN, PORT_RANGE, RESERVED_NAMES
+from ..constants import APP_NAME_PATTERN, PORT_RANGE, RESERVED_NAMES, RULE_MESSAGES
 from ..functions.text import strip
 
 
@@ -19,15 +19,16 @@ def _rules(features: list[str]) -> list[tuple[Column, Column]]:
     wanted = F.coalesce(F.col("optional_features"), F.array().cast("array<string>"))
     unknown = F.filter(wanted, lambda f: ~f.isin(*features)) if features else wanted
     low, high = PORT_RANGE
+    m = RULE_MESSAGES
     return [
-        (empty("app_name"), F.lit("app_name is required")),
-        (~name.rlike(APP_NAME_PATTERN), F.lit("app_name must contain only letters, numbers, hyphens, and underscores")),
-        (name.isin(*RESERVED_NAMES), F.lit("app_name cannot be a reserved path")),
-        (empty("username"), F.lit("username is required")),
-        (empty("user_home_directory"), F.lit("user_home_directory is required")),
-        (empty("dockerfile"), F.lit("dockerfile is required")),
-        (~F.coalesce(F.col("port").between(low, high), F.lit(False)), F.lit("port must be between 1 and 65535")),
-        (F.size(unknown) > 0, F.concat(F.lit("invalid optional feature: "), F.get(unknown, F.lit(0)))),
+        (empty("app_name"), F.lit(m["name"])),
+        (~name.rlike(APP_NAME_PATTERN), F.lit(m["name_form"])),
+        (name.isin(*RESERVED_NAMES), F.lit(m["name_reserved"])),
+        (empty("username"), F.lit(m["user"])),
+        (empty("user_home_directory"), F.lit(m["home"])),
+        (empty("dockerfile"), F.lit(m["dockerfile"])),
+        (~F.coalesce(F.col("port").between(low, high), F.lit(False)), F.lit(m["port"])),
+        (F.size(unknown) > 0, F.concat(F.lit(m["feature"]), F.get(unknown, F.lit(0)))),
     ]
 
 

@@ -132,7 +132,7 @@ def path_variables(versions: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def workspace_variables(matched: DataFrame, keys: list[str]) -> DataFrame:
+def workspace_variables(matched: DataFrame, keys: list[str], bucket_prefix: str = WORKSPACE_BUCKET_PREFIX) -> DataFrame:
     """All variables of workspaces (workspace_name, project) with their matched tier and version, one row each.
 
     A field that a configuration lacks counts as an empty text, so repository and dataset are always given.
@@ -145,7 +145,7 @@ def workspace_variables(matched: DataFrame, keys: list[str]) -> DataFrame:
 
     values = {
         "WORKSPACE_UFID": F.col("workspace_name"),
-        "WORKSPACE_BUCKET": F.concat(F.lit(WORKSPACE_BUCKET_PREFIX), F.col("project")),
+        "WORKSPACE_BUCKET": F.concat(F.lit(bucket_prefix), F.col("project")),
         "ARTIFACT_REGISTRY_DOCKER_REPO": filled("artifactRegistryRepo"),
         "WORKSPACE_CDR": F.concat(filled("bigqueryProject"), F.lit("."), filled("bigqueryDataset")),
         "CDR_STORAGE_PATH": F.col("__base"),

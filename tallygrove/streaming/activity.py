@@ -45,11 +45,29 @@ def idle_machines(activity: DataFrame, as_of: Column, timeout_seconds: int | Col
     return activity.withColumn("is_idle", idle_flag(as_of, F.col("last_active"), timeout))
 
 
-def write_last_activity(marks: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Write the machines that changed in each batch to a folder of its own; a repeated batch overwrites itself."""
+def write_last_activity(
+    marks: DataFrame, path: str, checkpoint: str, available_now: bool = False, compact_every: int = 50
+) -> StreamingQuery:
+    """Write the machines that changed in each batch to a folder of its own; a repeated batch overwrites itself.
+
+    Every ``compact_every`` batches the batch's folder takes in all older ones, which then go. If such a batch is
+    repeated after its folder was written in full, only the clearing is done again.
+    """
 
     def save(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        spark, own = changed.sparkSession, f"batch={batch}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = [f.getPath() for f in store.listStatus(folder)] if store.exists(folder) else []
+        older = [p for p in there if p.getName().startswith("batch=") and p.getName() != own]
+        if batch % compact_every != compact_every - 1 or not older:
+            changed.write.mode("overwrite").parquet(f"{path}/{own}")
+            return
+        if not store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{own}/_SUCCESS")):
+            saved = spark.read.schema(changed.schema).parquet(*[p.toString() for p in older])
+            merge_activity(saved.unionByName(changed), changed.columns[0]).write.mode("overwrite").parquet(f"{path}/{own}")
+        for p in older:
+            store.delete(p, True)
 
     writer = last_activity(marks).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

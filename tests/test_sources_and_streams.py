@@ -102,3 +102,17 @@ def test_marks(spark, rows):
     assert rows(a.proxy_marks(lines)) == [("m", "proxy", dt.datetime(2024, 3, 29, 16, 15, 58))]
     loads = spark.createDataFrame([("m", 0.1, 1), ("m", 0.09, 2)], "machine STRING, load DOUBLE, at INT")
     assert rows(a.load_marks(loads)) == [("m", "cpu", 1)]
+
+
+def test_activity_batches_are_compacted(spark, tmp_path, rows):
+    source, out = tmp_path / "marks", str(tmp_path / "out")
+    source.mkdir()
+    schema = "machine STRING, kind STRING, at TIMESTAMP"
+    data = [(f"m{i % 3}", "cpu", dt.datetime(2024, 1, 1, i)) for i in range(7)]
+    for i, row in enumerate(data):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    a.write_last_activity(stream, out, str(tmp_path / "place"), available_now=True, compact_every=3).awaitTermination()
+    saved = spark.read.parquet(out).drop("batch")
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]) == 2  # batches 5 and 6
+    assert rows(a.merge_activity(saved)) == rows(a.last_activity(spark.createDataFrame(data, schema)))
