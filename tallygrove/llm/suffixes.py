@@ -100,6 +100,22 @@ def segments(text: bytes, length: int, powers: _Powers) -> Iterator[tuple[int, n
         yield start, h[anchor[first]].view(np.int64), first, np.diff(np.concatenate([first, [len(anchor)]]))
 
 
+def _stable_order(keys: np.ndarray) -> np.ndarray:
+    """Places in the order of keys below 2^32, equal keys as they were: a plain sort of keys and places packed in one number."""
+    packed = keys.astype(np.uint64) << np.uint64(32)
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _shard_order(keys: list[np.ndarray]) -> np.ndarray:
+    """Order by the first key, then the second and so on."""
+    order = np.arange(len(keys[0]))
+    for key in reversed(keys):
+        order = order[_stable_order(key[order])]
+    return order
+
+
 def repeated_windows(bodies: list[bytes], length: int, powers: _Powers) -> list[np.ndarray]:
     """For each segment, which of its windows are there again in it or in another."""
     step = length // _ROUNDS
@@ -114,17 +130,16 @@ def repeated_windows(bodies: list[bytes], length: int, powers: _Powers) -> list[
     owner = np.repeat(np.arange(len(bodies)), sizes + 1)
     at = np.flatnonzero(full)
     symbol[at] = np.maximum(_hashes(data, step, powers)[at - owner[at]], np.uint64(1))
-    ranks = np.unique(symbol[at], return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
-    code = np.zeros(total + length, dtype=np.uint64)
+    ranks = (np.unique(symbol[at], return_inverse=True)[1] + 1).astype(np.uint32)
+    code = np.zeros(total + length, dtype=np.uint32)
     code[at] = ranks
-    keys = [np.where(left >= step * (r + 1), code[step * r : step * r + total], np.uint64(0)) for r in range(_ROUNDS)]
-    high, low = keys[0] << np.uint64(32) | keys[1], keys[2] << np.uint64(32) | keys[3]
+    keys = [np.where(left >= step * (r + 1), code[step * r : step * r + total], np.uint32(0)) for r in range(_ROUNDS)]
     whole = keys[3] > 0
-    before = np.zeros(total, dtype=np.uint64)  # symbol that ends where the suffix starts
+    before = np.zeros(total, dtype=np.uint32)  # symbol that ends where the suffix starts
     before[at + step] = code[at]
     # Shards: sorted by themselves, each with its transform.
     cuts = [int(base[i]) for i in range(0, len(bodies), _SHARD)] + [total]
-    order = np.concatenate([a + np.lexsort((low[a:b], high[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])
+    order = np.concatenate([a + _shard_order([k[a:b] for k in keys]) for a, b in zip(cuts, cuts[1:], strict=False)])
     transform = before[order]
     shards = len(cuts) - 1
     shard_sizes = np.diff(cuts)
@@ -139,10 +154,10 @@ def repeated_windows(bodies: list[bytes], length: int, powers: _Powers) -> list[
         where[np.argsort(interleave, kind="stable")] = np.arange(total)
         symbols = transform[where]
         some = np.flatnonzero(symbols)
-        dealt = some[np.argsort(symbols[some], kind="stable")]
+        dealt = some[_stable_order(symbols[some])]
         interleave = np.concatenate([ends, interleave[dealt]])
         parted = np.zeros(total, dtype=bool)
-        parted[len(ends) + 1 :] = (np.diff(symbols[dealt]) != 0) | (np.diff(block[dealt]) != 0)
+        parted[len(ends) + 1 :] = (symbols[dealt][1:] != symbols[dealt][:-1]) | (np.diff(block[dealt]) != 0)
         if len(ends) < total:
             parted[len(ends)] = True
         shared[parted & (shared == _ROUNDS)] = r - 1
