@@ -137,7 +137,51 @@ def mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("conv_id", "turn", "role", body.alias("text"))
 
 
-@query("op8_quote_threads")
+_SPACES_SQL = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(
+    "op8_quote_threads",
+    f"""
+    WITH RECURSIVE own AS (SELECT conv_id, turn, any_value(coalesce(text, '')) AS said FROM conversations GROUP BY conv_id, turn),
+    mail AS (
+        SELECT c.conv_id, c.turn, concat_ws(chr(10) || chr(10),
+            '> > ' || replace(b.said, chr(10), chr(10) || '> > '), '> ' || replace(a.said, chr(10), chr(10) || '> '), coalesce(c.text, '')) AS body
+        FROM conversations c LEFT JOIN own a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1
+        LEFT JOIN own b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2),
+    split AS (SELECT conv_id, turn, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS i FROM mail),
+    marked AS (SELECT *, regexp_extract(line, '^([ \t]*>)+') AS marks FROM split),
+    parsed AS (
+        SELECT conv_id, turn, i, line, len(replace(replace(marks, ' ', ''), chr(9), '')) AS level,
+            lower(regexp_replace(trim(substring(line, len(marks) + 1), {_SPACES_SQL}), '[\x20\x09-\x0D]+', ' ', 'g')) AS words
+        FROM marked),
+    begun AS (
+        SELECT *, words <> '' AND (lag(level) OVER w IS DISTINCT FROM level OR lag(words) OVER w = '') AS starts
+        FROM parsed WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+    numbered AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS k FROM begun),
+    passages AS (
+        SELECT conv_id, turn, level, string_agg(words, ' ' ORDER BY i) AS passage FROM numbered WHERE words <> '' GROUP BY conv_id, turn, k, level),
+    wrote AS (SELECT passage, conv_id, min(turn) AS turn FROM passages WHERE level = 0 GROUP BY passage, conv_id),
+    anyone AS (SELECT passage, min({{'c': conv_id, 't': turn}}) AS far FROM wrote GROUP BY passage),
+    quoted AS (SELECT conv_id, turn, passage, min(level) AS level, count(*) * len(passage) AS n FROM passages WHERE level > 0 GROUP BY conv_id, turn, passage),
+    known AS (
+        SELECT q.conv_id, q.turn, level, n, CASE WHEN w.turn < q.turn THEN {{'c': w.conv_id, 't': w.turn}}
+            WHEN far.c < q.conv_id OR far.c = q.conv_id AND far.t < q.turn THEN far END AS parent
+        FROM quoted q LEFT JOIN wrote w ON w.passage = q.passage AND w.conv_id = q.conv_id LEFT JOIN anyone y ON y.passage = q.passage),
+    summed AS (SELECT conv_id, turn, level, parent, sum(n) AS n FROM known WHERE parent IS NOT NULL GROUP BY ALL),
+    best AS (SELECT conv_id, turn, parent FROM summed QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, parent) = 1),
+    links AS (SELECT m.conv_id, m.turn, parent FROM mail m LEFT JOIN best USING (conv_id, turn)),
+    walk AS (
+        SELECT conv_id, turn, parent, conv_id AS root_c, turn AS root_t, 0 AS depth FROM links WHERE parent IS NULL
+        UNION ALL SELECT l.conv_id, l.turn, l.parent, root_c, root_t, depth + 1 FROM links l JOIN walk ON l.parent.c = walk.conv_id AND l.parent.t = walk.turn),
+    texts AS (
+        SELECT conv_id, turn, coalesce(trim(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0), {_SPACES_SQL}), '') AS text FROM parsed GROUP BY conv_id, turn),
+    quotes AS (SELECT conv_id, turn, CAST(count(*) AS INTEGER) AS n_quotes FROM passages WHERE level > 0 GROUP BY conv_id, turn)
+    SELECT conv_id, turn, parent.c AS parent_conv_id, parent.t AS parent_turn, root_c AS root_conv_id, root_t AS root_turn, depth,
+        coalesce(n_quotes, 0) AS n_quotes, text
+    FROM walk JOIN texts USING (conv_id, turn) LEFT JOIN quotes USING (conv_id, turn)
+    """,
+)
 def op8_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(mailbox(spark, sf_dir), ["conv_id", "turn"], ["conv_id"]).select(
         "id.conv_id", "id.turn", F.col("parent.conv_id").alias("parent_conv_id"), F.col("parent.turn").alias("parent_turn"),
