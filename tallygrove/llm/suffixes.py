@@ -180,23 +180,24 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _anchors(texts: DataFrame, length: int) -> DataFrame:
-    """The anchors of each stretch of a text, as a list."""
+    """The different anchors of each stretch of a text, and how often each is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         for batch in batches:
-            places, lists = [], []
+            places, lists, times = [], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for row, text in enumerate(batch.column(2).cast(pa.large_binary())):
                 for _, hashes, _, _ in segments(text.as_py(), length, powers):
+                    different, count = np.unique(hashes, return_counts=True)
                     places.append(row)
-                    lists.append(hashes)
-            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            values = pa.array(np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64))
+                    lists.append(different)
+                    times.append(count)
+            ends = pa.array(np.cumsum([len(x) for x in lists]).astype(np.int32))
             at = pa.array(places, pa.int64())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.ListArray.from_arrays(pa.array(ends), values)]
-            yield pa.RecordBatch.from_arrays(columns, names=["ta", "tb", "anchors"])
+            found = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (lists, times)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *found], names=["ta", "tb", "anchors", "times"])
 
-    return texts.select("ta", "tb", "text").mapInArrow(run, "ta long, tb long, anchors array<long>")
+    return texts.select("ta", "tb", "text").mapInArrow(run, "ta long, tb long, anchors array<long>, times array<long>")
 
 
 def _bodies(texts: DataFrame, length: int) -> DataFrame:
@@ -264,9 +265,10 @@ def _counted(hot: DataFrame, length: int) -> DataFrame:
 def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per text (``ta``, ``tb``, ``text``; all different) with a repeated string, ``spans`` of (first byte, end), merged."""
     texts = texts.where(F.octet_length("text") >= length)
-    anchors = written(_anchors(texts, length), "anchors").select("ta", "tb", F.explode("anchors").alias("anchor"))
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    listed = anchors.join(twice, "anchor", "left_semi").groupBy("ta", "tb").agg(F.collect_set("anchor").alias("anchors"))
+    anchors = written(_anchors(texts, length), "anchors").select("ta", "tb", F.explode(F.arrays_zip("anchors", "times")).alias("x"))
+    anchors = anchors.select("ta", "tb", F.col("x.anchors").alias("anchor"), F.col("x.times").alias("times"))
+    twice = anchors.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor")
+    listed = anchors.drop("times").join(twice, "anchor", "left_semi").groupBy("ta", "tb").agg(F.collect_set("anchor").alias("anchors"))
     found = _bodies(texts.join(listed, ["ta", "tb"]), length)
     key = digest(F.col("body"))
     found = written(found.select("*", key["a"].alias("sa"), key["b"].alias("sb")), "segments")
