@@ -22,9 +22,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import once
 from ..session import stored
 from .common import words
 from .graph import components
@@ -278,12 +279,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shingles(text: Column, width: int) -> Column:
-    """Distinct hashes of the runs of ``width`` words; of all words, where they are fewer; none for a blank text."""
-    w = words(F.translate(text, _UPPER, _LOWER))
-    return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, width))))
-    )
+def with_shingles(texts: DataFrame, text: str, width: int) -> DataFrame:
+    """The texts with ``s``: distinct hashes of the runs of ``width`` words; of all words, where they are fewer; none for a blank text."""
+    split = texts.select("*", words(F.translate(text, _UPPER, _LOWER)).alias("_split")).drop(text)
+    w = once(split, _w=F.col("_split")).drop("_split")
+    places = F.sequence(F.lit(1), F.greatest(F.size("_w") - (width - 1), F.lit(1)))
+    runs = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice("_w", i, width))))
+    return w.select("*", F.when(F.size("_w") == 0, F.array().cast("array<bigint>")).otherwise(runs).alias("s")).drop("_w")
 
 
 def distinct_texts(
@@ -310,7 +312,7 @@ def distinct_texts(
     involved = pairs.select(F.explode(F.array("x", "y")).alias("_mark")).distinct()
     # Sets only of texts that have a candidate, once per text.
     bodies = marked.select("_mark", "_body").join(involved, "_mark", "left_semi").dropDuplicates(["_mark"])
-    sets = stored(bodies.select(F.col("_mark").alias("mark"), shingles(F.col("_body"), words_each).alias("s")))
+    sets = stored(with_shingles(bodies.select(F.col("_mark").alias("mark"), F.col("_body").alias("body")), "body", words_each))
     left, right = sets.select(F.col("mark").alias("x"), F.col("s").alias("sx")), sets.select(F.col("mark").alias("y"), F.col("s").alias("sy"))
     both = F.size(F.array_intersect("sx", "sy"))
     every = F.size("sx") + F.size("sy") - both
