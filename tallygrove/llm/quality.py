@@ -33,13 +33,14 @@ class Rule:
     bad: float
 
 
-#: Figures are shares of words or characters, but for ``shape``: the distance of the mean word length from 6.
+#: Figures are shares of words or characters, but for ``variety``, which sets the number of different words against the root
+#: of all, so that length does not count, and ``shape``, the distance of the mean word length from 6.
 RULES = (
     Rule("symbols", "n_symbols / n_words", 0.05, 0.2),
     Rule("capitals", "n_upper / word_chars", 0.15, 0.4),
     Rule("loud", "n_loud / n_words", 0.1, 0.3),
     Rule("repeats", "n_repeat_words / n_words", 0.1, 0.3),
-    Rule("variety", "1 - n_distinct_words / n_words", 0.8, 0.95),
+    Rule("variety", "sqrt(n_words) / greatest(n_distinct_words, 1)", 0.5, 1.0),
     Rule("lines", "n_dup_lines / n_words", 0.02, 0.06),
     Rule("shape", "abs(word_chars / n_words - 6)", 3.0, 6.0),
 )
@@ -54,8 +55,6 @@ THRESHOLD = 0.5
 #: votes on good texts explain the votes equally well.
 FALSE_ALARMS = 0.002
 
-_FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_upper", "n_loud"]
-
 
 def _with_next(values: str, skip: int, others: str | None = None) -> Column:
     """Hash of each value with the one ``skip`` places on, of the same list or of another."""
