@@ -25,7 +25,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = stars.union(stars.select(F.col("m").alias("v"), F.col("v").alias("m")))
         least = both.groupBy(F.col("v").alias("c")).agg(F.least(F.min("m"), F.first("v")).alias("low"))
-        large = both.join(least, F.col("v") == F.col("c")).where("m > v").select(F.col("m").alias("v"), F.col("low").alias("m")).distinct()
+        # Each link once: its smaller node hands its least neighbour to the larger.
+        large = stars.join(least, F.col("m") == F.col("c")).select("v", F.col("low").alias("m")).distinct()
         centre = large.groupBy(F.col("v").alias("c")).agg(F.min("m").alias("low"))
         joined = large.join(centre, F.col("v") == F.col("c"))
         small = joined.where("m != low").select(F.col("m").alias("v"), F.col("low").alias("m"))

@@ -309,7 +309,7 @@ def distinct_texts(
     across = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
     within = texts.join(first.where("n > 1").select(F.col("fp").alias("f"), "first"), F.col("fp") == F.col("f")).where("mark != first").select(F.col("first").alias("x"), F.col("mark").alias("y"))
     pairs = stored(across.union(within))
-    involved = pairs.select(F.explode(F.array("x", "y")).alias("_mark")).distinct()
+    involved = pairs.select(F.col("x").alias("_mark")).union(pairs.select("y")).distinct()
     # Sets only of texts that have a candidate, once per text.
     bodies = marked.select("_mark", "_body").join(involved, "_mark", "left_semi").dropDuplicates(["_mark"])
     sets = stored(with_shingles(bodies.select(F.col("_mark").alias("mark"), F.col("_body").alias("body")), "body", words_each))
