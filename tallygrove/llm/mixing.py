@@ -76,7 +76,8 @@ def draws(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: in
     count = F.round(F.col("target") * blocks / F.col("source_size")).cast("long")
     some = sources.where("source_size > 0").select("sid", blocks.alias("n_blocks"), count.alias("n")).where("n > 0")
     chunks = some.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_CHUNK).cast("long"))).alias("start"))
-    chunks = chunks.repartition("sid", "start")
+    # A number given is kept: chunk rows look small, but each makes thousands of draws.
+    chunks = chunks.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "start")
     last = F.least(F.col("start") + _CHUNK, F.col("n")) - 1
     slots = chunks.select("sid", "n_blocks", F.explode(F.sequence("start", last)).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("n_blocks"))

@@ -34,8 +34,8 @@ BITS, UNITS, UNIT_BITS = 64, 8, 8
 SEED = 42
 #: Shingles whose bits are counted at once.
 _CHUNK = 1 << 15
-#: Expected cost of writing one probe, in verified candidates.
-_PROBE_COST = 60.0
+#: Expected cost of one probe, which is written, shuffled and sorted, in verified candidates.
+_PROBE_COST = 300.0
 #: Largest threshold of a part.
 _MOST = 3
 #: Fingerprints that the number of parts is chosen by; results do not depend on it.
