@@ -15,6 +15,7 @@ an empty result; columns of other names are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations, repeat
@@ -22,7 +23,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.once import once
@@ -40,6 +41,12 @@ _PROBE_COST = 300.0
 _MOST = 3
 #: Fingerprints that the number of parts is chosen by; results do not depend on it.
 TUNING_ROWS = 2000
+#: Texts whose shingles are counted, and shingles known as common, for the order of shingles; results do not depend on them.
+COUNTED_TEXTS, COMMON_SHINGLES = 10_000, 100_000
+#: Codes of texts that a task remembers.
+_RECENT = 1 << 17
+#: Against rounding of bounds; lets more pairs be compared.
+_SLACK = 1e-9
 
 
 def fingerprint(data: bytes, width: int) -> int:
@@ -288,37 +295,162 @@ def with_shingles(texts: DataFrame, text: str, width: int) -> DataFrame:
     return w.select("*", F.when(F.size("_w") == 0, F.array().cast("array<bigint>")).otherwise(runs).alias("s")).drop("_w")
 
 
+def shingle_hashes(data: bytes, width: int) -> np.ndarray:
+    """Distinct hashes, in order, of the runs of ``width`` words; of all words, where they are fewer; none for a blank text."""
+    words = data.lower().split()  # bytes: A-Z only, and just the six white space characters
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    width = min(width, len(each))
+    n = len(each) - width + 1
+    mixed = np.full(n, SEED, dtype=np.uint64)
+    for i in range(width):
+        mixed = (mixed ^ each[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed.view(np.int64))
+
+
+def _each_text(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Code and shingles of the texts in a task; a copy of a recent one is passed over."""
+    recent: set[int] = set()
+    for batch in batches:
+        for code, body in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
+            if code not in recent:
+                if len(recent) >= _RECENT:
+                    recent.clear()
+                recent.add(code)
+                yield code, shingle_hashes(body.as_py(), width)
+
+
+def _in_batches(rows: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row[0])
+        if n >= _CHUNK:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+            held, n = [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+
+
+def common_shingles(bodies: DataFrame, total: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, in order, found most often among some of the texts (``code``, ``body``), and how often; bounded, whatever the input."""
+    share = F.pmod(F.xxhash64(F.lit("some"), "code"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, COUNTED_TEXTS / max(total, 1)))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_batches(((s,) for _, s in _each_text(batches, width)), ["shingle"])
+
+    counts = bodies.where(share).mapInArrow(listed, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    found = sorted((r["shingle"], r["n"]) for r in counts.orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).collect())
+    return np.array([x for x, _ in found], dtype=np.int64), np.array([n for _, n in found], dtype=np.int64)
+
+
+def prefixes(bodies: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, similarity: float) -> DataFrame:
+    """Per text (``code``, ``body``) its first shingles, rarest first: ``shingle``, ``code``, ``at``, its place, and ``n``, shingles of the text.
+
+    Texts with a Jaccard similarity of ``similarity`` or more have one of them in common, whatever order all texts share.
+    Blank texts have one row with ``n`` 0.
+    """
+    known, often = common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[np.ndarray, ...]]:
+            for code, s in _each_text(batches, width):
+                n = len(s)
+                if len(known) and n:
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")]
+                first = s[: n - math.ceil(similarity * n - _SLACK) + 1] if n else np.zeros(1, dtype=np.int64)
+                yield first, np.full(len(first), code), np.arange(len(first), dtype=np.int32), np.full(len(first), n, dtype=np.int32)
+
+        return _in_batches(rows(), ["shingle", "code", "at", "n"])
+
+    return bodies.mapInArrow(run, "shingle long, code long, at int, n int")
+
+
+def _alike(pairs: DataFrame, marked: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """Of pairs ``x``, ``y`` of marks, those whose sets of shingles have the similarity."""
+    pairs = stored(pairs)
+    involved = pairs.select(F.col("x").alias("_mark")).union(pairs.select("y")).distinct()
+    # Sets only of texts that have a candidate, once per text.
+    bodies = marked.select("_mark", "_body").join(involved, "_mark", "left_semi").dropDuplicates(["_mark"])
+    sets = stored(with_shingles(bodies.select(F.col("_mark").alias("mark"), F.col("_body").alias("body")), "body", words_each))
+    left, right = sets.select(F.col("mark").alias("x"), F.col("s").alias("sx")), sets.select(F.col("mark").alias("y"), F.col("s").alias("sy"))
+    both = F.size(F.array_intersect("sx", "sy"))
+    every = F.size("sx") + F.size("sy") - both
+    return stored(pairs.join(left, "x").join(right, "y").where((every == 0) | (both >= F.lit(similarity) * every)).select("x", "y"))
+
+
+def _grouped(texts: DataFrame, alike: DataFrame) -> DataFrame:
+    """Texts with ``root``, the name of their group."""
+    groups = components(alike, "x", "y")
+    return texts.join(groups, F.col("mark") == F.col("node"), "left").select(*texts.columns, F.coalesce("root", "mark").alias("root"))
+
+
+def _with_first(shared: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of marks: each text with the first text that shares a shingle, if they are not of one group already."""
+    fits = F.least("n", "first.n") >= F.lit(similarity) * F.greatest("n", "first.n") - _SLACK
+    pairs = shared.where((F.col("code") != F.col("first.code")) & fits).select(F.col("first.code").alias("a"), F.col("code").alias("b")).distinct()
+    left = texts.select(F.col("code").alias("a"), F.col("mark").alias("x"), F.col("root").alias("rx"))
+    right = texts.select(F.col("code").alias("b"), F.col("mark").alias("y"), F.col("root").alias("ry"))
+    return pairs.join(left, "a").join(right, "b").where("rx != ry").select("x", "y")
+
+
+def _between_groups(shared: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of marks that share a shingle, may be alike by their places in it, and are of different groups.
+
+    Texts outside the most frequent group of a shingle meet all others; that group's texts do not meet each other.
+    """
+    own = texts.select(F.col("code").alias("c"), "mark", "root")
+    rows = stored(shared.join(own, F.col("code") == F.col("c")).select("shingle", "at", "n", "mark", "root"))
+    counts = rows.groupBy("shingle", "root").agg(F.count("*").alias("m"))
+    main = counts.groupBy(F.col("shingle").alias("t")).agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    rows = stored(rows.join(main, F.col("shingle") == F.col("t")).drop("t", "kinds"))
+    a, b = rows.where("root != main").alias("a"), rows.alias("b")
+    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    fits = left >= F.lit(similarity / (1 + similarity)) * (F.col("a.n") + F.col("b.n")) - _SLACK
+    once_each = (F.col("b.root") == F.col("b.main")) | (F.col("a.mark") < F.col("b.mark"))
+    met = a.join(b.hint("merge"), (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") != F.col("b.root")) & once_each & fits)
+    return met.select(F.least("a.mark", "b.mark").alias("x"), F.greatest("a.mark", "b.mark").alias("y")).distinct()
+
+
 def distinct_texts(
     docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 6, width: int = 3, words_each: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """The documents, all columns, that stay when of each group of near duplicates the one with the smallest id stays.
 
-    Texts whose fingerprints (of ``width`` words) lie within ``radius`` bits are candidates. They are linked if their
-    sets of ``words_each`` words have a Jaccard similarity of ``similarity`` or more; groups are connected over links.
-    Texts with one fingerprint are compared with the first of them, which stands for it towards others. A null id is
-    larger than any other; rows of one text with the same id, or all without, stay together. Of all groups, that of
-    texts without words is one.
+    Texts are linked if their sets of ``words_each`` words have a Jaccard similarity of ``similarity`` or more; groups are
+    connected over links. The groups are those that comparing all texts would give, in three steps. Texts whose
+    fingerprints (of ``width`` words) lie within ``radius`` bits, the first text standing for its fingerprint, are
+    compared, which joins most of a large group of near copies. Each text's rarest shingles, as many as leave none
+    without one in common with a text alike, are then shared shingles: every text is compared with the first that has the
+    shingle, and after that with all that have it and are not of its group. The fingerprints and the order of shingles
+    change what is compared, not the result. A null id is larger than any other; rows of one text with the same id, or
+    all without, stay together. Of all groups, that of texts without words is one.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     marked = docs.select(F.struct("*").alias("row"), F.col(key).alias("_id"), body.alias("_body"), F.sha2(body.cast("binary"), 256).alias("_mark"))
-    who = F.struct(F.col("_id").alias("id"), F.col("_mark").alias("mark")).alias("who")
+    who = F.struct(F.col("_id").alias("id"), F.col("_mark").alias("mark"), F.xxhash64("_body").alias("code")).alias("who")
     seen = stored(fingerprints(marked.select(who, "_body"), "who", "_body", width))
-    texts = stored(seen.groupBy("who.mark").agg(F.min("who.id").alias("least"), F.min("fp").alias("fp")))
+    texts = stored(seen.groupBy("who.mark").agg(F.min("who.id").alias("least"), F.min("fp").alias("fp"), F.min("who.code").alias("code")))
     first = stored(texts.groupBy("fp").agg(F.min("mark").alias("first"), F.count("*").alias("n")))
     near = links(first.select("fp"), radius)
     across = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
     within = texts.join(first.where("n > 1").select(F.col("fp").alias("f"), "first"), F.col("fp") == F.col("f")).where("mark != first").select(F.col("first").alias("x"), F.col("mark").alias("y"))
-    pairs = stored(across.union(within))
-    involved = pairs.select(F.col("x").alias("_mark")).union(pairs.select("y")).distinct()
-    # Sets only of texts that have a candidate, once per text.
-    bodies = marked.select("_mark", "_body").join(involved, "_mark", "left_semi").dropDuplicates(["_mark"])
-    sets = stored(with_shingles(bodies.select(F.col("_mark").alias("mark"), F.col("_body").alias("body")), "body", words_each))
-    left, right = sets.select(F.col("mark").alias("x"), F.col("s").alias("sx")), sets.select(F.col("mark").alias("y"), F.col("s").alias("sy"))
-    both = F.size(F.array_intersect("sx", "sy"))
-    every = F.size("sx") + F.size("sy") - both
-    alike = pairs.join(left, "x").join(right, "y").where((every == 0) | (both >= F.lit(similarity) * every)).select("x", "y")
-    groups = components(alike, "x", "y")
-    ranked = texts.join(groups, F.col("mark") == F.col("node"), "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
+    alike = _alike(across.union(within), marked, words_each, similarity)
+
+    bodies = marked.select(F.xxhash64("_body").alias("code"), F.col("_body").alias("body"))
+    common = common_shingles(bodies, texts.count(), words_each)
+    sharing = Window.partitionBy("shingle")
+    place = F.struct("code", "n")
+    found = prefixes(bodies, common, words_each, similarity).select("*", F.min(place).over(sharing).alias("first"), F.max("code").over(sharing).alias("last"))
+    shared = stored(found.where("first.code != last").select("shingle", "code", "at", "n", "first").dropDuplicates(["shingle", "code"]))
+    texts = texts.select("mark", "least", "code")
+    for candidates in (_with_first, _between_groups):
+        grouped = stored(_grouped(texts, alike))
+        alike = stored(alike.union(_alike(candidates(shared, grouped, similarity), marked, words_each, similarity)))
+    ranked = _grouped(texts, alike)
     best = ranked.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "mark")).alias("best"))
     stay = best.select(F.col("best.mark").alias("m"), F.col("best.least").alias("i"))
     return marked.join(stay, (F.col("_mark") == F.col("m")) & F.col("_id").eqNullSafe(F.col("i"))).select("row.*")
