@@ -78,6 +78,20 @@ def test_near_copies_at_every_similarity(spark):
     assert _kept(spark, rows) == want
 
 
+def test_texts_under_one_fingerprint(spark):
+    # One repeated phrase decides every bit, so that unlike texts share a fingerprint; two of each three are alike.
+    rng, rows = random.Random(6), []
+    for case in range(8):
+        phrase = [f"p{case}"] * 400
+        one, other = _prose(rng, 100), _prose(rng, 100)
+        texts = [" ".join(phrase + x) for x in (one, other, _copy(rng, other, 0.85))]
+        assert len({simhash.fingerprint(t.encode(), 3) for t in texts}) == 1
+        rows += [(10 * case + k, t) for k, t in enumerate(texts)]
+    want = brute_force(rows)
+    assert want == sorted(10 * case + k for case in range(8) for k in (0, 1))
+    assert _kept(spark, rows) == want
+
+
 def test_large_group_and_chains(spark):
     rng = random.Random(7)
     base, rows = _prose(rng, 200), []
