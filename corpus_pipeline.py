@@ -47,9 +47,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of each text's tokens, and the digest of the text decoded from them."""
+    """Each text's packed token ids and source, their number and digest, and the digest of the text decoded from them."""
     name_shared_dir(spark)
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+    whose = docs.select(F.struct("doc_id", "source").alias("row"), "text")
+    found = bpe.encode(whose, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, key="row")
+    return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "row.source")
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -64,12 +66,16 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each written as Parquet and read again."""
+#: What ``run`` returns of the last stage; its Parquet has the token ids and sources as well.
+FIGURES = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def run(spark: SparkSession, sf_dir: str, out: str | None = None) -> DataFrame:
+    """Apply the stages to ``documents``, each written as Parquet and read again; the last one, with the token ids, to ``out`` if named."""
     name_shared_dir(spark)
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        path = scratch_path(spark, f"stage-{i}")
+        path = out if out and i == len(STAGES) - 1 else scratch_path(spark, f"stage-{i}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return docs.select(*FIGURES)
