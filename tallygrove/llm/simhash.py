@@ -389,8 +389,9 @@ def _grouped(texts: DataFrame, alike: DataFrame) -> DataFrame:
 
 
 def _with_first(shared: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of marks: each text with the first text that shares a shingle, if they are not of one group already."""
-    fits = F.least("n", "first.n") >= F.lit(similarity) * F.greatest("n", "first.n") - _SLACK
+    """Pairs of marks: each text with the first text that shares a shingle, if they may be alike by its places and are not of one group already."""
+    left = F.least(F.col("n") - F.col("at"), F.col("first.n") - F.col("first.at"))
+    fits = left >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("first.n")) - _SLACK
     pairs = shared.where((F.col("code") != F.col("first.code")) & fits).select(F.col("first.code").alias("a"), F.col("code").alias("b")).distinct()
     left = texts.select(F.col("code").alias("a"), F.col("mark").alias("x"), F.col("root").alias("rx"))
     right = texts.select(F.col("code").alias("b"), F.col("mark").alias("y"), F.col("root").alias("ry"))
@@ -443,7 +444,7 @@ def distinct_texts(
     bodies = marked.select(F.xxhash64("_body").alias("code"), F.col("_body").alias("body"))
     common = common_shingles(bodies, texts.count(), words_each)
     sharing = Window.partitionBy("shingle")
-    place = F.struct("code", "n")
+    place = F.struct("code", "n", "at")
     found = prefixes(bodies, common, words_each, similarity).select("*", F.min(place).over(sharing).alias("first"), F.max("code").over(sharing).alias("last"))
     shared = stored(found.where("first.code != last").select("shingle", "code", "at", "n", "first").dropDuplicates(["shingle", "code"]))
     texts = texts.select("mark", "least", "code")
