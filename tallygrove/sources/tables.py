@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -68,18 +69,24 @@ def list_tables(spark: SparkSession, projects: list[str] | None = None) -> DataF
 
 
 def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows, columns, files, bytes and latest change of named tables that lie in files, ordered by name; rows and files come from file footers."""
+    """Rows, columns, files, bytes and latest change of named tables that lie in files, ordered by name; files without rows count as well."""
 
     def facts(name: str, df: DataFrame) -> DataFrame:
-        file = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-        files = file.groupBy("file_path", "file_size", "file_modification_time").agg(F.count(F.lit(1)).alias("rows"))
-        return files.agg(
+        rows = df.agg(F.count(F.lit(1)).alias("row_count"))
+        # The listing has files without rows as well; contents are not read.
+        if paths := [unquote(p) for p in df.inputFiles()]:
+            listed = df.sparkSession.read.format("binaryFile").load(paths).select("length", "modificationTime")
+        else:
+            listed = df.sparkSession.createDataFrame([], "length LONG, modificationTime TIMESTAMP")
+        files = listed.agg(
+            F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"), F.max("modificationTime").alias("changed")
+        )
+        # One row each, whose columns the other lacks.
+        return rows.unionByName(files, allowMissingColumns=True).agg(
             F.lit(name).alias("table_name"),
-            F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"),
+            F.max("row_count").alias("row_count"),
             F.lit(len(df.columns)).cast("long").alias("column_count"),
-            F.count(F.lit(1)).alias("file_count"),
-            F.coalesce(F.sum("file_size"), F.lit(0)).alias("size_bytes"),
-            F.max("file_modification_time").alias("changed"),
+            *(F.max(c).alias(c) for c in ("file_count", "size_bytes", "changed")),
         )
 
     counts = [facts(name, df) for name, df in tables.items()]
