@@ -195,3 +195,5 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = corpus_pipeline.run
+
+from . import late_queries  # noqa: E402, F401
