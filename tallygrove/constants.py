@@ -110,6 +110,8 @@ FLUSH_INTERVAL = "5 seconds"
 FORWARD_TEXT = "Forwarded request to backend"
 FORWARD_TIME_FORMAT = "yyyy/MM/dd HH:mm:ss"
 LOAD_THRESHOLD = 0.1
+#: How far behind the latest activity mark another may come in (our own choice).
+MARKS_LATE = "10 minutes"
 ACTIVITY_KINDS = ("cpu", "proxy", "ssh", "boot")
 
 # Messages of the registry rules.

@@ -142,3 +142,82 @@ def activity_marks(spark, sf_dir):
     return found.groupBy("machine", "kind").agg(
         F.count(F.lit(1)).alias("n"), F.date_format(F.max("at"), "yyyy-MM-dd HH:mm:ss").alias("latest")
     )
+
+
+@query(
+    "recent_activity_stream",
+    f"""WITH {_MARKS_SQL}, counted AS (SELECT machine, count(DISTINCT kind || strftime(ts, '%Y-%m-%d %H:%M:%S.%f')) AS n_marks FROM marks WHERE kind IS NOT NULL GROUP BY machine)
+        SELECT machine, n_marks, {_TIMES_SQL} FROM activity JOIN counted USING (machine)""",
+)
+def recent_activity_stream(spark, sf_dir):
+    """Every mark delivered twice to a stream that keeps recent marks only."""
+    out, marks = scratch_path(spark, "recent"), scratch_path(spark, "recent-marks")
+    twice = _marks(_event_stream(spark, sf_dir)).withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
+    _finish(a.write_recent_activity(twice, out, marks, available_now=True))
+    return _timed(a.merge_recent(spark.read.parquet(out)).select("machine", "n_marks", *_TIMES))
+
+
+_TIMEOUT = 21600
+_MARKED = "SELECT user_id AS machine, ts FROM events WHERE ts IS NOT NULL"
+_GAPS_SQL = f"""marked AS ({_MARKED}),
+paired AS (SELECT machine, ts AS idle_from, lead(ts) OVER (PARTITION BY machine ORDER BY ts) AS next_mark FROM marked)"""
+_STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
+
+
+def _stamped(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+@query(
+    "idle_gaps",
+    f"""WITH {_GAPS_SQL}, ended AS (SELECT machine, idle_from, coalesce(next_mark, TIMESTAMP '2024-02-01 00:00:00') AS idle_until FROM paired)
+        SELECT machine, strftime(idle_from, {_STAMP}) AS idle_from, strftime(idle_until, {_STAMP}) AS idle_until,
+               round((epoch_us(idle_until) - epoch_us(idle_from)) / 1000000.0, 6) AS idle_seconds
+        FROM ended WHERE epoch_us(idle_until) - epoch_us(idle_from) > {_TIMEOUT}000000""",
+)
+def idle_gaps(spark, sf_dir):
+    """All idle times of machines in history and up to the end of the month."""
+    gaps = a.idle_gaps(_marks(table(spark, sf_dir, "events")), _TIMEOUT, until=F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return _stamped(gaps.withColumn("idle_seconds", F.round("idle_seconds", 6)), "idle_from", "idle_until")
+
+
+_SESSIONS_SQL = f"""marked AS ({_MARKED}),
+begun AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > {_TIMEOUT}000000, true) AS starts FROM marked WINDOW w AS (PARTITION BY machine ORDER BY ts)),
+numbered AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY machine ORDER BY ts) AS k FROM begun),
+sessions AS (SELECT machine, k, min(ts) AS active_from, max(ts) AS active_until, count(*) AS n_marks FROM numbered GROUP BY machine, k)"""
+
+
+@query(
+    "activity_sessions",
+    f"""WITH {_SESSIONS_SQL} SELECT machine, strftime(active_from, {_STAMP}) AS active_from, strftime(active_until, {_STAMP}) AS active_until, n_marks FROM sessions""",
+)
+def activity_sessions(spark, sf_dir):
+    return _stamped(a.activity_sessions(_marks(table(spark, sf_dir, "events")), _TIMEOUT), "active_from", "active_until")
+
+
+@query(
+    "closed_sessions_stream",
+    f"""WITH {_SESSIONS_SQL}, mark AS (SELECT epoch_ms(max(ts)) - 600000 AS w FROM marked)
+        SELECT machine, strftime(active_from, {_STAMP}) AS active_from, strftime(active_until, {_STAMP}) AS active_until, n_marks
+        FROM sessions, mark WHERE epoch_us(active_until) + {_TIMEOUT}000000 <= w * 1000""",
+)
+def closed_sessions_stream(spark, sf_dir):
+    """Sessions that the watermark has closed by the end of the stream."""
+    out, marks = scratch_path(spark, "sessions"), scratch_path(spark, "sessions-marks")
+    _finish(a.write_closed_sessions(_marks(_event_stream(spark, sf_dir)), out, marks, _TIMEOUT, available_now=True))
+    schema = "machine BIGINT, active_from TIMESTAMP, active_until TIMESTAMP, n_marks BIGINT"
+    return _stamped(spark.read.schema(schema).parquet(out), "active_from", "active_until")
+
+
+@query(
+    "idle_machines_stream",
+    f"""WITH marked AS ({_MARKED}), mark AS (SELECT epoch_ms(max(ts)) - 600000 AS w FROM marked)
+        SELECT machine, epoch_us(max(ts)) + {_TIMEOUT}000000 <= any_value(w) * 1000 AS is_idle FROM marked, mark GROUP BY machine""",
+)
+def idle_machines_stream(spark, sf_dir):
+    """Machines idle when the stream ends, told by their closed sessions alone."""
+    out, marks = scratch_path(spark, "idle"), scratch_path(spark, "idle-marks")
+    _finish(a.write_closed_sessions(_marks(_event_stream(spark, sf_dir)), out, marks, _TIMEOUT, available_now=True))
+    closed = spark.read.schema("machine BIGINT, active_from TIMESTAMP, active_until TIMESTAMP, n_marks BIGINT").parquet(out)
+    last = _marks(table(spark, sf_dir, "events")).groupBy("machine").agg(F.max("at").alias("last_active"))
+    return a.idle_by_sessions(last, closed).select("machine", "is_idle")
