@@ -134,25 +134,48 @@ def top_scores(spark, sf_dir):
     return n.top_scores(customers, "c_acctbal", 10, "c_custkey")
 
 
+def _complements_sql(source: str, persons: str, figures: dict[str, str], chain: list[list[str]], limit: int = 20) -> str:
+    """Groups and nested totals of a relation as CTEs, the last of them ``shown``, with what must not be told hidden."""
+    out, state = [], {}
+    for i, keys in enumerate(chain):
+        listed = "".join(f"{k}, " for k in keys)
+        made = ", ".join(f"{sql} AS {name}" for name, sql in figures.items())
+        out.append(f"g{i} AS (SELECT {listed}{persons} AS persons, {made}, {persons} < {limit} AS gone FROM {source}{' GROUP BY ' + listed[:-2] if keys else ''})")
+        state[i] = f"g{i}"
+
+    def step(i: int, tag: str, chosen: str, lost: str) -> None:
+        names, own = chain[i], [k for k in chain[i - 1] if k not in chain[i]]
+        part = "{" + ", ".join(f"'{k}': {k}" for k in ["persons", *own]) + "}"
+        listed = "".join(f"{k}, " for k in names)
+        same = " AND ".join(f"x.{k} IS NOT DISTINCT FROM y.{k}" for k in names) or "true"
+        below, total = state[i - 1], state[i]
+        out.append(f"s{tag} AS (SELECT {listed}count(*) FILTER (gone) AS h, sum(persons) FILTER (gone) AS s, min({part}) FILTER (NOT gone) AS next FROM {below}{' GROUP BY ' + listed[:-2] if names else ''})")
+        out.append(f"t{tag} AS (SELECT x.* EXCLUDE (gone), gone OR ({lost}) AS gone, CASE WHEN {chosen} THEN next END AS pick FROM {total} x JOIN s{tag} y ON {same})")
+        out.append(f"p{tag} AS (SELECT x.* EXCLUDE (gone), x.gone OR coalesce({part.replace(': ', ': x.')} = pick, false) AS gone FROM {below} x JOIN t{tag} y ON {same})")
+        out.append(f"u{tag} AS (SELECT * EXCLUDE (pick) FROM t{tag})")
+        state[i - 1], state[i] = f"p{tag}", f"u{tag}"
+
+    few = f"NOT gone AND h >= 1 AND (h < 2 OR s < {limit})"
+    for i in range(1, len(chain)):
+        step(i, f"up{i}", few, f"{few} AND next IS NULL")
+    for i in range(len(chain) - 1, 0, -1):
+        step(i, f"down{i}", "gone AND h = 0", "false")
+    parts = [
+        f"SELECT {', '.join(k if k in keys else f'NULL AS {k}' for k in chain[0])}, {len(keys)} AS n_keys, CASE WHEN NOT gone THEN persons END AS n_persons, "
+        + ", ".join(f"CASE WHEN NOT gone THEN {name} END AS {name}" for name in figures) + f", gone AS suppressed FROM {state[i]}"
+        for i, keys in enumerate(chain)
+    ]
+    return ", ".join([*out, "shown AS (" + " UNION ALL ".join(parts) + ")"])
+
+
+_CELL_CHAIN = [["sex_at_birth", "measurement_concept_id"], ["measurement_concept_id"]]
+
+
 @query(
     "small_cells",
-    f"""WITH {PERSON_SQL}, {EVENT_SQL},
-        grouped AS (
-          SELECT sex_at_birth, measurement_concept_id, count(DISTINCT person_id) AS persons, count(*) AS n_rows,
-                 avg(value_as_number) AS mean_value
-          FROM meas JOIN person USING (person_id) GROUP BY ALL)
-        SELECT sex_at_birth, measurement_concept_id,
-               CASE WHEN persons >= 20 THEN persons END AS n_persons,
-               CASE WHEN persons >= 20 THEN n_rows END AS n_rows,
-               CASE WHEN persons >= 20 THEN round(mean_value, 6) END AS mean_value,
-               persons < 20 AS suppressed
-        FROM grouped
-        UNION ALL
-        SELECT 'all', measurement_concept_id, CASE WHEN count(DISTINCT person_id) >= 20 THEN count(DISTINCT person_id) END,
-               CASE WHEN count(DISTINCT person_id) >= 20 THEN count(*) END,
-               CASE WHEN count(DISTINCT person_id) >= 20 THEN round(avg(value_as_number), 6) END,
-               count(DISTINCT person_id) < 20
-        FROM meas JOIN person USING (person_id) GROUP BY measurement_concept_id""",
+    f"""WITH {PERSON_SQL}, {EVENT_SQL}, rows AS (SELECT * FROM meas JOIN person USING (person_id)),
+        {_complements_sql("rows", "count(DISTINCT person_id)", {"n_rows": "count(*)", "mean_value": "round(avg(value_as_number), 6)"}, _CELL_CHAIN)}
+        SELECT CASE WHEN n_keys = 1 THEN 'all' ELSE sex_at_birth END AS sex_at_birth, measurement_concept_id, n_persons, n_rows, mean_value, suppressed FROM shown""",
 )
 def small_cells(spark, sf_dir):
     rows = event_measurements(spark, sf_dir).join(persons_with_sex(persons(spark, sf_dir), sexes(spark, sf_dir)), "person_id")
@@ -161,3 +184,21 @@ def small_cells(spark, sf_dir):
     both = n.hide_small_cells(rows, keys, figures, also=[["measurement_concept_id"]])
     by_sex = F.array_contains("grouped_by", "sex_at_birth")
     return both.withColumn("sex_at_birth", F.when(by_sex, F.col("sex_at_birth")).otherwise("all")).drop("grouped_by")
+
+
+_ROLLED_CHAIN = [["priority", "year", "status"], ["priority", "year"], ["priority"], []]
+
+
+@query(
+    "rolled_cells",
+    f"""WITH rows AS (SELECT o_custkey, o_orderpriority AS priority, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS status, o_totalprice FROM orders),
+        {_complements_sql("rows", "count(DISTINCT o_custkey)", {"n_orders": "count(*)", "cents": "CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT)"}, _ROLLED_CHAIN)}
+        SELECT priority, year, status, n_keys, n_persons, n_orders, cents, suppressed FROM shown""",
+)
+def rolled_cells(spark, sf_dir):
+    """Customers and orders by priority, year and status with three levels of totals; small groups and what would tell them are hidden."""
+    rows = table(spark, sf_dir, "orders").select(
+        "o_custkey", F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("status"), "o_totalprice")
+    figures = {"n_orders": F.count(F.lit(1)), "cents": F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))}
+    cells = n.hide_small_cells(rows, _ROLLED_CHAIN[0], figures, "o_custkey", also=_ROLLED_CHAIN[1:])
+    return cells.withColumn("n_keys", F.size("grouped_by")).drop("grouped_by")
