@@ -22,9 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pieces that a task's memory of encodings holds before it starts anew.
+#: Entries that each of a worker's memories (encoded pieces, pairs of tokens; twice as many prefixes) holds before it starts anew.
 REMEMBERED = 400_000
 _LONGEST_REMEMBERED = 64
+#: Last bytes by which the lengths of tokens are listed, and the lengths of tokens too short to be.
+_TAIL = 3
+_SHORT = (2, 1)
 
 
 class Encoder:
@@ -35,8 +38,15 @@ class Encoder:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.pieces = regex.compile(pattern).findall
-        self._side_by_side: dict[tuple[int, int], bool] = {}
+        self._side_by_side: dict[int, bool] = {}
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.ranks:
+            if len(token) >= _TAIL:
+                lengths.setdefault(token[-_TAIL:], set(_SHORT)).add(len(token))
+        self._lengths = {tail: sorted(some, reverse=True) for tail, some in lengths.items()}
         self._alone: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
+        self._prefixes: dict[bytes, int] = {}
         self._packed = _Remembered(self)
 
     def merged(self, data: bytes) -> list[int]:
@@ -50,22 +60,69 @@ class Encoder:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge inside a token joins; None for a single byte."""
+        if (known := self._halves.get(token, ())) == ():
+            data = self.tokens[token]
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 2:
+                rank, i = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+                if rank == 1 << 60:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            known = self._halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return known
+
     def follows(self, before: int, token: int) -> bool:
-        key = before, token
+        """Whether both tokens come out again when their joined bytes are encoded."""
+        key = before << 32 | token
         if (known := self._side_by_side.get(key)) is None:
-            known = self._side_by_side[key] = self.merged(self.tokens[before] + self.tokens[token]) == [before, token]
+            if len(self._side_by_side) >= REMEMBERED:
+                self._side_by_side.clear()
+            known = self._side_by_side[key] = self._stays_apart(before, token)
         return known
 
+    def _stays_apart(self, left: int, right: int) -> bool:
+        """No merge crosses the border between two tokens.
+
+        Merges run by rank, so undo them latest first: of the two parts at the border, that with the higher rank was
+        merged last (the left one first where ranks are equal). While a part lasts, it may merge across the border only
+        before the merge that takes it up, so only with a rank below that; the left part's own rank counts as taken.
+        """
+        tokens, ranks = self.tokens, self.ranks
+        until = 1 << 60
+        while True:
+            across = ranks.get(tokens[left] + tokens[right])
+            if across is not None and across < until:
+                return False
+            inner_left, inner_right = self.halves(left), self.halves(right)
+            if inner_left is None and inner_right is None:
+                return True
+            if inner_right is None or inner_left is not None and left > right:
+                until, left = left, inner_left[1]
+            else:
+                until, right = right + 1, inner_right[0]
+
     def starts(self, token: int) -> bool:
         if (known := self._alone.get(token)) is None:
             known = self._alone[token] = self.merged(self.tokens[token]) == [token]
         return known
 
     def _last(self, piece: bytes, table: list[int], end: int) -> int:
-        for start in range(max(0, end - self.longest), end):
-            token = self.ranks.get(piece[start:end])
-            if token is not None and (self.follows(table[start - 1], token) if start else self.starts(token)):
-                return token
+        # Only lengths that a token with these last bytes has.
+        get, known = self.ranks.get, self._side_by_side
+        for length in self._lengths.get(piece[max(end - _TAIL, 0) : end], _SHORT):
+            if length <= end:
+                start = end - length
+                token = get(piece[start:end])
+                if token is not None:
+                    if start:
+                        before = table[start - 1]
+                        stands = known.get(before << 32 | token)
+                        if stands or stands is None and self.follows(before, token):
+                            return token
+                    elif self.starts(token):
+                        return token
         raise ValueError("the vocabulary lacks a byte")
 
     def table(self, piece: bytes) -> list[int]:
@@ -106,7 +163,22 @@ class Encoder:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self.tokens_of(self.table(piece))
+        if whole is not None:
+            return [whole]
+        return self.tokens_of(self._shared_table(piece) if len(piece) <= _LONGEST_REMEMBERED else self.table(piece))
+
+    def _shared_table(self, piece: bytes) -> list[int]:
+        """The table of a short piece: a prefix's last token is the same in every piece that begins with it."""
+        last, table = self._prefixes, []
+        if len(last) >= 2 * REMEMBERED:
+            last.clear()
+        for end in range(1, len(piece) + 1):
+            prefix = piece[:end]
+            token = last.get(prefix)
+            if token is None:
+                token = last[prefix] = self._last(piece, table, end)
+            table.append(token)
+        return table
 
     def encode_packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
