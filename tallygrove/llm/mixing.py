@@ -93,10 +93,10 @@ def shard_counts(drawn: DataFrame) -> DataFrame:
 
 
 def streams(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Documents (``doc_id``, ``source``, ``size``, ``mark``) with their source's columns and ``start``, their first word's place in its stream."""
+    """Documents (``doc_id``, ``source``, ``size``, ``mark``, ``blank``) with their source's columns and ``start``, their first word's place in its stream."""
     same = docs["source"].eqNullSafe(sources["source"])
-    joined = docs.join(sources, same).select(docs["doc_id"], "size", "mark", "sid", "source_size", "n_docs", "target")
-    bucket = F.pmod(F.xxhash64("doc_id", "mark"), F.ceil(F.col("n_docs") / BUCKET_ROWS))
+    joined = docs.join(sources, same).select(docs["doc_id"], "size", "mark", "blank", "sid", "source_size", "n_docs", "target")
+    bucket = F.pmod(F.xxhash64("doc_id", "mark", "blank"), F.ceil(F.col("n_docs") / BUCKET_ROWS))
     order = [F.col("doc_id"), F.col("mark"), F.col("size")]
     return running_before(joined.withColumn("bucket", bucket), ["sid"], "bucket", order, start="size")
 
@@ -115,7 +115,9 @@ def taken_pieces(placed: DataFrame, drawn: DataFrame, block: int = BLOCK) -> Dat
 
 def _parts(docs: DataFrame, text: str, weights: tuple[int, ...], budget: float, most: float, block: int, seed: int) -> DataFrame:
     t = text_of(text)
-    narrow = stored(docs.select("doc_id", "source", word_count(t).alias("size"), F.xxhash64(t, "source").alias("mark")))
+    narrow = docs.select("doc_id", "source", word_count(t).alias("size"), F.xxhash64(t, "source").alias("mark"))
+    # Rows without words have no place of their own in the stream; a number keeps equal ones apart and spreads them.
+    narrow = stored(narrow.withColumn("blank", F.when(F.col("size") == 0, F.monotonically_increasing_id())))
     sources = stored(targets(narrow, weights, budget, most))
     return taken_pieces(streams(narrow, sources), draws(sources, block, SHARDS, seed), block)
 
@@ -126,9 +128,9 @@ def mix(
 ) -> DataFrame:
     """Per document ``doc_id``, ``size``, ``source_size``, ``target`` of its source, and ``taken``, words the mix takes of it."""
     parts = _parts(docs, text, weights, budget, most, block, seed)
-    return parts.groupBy("doc_id", "size", "source_size", "target", "sid", "start", "mark").agg(
+    return parts.groupBy("doc_id", "size", "source_size", "target", "sid", "start", "mark", "blank").agg(
         F.coalesce(F.sum(F.col("times") * F.col("n")), F.lit(0)).cast("long").alias("taken")
-    ).drop("sid", "start", "mark")
+    ).drop("sid", "start", "mark", "blank")
 
 
 def mixed_texts(

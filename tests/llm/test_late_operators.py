@@ -10,7 +10,7 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
-from tallygrove.llm import bitmaps, licenses, merkle, resampling
+from tallygrove.llm import bitmaps, licenses, merkle, mixing, resampling
 from tallygrove.llm.signatures import BASE, CONFIDENCE, RULES
 
 SF = "/root/testdata/sf0.001"
@@ -282,3 +282,13 @@ def test_license_scan_of_samples(spark):
     assert licenses.scan(df.where("false")).count() == 0
     specific = licenses.scan(df).where("row.text like 'émit%'").select("n_base", "first_word", "labels").first()
     assert tuple(specific) == (1, 2, "mit")
+
+
+# ---- 4 mixing: repeated rows without words ----
+
+
+def test_mix_keeps_every_row_without_words(spark):
+    data = [(1, None, "s"), (1, None, "s"), (2, "", "s"), (2, "", "s"), (None, None, "s"), (None, None, "s"), (3, "a b c " * 90, "s"), (3, "a b c " * 90, "s")]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter({(1, 0): 2, (2, 0): 2, (None, 0): 2, (3, 270): 2})
+    assert all(r.taken == 0 for r in got if r.size == 0) and all(r.taken <= 2 * r.size for r in got)
