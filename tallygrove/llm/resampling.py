@@ -7,8 +7,8 @@ moves over n more bytes by a linear map. Buckets of every document are written o
 bucket totals of corpus and target give each bucket's gain, the mean gain of a document is its weight, and a score adds noise
 that depends on the document's id alone, so that the highest scores are a draw by weight without replacement.
 
-The dictionary only saves work: it holds ``DICTIONARY`` words out of ``SAMPLE`` rows with the smallest hashes of their ids and
-changes no result. Counts, gains and scores are over all rows. Ranks come from a histogram of scores, of which there are at most
+The dictionary only saves work: it holds ``DICTIONARY`` words out of about ``SAMPLE`` rows with the smallest hashes of their ids
+and changes no result. Counts, gains and scores are over all rows. Ranks come from a histogram of scores, of which there are at most
 some hundred thousand as they are whole thousandths of logarithms, and from bitmaps of ids within a score (see ``bitmaps``).
 
 Defined results: a null text has no words. A document without words has weight 0. A null id is hashed as the empty text and
@@ -180,9 +180,15 @@ def _weighed(shared, buckets: int):
 
 
 def frequent_words(texts: DataFrame, text: str, order: Column, rows: int = SAMPLE, words: int = DICTIONARY) -> list[bytes]:
-    """The words met most often in the ``rows`` texts that come first in ``order``: at most ``words``, of at most 64 bytes each."""
-    some = texts.select(F.col(text).alias("t"), order.alias("o")).orderBy("o", "t").limit(rows)
-    word = F.explode(F.split(F.regexp_replace(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " "))
+    """The words met most often in about ``rows`` texts, those with the smallest ``order``: at most ``words``, of at most 64 bytes each.
+
+    Numbers alone are sorted for the border; texts stay in their tasks, and only words are shuffled, counted.
+    """
+    numbered = texts.select(F.col(text).alias("t"), order.alias("o"))
+    border = numbered.select("o").orderBy("o").limit(rows).agg(F.max("o")).first()[0]
+    some = numbered.where(F.col("o") <= F.lit(border))
+    low = F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    word = F.explode(F.split(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " "))
     met = some.select(word.alias("w")).where(F.octet_length("w").between(1, _LONGEST)).groupBy("w").count()
     return [r.w.encode() for r in met.orderBy(F.desc("count"), "w").limit(words).collect()]
 
