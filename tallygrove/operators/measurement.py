@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import (
     NO_MATCH, NULL_WORD, OUTLIER_LIMIT, PROGRAM_LABEL, PROGRAM_SOURCE, QUARTILES, RECORD_LABEL, UNIT_DEFAULT,
 )
-from ..session import stored
+from ..session import stored, written
 from .cohort import in_cohort
 from .joins import join_null_safe
 from .quantiles import group_quantiles
@@ -63,7 +63,9 @@ def measurement_summary(
     ).distinct()
 
     rows = measurement.where(F.col("unit_concept_id").isNotNull())
-    rows = rows.join(wanted.select("measurement_concept_id"), "measurement_concept_id", "left_semi")
+    # Written first, so that the planner knows how few ids there are: facts are not shuffled by concept then, an uneven key.
+    ids = written(wanted.select("measurement_concept_id").distinct(), "concepts")
+    rows = rows.join(ids, "measurement_concept_id", "left_semi")
     rows = in_cohort(rows, cohort)
     rows = rows.join(ext.select("measurement_id", "src_id"), "measurement_id", "left").withColumn(
         "measurement_source", source_label(F.col("src_id"), program_source)
@@ -103,7 +105,10 @@ def measurement_summary(
 
 
 def persons_with_sex(person: DataFrame, concept: DataFrame) -> DataFrame:
-    sexes = concept.select(F.col("concept_id").alias("sex_at_birth_concept_id"), F.col("concept_name").alias("sex_at_birth"))
+    """Persons with the name of their sex. Names of the few ids in use are written first, so that persons are not shuffled by them."""
+    used = person.select(F.col("sex_at_birth_concept_id").alias("concept_id")).distinct()
+    named = concept.select("concept_id", "concept_name").join(used, "concept_id", "left_semi")
+    sexes = written(named.select(F.col("concept_id").alias("sex_at_birth_concept_id"), F.col("concept_name").alias("sex_at_birth")), "sexes")
     return person.join(sexes, "sex_at_birth_concept_id", "left").select("person_id", "birth_datetime", "sex_at_birth")
 
 

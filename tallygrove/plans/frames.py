@@ -9,6 +9,7 @@ from ..operators import frames as f
 from ..operators import registry as r
 from ..operators import runlog as g
 from ..operators.joins import join_common
+from ..session import scratch_path
 from . import query
 from .bind import as_text, table
 
@@ -220,11 +221,26 @@ def run_sizes(spark, sf_dir):
 )
 def query_runs(spark, sf_dir):
     """Two statements over whole tables; the second is repaired once by the caller's function."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("run_orders")
-    table(spark, sf_dir, "customer").createOrReplaceTempView("run_customers")
-    first = g.run_query(spark, "SELECT o_custkey, count(*) AS n FROM run_orders GROUP BY o_custkey", "orders_by_person")
+    frames = {"orders": table(spark, sf_dir, "orders"), "customers": table(spark, sf_dir, "customer")}
+    first = g.run_query(spark, "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey", "orders_by_person", args=frames)
     second = g.run_query(
-        spark, "SELECT c_nosuch FROM run_customers", "repaired", repair=lambda sql, error: "SELECT c_custkey FROM run_customers"
+        spark, "SELECT c_nosuch FROM {customers}", "repaired", repair=lambda sql, error: "SELECT c_custkey FROM {customers}", args=frames
     )
     log = first.log(spark).unionByName(second.log(spark))
-    return log.withColumn("has_estimate", F.coalesce(F.col("estimated_bytes") > 0, F.lit(False))).drop("sql", "error", "estimated_bytes")
+    return log.withColumn("has_estimate", F.coalesce(F.col("estimated_bytes") > 0, F.lit(False))).drop("sql", "error", "estimated_bytes", "result_bytes")
+
+
+@query(
+    "written_run",
+    """SELECT 'segments' AS query_id, 1 AS attempt, true AS success, count(*) AS row_count, sum(8 + strlen(c_mktsegment) + 8) AS result_bytes,
+              count(*) > 1000 AS is_large, count(*) AS rows_read FROM customer""",
+)
+def written_run(spark, sf_dir):
+    """A statement run once: written by the caller, its rows and bytes observed on the way."""
+    path = scratch_path(spark, "written-run")
+    run = g.run_query(
+        spark, "SELECT c_custkey, c_mktsegment, c_acctbal FROM {customers}", "segments", args={"customers": table(spark, sf_dir, "customer")},
+        write=lambda frame: frame.write.mode("overwrite").parquet(path),
+    )
+    read = spark.read.schema(run.frame.schema).parquet(path).groupBy(F.lit("segments").alias("query_id")).agg(F.count(F.lit(1)).alias("rows_read"))
+    return run.log(spark).join(read, "query_id").select("query_id", "attempt", "success", "row_count", "result_bytes", "is_large", "rows_read")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let executors drop shuffle files and stored frames that nothing refers to any more.
+
+    Spark clears them when the driver's objects are collected; with much free memory there that can be long after the step.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """A wide frame that several later steps read by column, kept as Parquet in the shared folder."""
     path = scratch_path(df.sparkSession, name)

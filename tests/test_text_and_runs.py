@@ -121,3 +121,19 @@ def test_all_attempts_count(spark):
     attempts = spark.createDataFrame([("q", i, f"s{i}", i == 5, None if i == 5 else "e") for i in range(1, 6)], "query_id STRING, attempt INT, sql STRING, success BOOLEAN, error STRING")
     got = g.attempt_summary(attempts).first()
     assert (got.attempts, got.success, got.final_sql) == (5, True, "s5")
+
+
+def test_a_run_is_one_job_and_is_observed(spark, tmp_path):
+    """The caller's write is the run: one job, with the rows and bytes of what was written."""
+    rows = [(1, "ab", None, [1, 2]), (2, None, 1.5, None), (3, "ünï", 2.5, [])]
+    df = spark.createDataFrame(rows, "id LONG, name STRING, x DOUBLE, xs ARRAY<INT>").coalesce(1)
+    context, out = spark.sparkContext, str(tmp_path / "out")
+    context.setJobGroup("one-run", "a run")
+    run = g.run_query(spark, "SELECT * FROM {d}", args={"d": df}, write=lambda frame: frame.write.parquet(out))
+    jobs = context.statusTracker().getJobIdsForGroup("one-run")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    log = run.log(spark).first()
+    assert len(jobs) == 1 and spark.read.parquet(out).count() == 3
+    assert (log.row_count, log.result_bytes, log.success) == (3, 3 * 8 + 2 + 5 + 2 * 8 + len("[1,2]") + len("[]"), True)
+    empty = g.run_query(spark, "SELECT * FROM {d} WHERE false", args={"d": df}).log(spark).first()
+    assert (empty.row_count, empty.result_bytes, empty.is_large) == (0, 0, False)
