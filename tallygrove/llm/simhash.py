@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.once import once
-from ..session import stored
+from ..session import release, stored
 from .common import words
 from .graph import components
 
@@ -440,6 +440,9 @@ def distinct_texts(
     across = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
     within = texts.join(first.where("n > 1").select(F.col("fp").alias("f"), "first"), F.col("fp") == F.col("f")).where("mark != first").select(F.col("first").alias("x"), F.col("mark").alias("y"))
     alike = _alike(across.union(within), marked, words_each, similarity)
+    texts = texts.select("mark", "least", "code")
+    del seen, first, near, across, within
+    release(docs.sparkSession)
 
     bodies = marked.select(F.xxhash64("_body").alias("code"), F.col("_body").alias("body"))
     common = common_shingles(bodies, texts.count(), words_each)
@@ -447,10 +450,13 @@ def distinct_texts(
     place = F.struct("code", "n", "at")
     found = prefixes(bodies, common, words_each, similarity).select("*", F.min(place).over(sharing).alias("first"), F.max("code").over(sharing).alias("last"))
     shared = stored(found.where("first.code != last").select("shingle", "code", "at", "n", "first").dropDuplicates(["shingle", "code"]))
-    texts = texts.select("mark", "least", "code")
+    del found
     for candidates in (_with_first, _between_groups):
+        release(docs.sparkSession)
         grouped = stored(_grouped(texts, alike))
         alike = stored(alike.union(_alike(candidates(shared, grouped, similarity), marked, words_each, similarity)))
+    del shared, grouped
+    release(docs.sparkSession)
     ranked = _grouped(texts, alike)
     best = ranked.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "mark")).alias("best"))
     stay = best.select(F.col("best.mark").alias("m"), F.col("best.least").alias("i"))
