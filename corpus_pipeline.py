@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 
 from tallygrove.llm import bpe, linededup, mixing, quality, simhash
 from tallygrove.local import name_shared_dir
-from tallygrove.session import scratch_path
+from tallygrove.session import release, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _begin(spark: SparkSession) -> None:
+    """Before a stage: the shared folder has a name, and the finished stages' shuffle files go."""
+    name_shared_dir(spark)
+    release(spark)
+
+
 def _documents(df: DataFrame) -> DataFrame:
     """The columns of documents, with the length of the text as it is now."""
     return df.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
@@ -23,32 +29,32 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are good with a probability of a half or more."""
-    name_shared_dir(spark)
+    _begin(spark)
     return quality.judge(docs.select(*COLUMNS)).where("kept").select("row.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the lines of three-line windows that an earlier document or place holds."""
-    name_shared_dir(spark)
+    _begin(spark)
     found = linededup.remove_repeats(docs.select(*COLUMNS))
     return _documents(found.select("row.doc_id", F.col("kept_text").alias("text"), "row.lang", "row.source"))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id."""
-    name_shared_dir(spark)
+    _begin(spark)
     return simhash.distinct_texts(docs.select(*COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes of each document; a document taken twice is there twice."""
-    name_shared_dir(spark)
+    _begin(spark)
     return _documents(mixing.mixed_texts(docs.select(*COLUMNS)))
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text's packed token ids and source, their number and digest, and the digest of the text decoded from them."""
-    name_shared_dir(spark)
+    _begin(spark)
     whose = docs.select(F.struct("doc_id", "source").alias("row"), "text")
     found = bpe.encode(whose, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, key="row")
     return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "row.source")
