@@ -1,23 +1,24 @@
 """Line deduplication by overlapping three-line windows.
 
 Every three consecutive lines of a document are a window. A window that is there more than once, in one document
-or in several, stays where it is first (smallest id, then first place); all lines covered by a later occurrence go.
-Windows of blank lines alone do not count. Lines are compared as they are, by 128 bits.
+or in several, stays where it is first (smallest id, then text, then place); all lines covered by a later occurrence
+go. Windows of blank lines alone do not count. Lines are compared as they are, by 128 bits.
 
 Defined results: a null text has no lines and stays null; a text without lines to remove stays as it is; a text whose
-lines all go becomes empty. Texts of fewer than three lines have no window. Rows that share an id are one document
-for the choice of the first; a null id comes after all others. An empty table gives an empty result. The document
-comes back as ``row``, so its columns may have any names.
+lines all go becomes empty. Texts of fewer than three lines have no window. Every row is a document of its own: a null
+id comes after all others, rows that share an id, null or not, follow each other by a hash of their text, and of rows with
+the same id and text one is first and the others lose every window. An empty table gives an empty result. A text of any
+length is taken whole, as one row. The document comes back as ``row``, so its columns may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.once import once
 from ..session import stored
-from .common import SPACES
+from .common import SPACES, digest
 
 WIDTH = 3
 
@@ -54,22 +55,47 @@ def windows(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     )
 
 
-def later_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``id``, ``mark`` and ``places`` (from 1) of the windows that are there earlier, for documents that have such."""
-    seen = stored(windows(docs, key, text, width))
+def later_windows(seen: DataFrame) -> DataFrame:
+    """``id``, ``mark`` and ``places`` (from 1) of the ``windows`` that are there earlier, for documents that have such."""
     each = seen.select("id", "mark", F.explode("first").alias("w")).select("id", "mark", "w.a", "w.b", "w.place")
-    # Counts and least ids need no place, so they are summed by every task before the shuffle.
-    many = each.groupBy("a", "b").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    elsewhere = each.join(many, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("first_id"))).select("id", "mark", "place")
+    # Counts and first documents need no place, so they are summed by every task before the shuffle.
+    document = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    many = each.groupBy("a", "b").agg(F.min(document).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    is_lead = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("mark") == F.col("lead.mark"))
+    elsewhere = each.join(many, ["a", "b"]).where(~is_lead).select("id", "mark", "place")
     here = seen.where(F.size("later") > 0).select("id", "mark", F.explode("later").alias("place"))
     return elsewhere.union(here).groupBy("id", "mark").agg(F.collect_set("place").alias("places"))
 
 
+def _same(a: str, b: str) -> Column:
+    """Rows keyed ``a`` and ``b`` have the same id and text."""
+    return F.col(f"{a}_key").eqNullSafe(F.col(f"{b}_key")) & (F.col(f"{a}_text") == F.col(f"{b}_text"))
+
+
+def _numbered(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows (``row``, ``r_key``, ``r_text``) with ``whole``: all places of windows, where a row of this id and text comes before.
+
+    Only ids and texts that are there more than once are looked at; their equal rows are counted by every task
+    before the shuffle, so a row may be repeated any number of times.
+    """
+    keys = seen.groupBy(F.col("id").alias("s_key"), F.col("mark").alias("s_text"))
+    every = F.concat(F.transform("first", lambda w: w["place"]), "later")
+    several = stored(keys.agg(F.count("*").alias("n"), F.first(every).alias("every")).where("n > 1").drop("n"))
+    alone = rows.join(several.select("s_key", "s_text"), _same("r", "s"), "left_anti").select("*", F.lit(None).cast("array<int>").alias("whole"))
+    again = rows.join(several, _same("r", "s")).groupBy("r_key", "r_text", digest("row").alias("kind"))
+    again = stored(again.agg(F.first("row").alias("row"), F.first("every").alias("every"), F.count("*").alias("n")))
+    lead = again.groupBy(F.col("r_key").alias("l_key"), F.col("r_text").alias("l_text")).agg(F.min("kind").alias("lead"))
+    copies = again.join(lead, _same("r", "l")).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    first = (F.col("kind") == F.col("lead")) & (F.col("copy") == 1)
+    return alone.union(copies.select("row", "r_key", "r_text", F.when(~first, F.col("every")).alias("whole")))
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``row``, ``n_lines``, ``removed`` (places of removed lines, from 1) and ``kept_text``."""
-    later = later_windows(docs, key, text, width).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "places")
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_text"))
-    met = rows.join(later, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_mark")), "left").select("row", "places")
+    seen = stored(windows(docs, key, text, width))
+    later = later_windows(seen).select(F.col("id").alias("w_key"), F.col("mark").alias("w_text"), "places")
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("r_key"), F.xxhash64(text).alias("r_text"))
+    met = _numbered(rows, seen).join(later, _same("r", "w"), "left").select("row", F.coalesce("whole", "places").alias("places"))
     covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.array(*(p + k for k in range(width))))))
     met = once(met, removed=F.when(F.col("places").isNotNull(), F.sort_array(covered)), _l=F.split(f"row.{text}", "\n"))
     left = F.array_except(F.sequence(F.lit(1), F.size("_l")), F.col("removed"))

@@ -119,9 +119,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversations as mail: every turn quotes the one before, which quotes the one before that."""
+    """The conversations as mail: every turn quotes the one before, which quotes the one before that.
+
+    Of a turn that is there more than once, the first text by code points is quoted.
+    """
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    own = turns.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.coalesce("text", F.lit("")).alias("said")).dropDuplicates(["c", "t"])
+    said = F.coalesce("text", F.lit(""))
+    own = turns.groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("t")).agg(F.min(said).alias("said"))
 
     def back(n: int, name: str) -> DataFrame:
         return own.select(F.col("c").alias(f"c{n}"), (F.col("t") + n).alias(f"t{n}"), F.col("said").alias(name))
@@ -143,7 +147,7 @@ _SPACES_SQL = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 @query(
     "op8_quote_threads",
     f"""
-    WITH RECURSIVE own AS (SELECT conv_id, turn, any_value(coalesce(text, '')) AS said FROM conversations GROUP BY conv_id, turn),
+    WITH RECURSIVE own AS (SELECT conv_id, turn, min(coalesce(text, '')) AS said FROM conversations GROUP BY conv_id, turn),
     mail AS (
         SELECT c.conv_id, c.turn, concat_ws(chr(10) || chr(10),
             '> > ' || replace(b.said, chr(10), chr(10) || '> > '), '> ' || replace(a.said, chr(10), chr(10) || '> '), coalesce(c.text, '')) AS body
@@ -172,12 +176,13 @@ _SPACES_SQL = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
     best AS (SELECT conv_id, turn, parent FROM summed QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, parent) = 1),
     links AS (SELECT m.conv_id, m.turn, parent FROM mail m LEFT JOIN best USING (conv_id, turn)),
     walk AS (
-        SELECT conv_id, turn, parent, conv_id AS root_c, turn AS root_t, 0 AS depth FROM links WHERE parent IS NULL
-        UNION ALL SELECT l.conv_id, l.turn, l.parent, root_c, root_t, depth + 1 FROM links l JOIN walk ON l.parent.c = walk.conv_id AND l.parent.t = walk.turn),
+        SELECT conv_id, turn, parent, conv_id AS root_c, turn AS root_t, 0 AS depth, [{{'c': conv_id, 't': turn}}] AS way FROM links WHERE parent IS NULL
+        UNION ALL SELECT l.conv_id, l.turn, l.parent, root_c, root_t, depth + 1, list_append(way, {{'c': l.conv_id, 't': l.turn}}) FROM links l JOIN walk ON l.parent.c = walk.conv_id AND l.parent.t = walk.turn),
     texts AS (
         SELECT conv_id, turn, coalesce(trim(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0), {_SPACES_SQL}), '') AS text FROM parsed GROUP BY conv_id, turn),
     quotes AS (SELECT conv_id, turn, CAST(count(*) AS INTEGER) AS n_quotes FROM passages WHERE level > 0 GROUP BY conv_id, turn)
     SELECT conv_id, turn, parent.c AS parent_conv_id, parent.t AS parent_turn, root_c AS root_conv_id, root_t AS root_turn, depth,
+        dense_rank() OVER (PARTITION BY root_c, root_t ORDER BY way) - 1 AS place,
         coalesce(n_quotes, 0) AS n_quotes, text
     FROM walk JOIN texts USING (conv_id, turn) LEFT JOIN quotes USING (conv_id, turn)
     """,
@@ -185,7 +190,7 @@ _SPACES_SQL = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 def op8_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(mailbox(spark, sf_dir), ["conv_id", "turn"], ["conv_id"]).select(
         "id.conv_id", "id.turn", F.col("parent.conv_id").alias("parent_conv_id"), F.col("parent.turn").alias("parent_turn"),
-        F.col("root.conv_id").alias("root_conv_id"), F.col("root.turn").alias("root_turn"), "depth", "n_quotes", F.col("own").alias("text"),
+        F.col("root.conv_id").alias("root_conv_id"), F.col("root.turn").alias("root_turn"), "depth", "place", "n_quotes", F.col("own").alias("text"),
     )
 
 

@@ -4,17 +4,19 @@ A line's quote level is the number of ``>`` before its text. Runs of lines of on
 another level, are passages; they are normalised (lower case, single spaces) and hashed. Quoted passages are joined to
 the messages that wrote them: the earliest in the same channel, else the earliest of all, and always an earlier
 one than the quoting message. A message answers the author of its outermost quotes; of several, the one with most
-quoted characters, then the earliest. Following answers upwards gives root and depth; a conversation is in reply
-order when sorted by depth and id, and its texts are those without quoted lines.
+quoted characters, then the earliest. The way around the tree of answers (into each message, its answers in order of
+id, and out of it) gives root, depth and place: a conversation is in reply order, every message followed by the answers to
+it and theirs, when sorted by place, and its texts are those without quoted lines.
 
 Ids are lists of columns in posting order. Defined results: a null text is empty; a message that quotes nothing known
 starts a conversation; rows with the same id are one message as far as answers go, each with its own text. Nulls in
-ids sort first and compare as equal. An empty table gives an empty result; columns of other names are ignored.
+ids sort first and compare as equal. A text of any length is taken whole, as one row. An empty table gives an empty
+result; columns of other names are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.once import once
@@ -72,25 +74,57 @@ def answers(parsed: DataFrame) -> DataFrame:
     return told.groupBy("id").agg(F.min(F.struct("level", -F.col("n"), "parent")).alias("best")).select("id", "best.parent")
 
 
+def _elder(answers: DataFrame) -> DataFrame:
+    """``i`` and ``elder``, the answer before it to the same message, of answers (``id``, ``parent``) that have one.
+
+    Ranges of (parent, id) split the answers of a message that has very many; only the last row of each range, a row per
+    partition, is looked at by itself.
+    """
+    ranged = stored(answers.repartitionByRange("parent", "id").select("id", "parent", F.spark_partition_id().alias("at")))
+    one = F.struct("parent", "id")
+    last = ranged.groupBy("at").agg(F.max(one).alias("last"))
+    before = last.select(F.col("at").alias("a"), F.lag("last").over(Window.orderBy("at")).alias("ended"))
+    inside = ranged.select("*", F.lag(one).over(Window.partitionBy("at").orderBy("parent", "id")).alias("same_range"))
+    met = inside.join(before, F.col("at") == F.col("a")).select("id", "parent", F.coalesce("same_range", "ended").alias("elder"))
+    return met.where("elder.parent = parent").select(F.col("id").alias("i"), F.col("elder.id").alias("elder"))
+
+
 def threads(parents: DataFrame) -> DataFrame:
-    """``id``, ``parent``, ``root`` and ``depth`` for every message of ``parents`` (``id``, ``parent``, null for none).
+    """``id``, ``parent``, ``root``, ``depth`` and ``place`` (from 0, in reply order) for every message of ``parents`` (``id``, ``parent``, null for none).
 
-    Each round doubles the steps up that a message knows, so rounds grow with the logarithm of the depth; messages
-    that know their root take no part in later rounds.
+    The way around a tree enters and leaves each message; every step knows the one before it. Each round doubles the steps back that a
+    step knows, so rounds grow with the logarithm of the thread's size, whatever its shape; no two steps still on their way
+    know the same one, so no key is hot, and steps that know the way's start take no part in later rounds.
     """
-    known = stored(parents.select("id", "parent", F.coalesce("parent", "id").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.col("parent").isNull().alias("done")))
+    linked = parents.where("parent IS NOT NULL").select("id", "parent")
+    youngest = linked.groupBy(F.col("parent").alias("p")).agg(F.max("id").alias("youngest"))
+    met = parents.select("id", "parent").join(_elder(linked), F.col("id") == F.col("i"), "left").join(youngest, F.col("id") == F.col("p"), "left")
+
+    def step(message: Column | str, leaves: Column) -> Column:
+        return F.struct(F.col(message).alias("id"), leaves.alias("leaves"))
+
+    enters, leaves = F.lit(False), F.lit(True)
+    before_in = F.when(F.col("elder").isNotNull(), step("elder", leaves)).when(F.col("parent").isNotNull(), step("parent", enters))
+    before_out = F.when(F.col("youngest").isNotNull(), step("youngest", leaves)).otherwise(step("id", enters))
+    both = F.array(F.struct(step("id", enters).alias("at"), before_in.alias("up")), F.struct(step("id", leaves).alias("at"), before_out.alias("up")))
+    steps = met.select("id", "parent", F.explode(both).alias("s")).select("id", "parent", "s.at", "s.up")
+    entered = F.when(F.col("up").isNull(), 0).otherwise(F.when(F.col("up.leaves"), 0).otherwise(1))
+    net = F.when(F.col("up").isNull(), 0).otherwise(F.when(F.col("up.leaves"), -1).otherwise(1))
+    known = stored(steps.select(
+        "id", "parent", "at", F.coalesce("up", "at").alias("up"), net.alias("depth"), entered.cast("long").alias("place"), F.col("up").isNull().alias("done")))
     while True:
-        above = known.select(F.col("id").alias("i"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("at_root"))
-        moving = known.where("NOT done").join(above, F.col("up") == F.col("i"))
-        moved = moving.select("id", "parent", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("at_root").alias("done"))
-        settled = known.where("done")
-        known = stored(settled.union(moved))
+        above = known.select(
+            F.col("at").alias("a"), F.col("up").alias("next"), F.col("depth").alias("deeper"), F.col("place").alias("more"), F.col("done").alias("at_start"))
+        moved = known.where("NOT done").join(above, F.col("up") == F.col("a")).select(
+            "id", "parent", "at", F.col("next").alias("up"), (F.col("depth") + F.col("deeper")).alias("depth"),
+            (F.col("place") + F.col("more")).alias("place"), F.col("at_start").alias("done"))
+        known = stored(known.where("done").union(moved))
         if known.where("NOT done").isEmpty():
-            return known.select("id", "parent", F.col("up").alias("root"), "depth")
+            return known.where("NOT at.leaves").select("id", "parent", F.col("up.id").alias("root"), "depth", "place")
 
 
 def conversations(messages: DataFrame, id_columns: list[str], channel: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Per message ``id``, ``parent``, ``root``, ``depth``, ``n_quotes`` and ``own``, its text without quotes."""
+    """Per message ``id``, ``parent``, ``root``, ``depth``, ``place`` in reply order, ``n_quotes`` and ``own``, its text without quotes."""
     parsed = stored(passages(messages, id_columns, channel or id_columns[:1], text))
     found = answers(parsed)
     ids = parsed.select("id").distinct().join(found, "id", "left")
