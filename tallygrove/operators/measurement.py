@@ -147,7 +147,7 @@ def measurement_rows(
     return _ordered(_with_person(rows, person, concept, ext), ordered)
 
 
-def latest_per_person(measurement: DataFrame, key: str = "person_id") -> DataFrame:
+def latest_per_person(measurement: DataFrame, key: str | list[str] = "person_id") -> DataFrame:
     """Latest row per person: by date, time and id.
 
     The rank filter is pushed below the shuffle as a group limit, so every task sends one row per

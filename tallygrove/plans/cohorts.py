@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import cohort as c
 from ..operators import counts as n
+from ..operators import person_sets as sets
+from ..session import written
 from . import query
 from .bind import EVENT_SQL, PERSON_SQL, event_measurements, persons, sexes, table
 from ..operators.measurement import persons_with_sex
@@ -52,6 +54,24 @@ def cohort_with_events(spark, sf_dir):
     )
 
 
+@query(
+    "cohort_set_counts",
+    f"""SELECT o_orderpriority, count(DISTINCT o_custkey) AS persons,
+               count(DISTINCT o_custkey) FILTER (o_custkey IN ({COHORT_SQL})) AS within_cohort, true AS in_bounds
+        FROM orders GROUP BY o_orderpriority""",
+)
+def cohort_set_counts(spark, sf_dir):
+    """Exact counts of customers with orders by priority, all and of the cohort, and whether sets stored by priority and status tell them within their errors."""
+    orders, building, lg = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "person_id"), _building(spark, sf_dir), 8
+    fine = written(sets.person_sets(orders, ["o_orderpriority", "o_orderstatus"], lg=lg), "person-sets")
+    told = sets.count_within(sets.merged_sets(fine, ["o_orderpriority"], lg), sets.person_sets(building, [], lg=lg), lg)
+    pairs = orders.select("o_orderpriority", "person_id").where("person_id IS NOT NULL").distinct()
+    known = pairs.join(building.select(F.col("person_id").alias("member")), F.col("person_id") == F.col("member"), "left")
+    exact = known.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("persons"), F.count("member").alias("within_cohort"))
+    near = (F.abs(F.col("n_persons") - F.col("persons")) <= F.col("persons_error")) & (F.abs(F.col("n_within") - F.col("within_cohort")) <= F.col("within_error"))
+    return exact.join(told, "o_orderpriority").select("o_orderpriority", "persons", "within_cohort", near.alias("in_bounds"))
+
+
 @query(
     "visit_join",
     """SELECT l_orderkey AS visit_id, l_linenumber AS line, l_partkey, o_custkey AS person_id, o_orderstatus AS status

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import latest_state
 from ..operators import measurement as m
 from ..operators.quantiles import group_quantiles
+from ..session import scratch_path
 from . import query
 from .bind import (
     EVENT_SQL, PERSON_SQL, as_text, event_measurements, event_sources, line_concepts, line_measurements, line_sources,
@@ -122,21 +124,33 @@ def most_recent(spark, sf_dir):
     )
 
 
-@query(
-    "latest_order_per_person",
-    """SELECT person_id, measurement_id, CAST(measurement_date AS VARCHAR) AS measurement_date, value_as_number FROM (
+LATEST_ORDER_SQL = """SELECT person_id, measurement_id, CAST(measurement_date AS VARCHAR) AS measurement_date, value_as_number FROM (
          SELECT o_custkey AS person_id, o_orderkey AS measurement_id, CAST(o_orderdate AS DATE) AS measurement_date,
                 o_totalprice AS value_as_number,
                 row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS recency_rank
-         FROM orders) AS q WHERE recency_rank = 1""",
-)
-def latest_order_per_person(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(
+         FROM orders) AS q WHERE recency_rank = 1"""
+
+
+def _order_rows(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("person_id"), F.col("o_orderkey").alias("measurement_id"),
         F.to_date("o_orderdate").alias("measurement_date"), F.col("o_orderdate").alias("measurement_datetime"),
         F.col("o_totalprice").alias("value_as_number"),
     )
-    return as_text(m.latest_per_person(orders).drop("measurement_datetime"), "measurement_date")
+
+
+@query("latest_order_per_person", LATEST_ORDER_SQL)
+def latest_order_per_person(spark, sf_dir):
+    return as_text(m.latest_per_person(_order_rows(spark, sf_dir)).drop("measurement_datetime"), "measurement_date")
+
+
+@query("latest_order_in_batches", LATEST_ORDER_SQL)
+def latest_order_in_batches(spark, sf_dir):
+    """All orders in three batches, the old ones not always first, into a state that each brings up to date."""
+    orders, path = _order_rows(spark, sf_dir), scratch_path(spark, "latest-orders")
+    for number, part in enumerate(("month(measurement_date) > 8", "month(measurement_date) < 5", "coalesce(month(measurement_date), 5) BETWEEN 5 AND 8")):
+        latest_state.apply_batch(path, orders.where(part), number)
+    return as_text(latest_state.read_latest(spark, path, orders.schema).drop("measurement_datetime"), "measurement_date")
 
 
 @query(
