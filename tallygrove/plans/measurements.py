@@ -149,7 +149,7 @@ def latest_order_in_batches(spark, sf_dir):
     """All orders in three batches, the old ones not always first, into a state that each brings up to date."""
     orders, path = _order_rows(spark, sf_dir), scratch_path(spark, "latest-orders")
     for number, part in enumerate(("month(measurement_date) > 8", "month(measurement_date) < 5", "coalesce(month(measurement_date), 5) BETWEEN 5 AND 8")):
-        latest_state.apply_batch(path, orders.where(part), number)
+        latest_state.apply_batch(path, orders.where(part), number, buckets=16)
     return as_text(latest_state.read_latest(spark, path, orders.schema).drop("measurement_datetime"), "measurement_date")
 
 
