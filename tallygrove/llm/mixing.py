@@ -1,13 +1,15 @@
 """Mixing sources to target weights, in blocks of tokens (here: words).
 
 Each source is one stream of its documents' words, cut into blocks of fixed length; its last block may be shorter.
-Targets share a budget by weight and stop at ``most`` times the source's size. A source's draws are dealt to output
-shards at random, so that counts per shard are multinomial given the source's total, which is its target. Draw j
-takes the block that a pseudorandom permutation of the source's block numbers gives for j, one permutation for each
-pass over the source. A join on (source, block number) brings blocks and draws together.
+Targets share a budget by weight and stop at ``most`` times the source's size. First counts per output shard and source
+are drawn: a source's draws, as many as its target needs, are dealt to shards at random, so its counts are
+multinomial. Their running sums number the slots, a shard's slots of a source in a row. A slot takes the block that a
+pseudorandom permutation of the source's whole blocks gives for it, one permutation for each pass over the source; a
+shorter last block closes each pass. The last slot takes as many words of its block as the target has left. A join on
+(source, block number) brings blocks and slots together.
 
 Defined results: a null text has no words, and a document without words is not taken. Sources without words have
-target 0; a null source is a source of its own, last in order. Repeated rows are separate documents. An empty table
+target 0; a null source is a source of its own, last in order. Repeated rows are separate documents. A text of any length is taken whole, as one row. An empty table
 gives an empty result. Columns of other names are ignored.
 """
 
@@ -25,6 +27,7 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2.0
 BLOCK = 128
+#: Output shards; 64 at most, as documents carry theirs as bits.
 SHARDS = 64
 SEED = 20_240
 #: Documents of a source that are summed in one task.
@@ -69,27 +72,39 @@ def _permuted(index: Column, n: Column, *seed: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), index, step)
 
 
-def draws(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per draw: ``sid``, ``slot`` (from 0), output ``shard`` and ``block``, the number of the block taken."""
-    blocks = F.ceil(F.col("source_size") / block)
-    # Draws follow the mean block, so that a short last block does not matter.
-    count = F.round(F.col("target") * blocks / F.col("source_size")).cast("long")
-    some = sources.where("source_size > 0").select("sid", blocks.alias("n_blocks"), count.alias("n")).where("n > 0")
-    chunks = some.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_CHUNK).cast("long"))).alias("start"))
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows ``start`` to ``end`` (exclusive) as rows of at most ``_CHUNK`` numbers, over all tasks."""
+    chunks = rows.select("*", F.explode(F.sequence("start", F.col("end") - 1, F.lit(_CHUNK).cast("long"))).alias("from"))
     # A number given is kept: chunk rows look small, but each makes thousands of draws.
-    chunks = chunks.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "start")
-    last = F.least(F.col("start") + _CHUNK, F.col("n")) - 1
-    slots = chunks.select("sid", "n_blocks", F.explode(F.sequence("start", last)).alias("slot"))
-    turn = F.floor(F.col("slot") / F.col("n_blocks"))
-    return slots.select(
-        "sid", "slot", F.pmod(F.xxhash64(F.lit("shard"), F.lit(seed), "sid", "slot"), F.lit(shards)).cast("int").alias("shard"),
-        _permuted(F.pmod("slot", "n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("sid"), turn).alias("block"),
-    )
+    chunks = chunks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "from")
+    return chunks.withColumn("slot", F.explode(F.sequence("from", F.least(F.col("from") + _CHUNK, F.col("end")) - 1))).drop("start", "end", "from")
+
+
+def shard_counts(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """Multinomial draws per ``sid`` and output ``shard``: ``n``, and ``first``, the slot its own begin with."""
+    passes, left = F.floor(F.col("words") / F.col("source_size")), F.pmod("words", "source_size")
+    n = passes * F.ceil(F.col("source_size") / block) + F.ceil(left / block)
+    some = sources.where("source_size > 0").select("sid", "source_size", F.round("target").cast("long").alias("words"))
+    some = some.select("sid", F.lit(0).cast("long").alias("start"), n.cast("long").alias("end")).where("`end` > 0")
+    shard = F.pmod(F.xxhash64(F.lit("shard"), F.lit(seed), "sid", "slot"), F.lit(shards)).cast("int")
+    counts = _dealt(some, "sid").groupBy("sid", shard.alias("shard")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("first"))
 
 
-def shard_counts(drawn: DataFrame) -> DataFrame:
-    """Draws per output shard and source."""
-    return drawn.groupBy("shard", "sid").agg(F.count("*").alias("n_blocks"))
+def draws(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """One row per draw: ``sid``, ``shard``, ``slot`` (from 0 in a source), ``block``, the number of the block taken, ``words`` of it, and ``whole``."""
+    counts = shard_counts(sources, block, shards, seed)
+    counts = counts.select("sid", "shard", F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("end"))
+    sized = sources.select(F.col("sid").alias("s"), "source_size", F.round("target").cast("long").alias("goal"))
+    slots = _dealt(counts.join(sized, F.col("sid") == F.col("s")).drop("s"), "sid", "shard")
+    full, n_blocks = F.floor(F.col("source_size") / block), F.ceil(F.col("source_size") / block)
+    slots = slots.select("*", F.floor(F.col("slot") / n_blocks).alias("turn"), F.pmod("slot", n_blocks).alias("place"))
+    moved = _permuted(F.col("place"), F.greatest(full, F.lit(1)), F.lit(seed), F.col("sid"), F.col("turn"))
+    slots = slots.select("*", F.when(F.col("place") < full, moved).otherwise(F.col("place")).alias("block"))
+    size = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * block)
+    left = F.col("goal") - F.col("turn") * F.col("source_size") - F.col("place") * block
+    return slots.select("sid", "shard", "slot", "block", F.least(size, left).alias("words"), (left >= size).alias("whole"))
 
 
 def streams(docs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -101,36 +116,52 @@ def streams(docs: DataFrame, sources: DataFrame) -> DataFrame:
     return running_before(joined.withColumn("bucket", bucket), ["sid"], "bucket", order, start="size")
 
 
-def taken_pieces(placed: DataFrame, drawn: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Documents' pieces, one per block they touch: ``first`` word in the document, ``n`` words, ``times`` taken."""
-    times = drawn.groupBy(F.col("sid").alias("s"), F.col("block").alias("k")).agg(F.count("*").alias("times"))
+def _touching(placed: DataFrame, block: int) -> DataFrame:
+    """Documents once for each block they touch (``block``, null for none): ``at``, their first word's place in it, ``first`` word in the document, ``n`` words."""
     touched = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
     pieces = placed.select("*", F.explode_outer(F.when(F.col("size") > 0, touched)).alias("block"))
     low, high = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    pieces = pieces.select("*", (low - F.col("start")).alias("first"), (high - low).alias("n"))
+    return pieces.select("*", (low - F.col("block") * block).alias("at"), (low - F.col("start")).alias("first"), (high - low).alias("n"))
+
+
+def taken_pieces(placed: DataFrame, drawn: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Documents' pieces, one per block they touch: ``first`` word in the document, ``n`` words, ``times`` taken, ``some``, words taken once more, ``where``, bits of the shards."""
+    times = drawn.groupBy(F.col("sid").alias("s"), F.col("block").alias("k")).agg(
+        F.count_if("whole").alias("times"), F.sum(F.when(~F.col("whole"), F.col("words"))).alias("part"),
+        F.bit_or(F.expr("shiftleft(1L, shard)")).alias("where"), F.bit_or(F.when(F.col("whole"), F.expr("shiftleft(1L, shard)"))).alias("whole_where"))
+    pieces = _touching(placed, block)
     # Rows made by explode count as few in the planner's estimate; neither side is small.
     met = pieces.join(times.hint("merge"), (F.col("sid") == F.col("s")) & (F.col("block") == F.col("k")), "left")
-    return met.select(*placed.columns, "first", "n", F.coalesce("times", F.lit(0)).cast("int").alias("times"))
+    some = F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce("part", F.lit(0)) - F.col("at")))
+    met = met.select(*placed.columns, "first", "n", F.coalesce("times", F.lit(0)).cast("int").alias("times"), some.alias("some"), "where", "whole_where")
+    # A draw of a part of a block reaches only the documents in that part.
+    return met.withColumn("where", F.coalesce(F.when(F.col("some") > 0, F.col("where")).otherwise(F.col("whole_where")), F.lit(0).cast("long"))).drop("whole_where")
 
 
-def _parts(docs: DataFrame, text: str, weights: tuple[int, ...], budget: float, most: float, block: int, seed: int) -> DataFrame:
+def _placed(docs: DataFrame, text: str, weights: tuple[int, ...], budget: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """Documents in their streams, and the sources."""
     t = text_of(text)
     narrow = docs.select("doc_id", "source", word_count(t).alias("size"), F.xxhash64(t, "source").alias("mark"))
     # Rows without words have no place of their own in the stream; a number keeps equal ones apart and spreads them.
     narrow = stored(narrow.withColumn("blank", F.when(F.col("size") == 0, F.monotonically_increasing_id())))
     sources = stored(targets(narrow, weights, budget, most))
-    return taken_pieces(streams(narrow, sources), draws(sources, block, SHARDS, seed), block)
+    return streams(narrow, sources), sources
+
+
+def _parts(docs: DataFrame, text: str, weights: tuple[int, ...], budget: float, most: float, block: int, seed: int) -> DataFrame:
+    placed, sources = _placed(docs, text, weights, budget, most)
+    return taken_pieces(placed, draws(sources, block, SHARDS, seed), block)
 
 
 def mix(
     docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST,
     block: int = BLOCK, seed: int = SEED,
 ) -> DataFrame:
-    """Per document ``doc_id``, ``size``, ``source_size``, ``target`` of its source, and ``taken``, words the mix takes of it."""
+    """Per document ``doc_id``, ``size``, ``source_size``, ``target`` of its source, ``taken``, words the mix takes of it, and the ``shards`` they go to."""
     parts = _parts(docs, text, weights, budget, most, block, seed)
     return parts.groupBy("doc_id", "size", "source_size", "target", "sid", "start", "mark", "blank").agg(
-        F.coalesce(F.sum(F.col("times") * F.col("n")), F.lit(0)).cast("long").alias("taken")
-    ).drop("sid", "start", "mark", "blank")
+        F.sum(F.col("times") * F.col("n") + F.col("some")).cast("long").alias("taken"), F.bit_or("where").alias("where")
+    ).select("doc_id", "size", "source_size", "target", "taken", F.expr(f"filter(sequence(0, {SHARDS - 1}), i -> bit_get(where, i) = 1)").alias("shards"))
 
 
 def mixed_texts(
@@ -141,8 +172,9 @@ def mixed_texts(
 
     All columns stay, whatever their names. A take without words gives no row.
     """
-    parts = _parts(docs, text, weights, budget, most, block, seed).where("times > 0")
-    parts = parts.select("doc_id", "mark", "sid", "start", "first", "n", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("pass"))
+    parts = _parts(docs, text, weights, budget, most, block, seed).where("times > 0 OR some > 0")
+    takes = F.array_append(F.array_repeat(F.col("n"), F.col("times")), F.col("some"))
+    parts = parts.select("doc_id", "mark", "sid", "start", "first", F.posexplode(takes).alias("pass", "n")).where("n > 0")
     cuts = parts.groupBy("doc_id", "mark", "sid", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("cuts"))
     body = text_of(text)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(body, "source").alias("same"), body.alias("body"))
