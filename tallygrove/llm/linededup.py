@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.once import once
-from ..session import stored
+from ..session import stored, written
 from .common import SPACES, digest
 
 WIDTH = 3
@@ -72,30 +72,32 @@ def _same(a: str, b: str) -> Column:
     return F.col(f"{a}_key").eqNullSafe(F.col(f"{b}_key")) & (F.col(f"{a}_text") == F.col(f"{b}_text"))
 
 
-def _numbered(rows: DataFrame, seen: DataFrame) -> DataFrame:
-    """Rows (``row``, ``r_key``, ``r_text``) with ``whole``: all places of windows, where a row of this id and text comes before.
+def _with_places(rows: DataFrame, seen: DataFrame, later: DataFrame) -> DataFrame:
+    """``row`` and ``places`` of rows (``row``, ``r_key``, ``r_text``): those of ``later``, or all, where a row of this id and text comes before.
 
     Only ids and texts that are there more than once are looked at; their equal rows are counted by every task
     before the shuffle, so a row may be repeated any number of times.
     """
     keys = seen.groupBy(F.col("id").alias("s_key"), F.col("mark").alias("s_text"))
     every = F.concat(F.transform("first", lambda w: w["place"]), "later")
-    several = stored(keys.agg(F.count("*").alias("n"), F.first(every).alias("every")).where("n > 1").drop("n"))
-    alone = rows.join(several.select("s_key", "s_text"), _same("r", "s"), "left_anti").select("*", F.lit(None).cast("array<int>").alias("whole"))
+    # A table, so that the planner knows its size: mostly none or few.
+    several = written(keys.agg(F.count("*").alias("n"), F.first(every).alias("every")).where("n > 1").drop("n"), "repeated-texts")
+    alone = rows.join(several.select("s_key", "s_text"), _same("r", "s"), "left_anti").join(later, _same("r", "w"), "left").select("row", "places")
     again = rows.join(several, _same("r", "s")).groupBy("r_key", "r_text", digest("row").alias("kind"))
     again = stored(again.agg(F.first("row").alias("row"), F.first("every").alias("every"), F.count("*").alias("n")))
     lead = again.groupBy(F.col("r_key").alias("l_key"), F.col("r_text").alias("l_text")).agg(F.min("kind").alias("lead"))
     copies = again.join(lead, _same("r", "l")).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
     first = (F.col("kind") == F.col("lead")) & (F.col("copy") == 1)
-    return alone.union(copies.select("row", "r_key", "r_text", F.when(~first, F.col("every")).alias("whole")))
+    met = copies.select("row", "r_key", "r_text", "every", first.alias("first")).join(later, _same("r", "w"), "left")
+    return alone.union(met.select("row", F.when(F.col("first"), F.col("places")).otherwise(F.col("every")).alias("places")))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``row``, ``n_lines``, ``removed`` (places of removed lines, from 1) and ``kept_text``."""
     seen = stored(windows(docs, key, text, width))
-    later = later_windows(seen).select(F.col("id").alias("w_key"), F.col("mark").alias("w_text"), "places")
+    later = stored(later_windows(seen)).select(F.col("id").alias("w_key"), F.col("mark").alias("w_text"), "places")
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("r_key"), F.xxhash64(text).alias("r_text"))
-    met = _numbered(rows, seen).join(later, _same("r", "w"), "left").select("row", F.coalesce("whole", "places").alias("places"))
+    met = _with_places(rows, seen, later)
     covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.array(*(p + k for k in range(width))))))
     met = once(met, removed=F.when(F.col("places").isNotNull(), F.sort_array(covered)), _l=F.split(f"row.{text}", "\n"))
     left = F.array_except(F.sequence(F.lit(1), F.size("_l")), F.col("removed"))
