@@ -23,11 +23,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.once import once
-from ..session import release, stored
+from ..session import release, stored, written
 from .common import words
 from .graph import components
 
@@ -41,8 +41,10 @@ _PROBE_COST = 300.0
 _MOST = 3
 #: Fingerprints that the number of parts is chosen by; results do not depend on it.
 TUNING_ROWS = 2000
-#: Texts whose shingles are counted, and shingles known as common, for the order of shingles; results do not depend on them.
-COUNTED_TEXTS, COMMON_SHINGLES = 10_000, 100_000
+#: Cells that the shingles of all texts are counted in, for the order of shingles, a power of two; results do not depend on it.
+ORDER_CELLS = 1 << 18
+#: Most bits of a text's parities, a power of two; longer texts share bits, which lets more pairs be compared.
+_PARITY_BITS = 1 << 13
 #: Codes of texts that a task remembers.
 _RECENT = 1 << 17
 #: Against rounding of bounds; lets more pairs be compared.
@@ -334,33 +336,84 @@ def _in_batches(rows: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
 
 
-def common_shingles(bodies: DataFrame, total: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, in order, found most often among some of the texts (``code``, ``body``), and how often; bounded, whatever the input."""
-    share = F.pmod(F.xxhash64(F.lit("some"), "code"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, COUNTED_TEXTS / max(total, 1)))
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Longs whose bits tell, for every rest of the shingles by the number of bits, if an odd number of shingles has it.
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _in_batches(((s,) for _, s in _each_text(batches, width)), ["shingle"])
+    A shingle that only one of two texts has turns one bit, so texts differ in at least as many shingles as bits. There
+    are about as many bits as shingles; those of twice the number fold into fewer, as rests do.
+    """
+    n = min(_PARITY_BITS, max(64, 1 << max(0, len(shingles) - 1).bit_length()))
+    odd = np.bincount(shingles & (n - 1), minlength=n).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
 
-    counts = bodies.where(share).mapInArrow(listed, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    found = sorted((r["shingle"], r["n"]) for r in counts.orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).collect())
-    return np.array([x for x, _ in found], dtype=np.int64), np.array([n for _, n in found], dtype=np.int64)
 
+def profiles(texts: DataFrame, width: int, words_each: int) -> DataFrame:
+    """Of texts (``who`` with ``code``, ``body``), in one pass over them: a row per text with ``fp``, ``n``, its different shingles of
+    ``words_each`` words, and their ``parity``; and rows without ``who`` that count, by ``cell``, the shingles of a task's different texts."""
+    cells = ORDER_CELLS
 
-def prefixes(bodies: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, similarity: float) -> DataFrame:
-    """Per text (``code``, ``body``) its first shingles, rarest first: ``shingle``, ``code``, ``at``, its place, and ``n``, shingles of the text.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, waiting, n_waiting, recent = np.zeros(cells, dtype=np.int64), [], 0, set()
+        who_type = None
+        for batch in batches:
+            who_type = batch.schema.field(0).type
+            bodies = batch.column(1).cast(pa.large_binary())
+            fps, sizes, odd = [], [], []
+            for code, body in zip(batch.column(0).field("code").to_pylist(), bodies, strict=True):
+                data = body.as_py()
+                s = shingle_hashes(data, words_each)
+                fps.append(fingerprint(data, width))
+                sizes.append(len(s))
+                odd.append(parities(s))
+                if code not in recent:
+                    if len(recent) >= _RECENT:
+                        recent.clear()
+                    recent.add(code)
+                    waiting.append(s & (cells - 1))
+                    n_waiting += len(s)
+                    if n_waiting >= cells:
+                        total += np.bincount(np.concatenate(waiting), minlength=cells)
+                        waiting, n_waiting = [], 0
+            if fps:
+                none = pa.nulls(len(fps), pa.int64())
+                yield _profiled(batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(odd, pa.list_(pa.int64())), none.cast(pa.int32()), none)
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=cells)
+        used = np.flatnonzero(total)
+        for start in range(0, len(used), _CHUNK):
+            at = used[start : start + _CHUNK]
+            k = len(at)
+            yield _profiled(pa.nulls(k, who_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64())), pa.array(at, pa.int32()), pa.array(total[at]))
+
+    who = texts.schema["who"].dataType.simpleString()
+    return texts.select("who", "body").mapInArrow(run, f"who {who}, fp long, n int, parity array<bigint>, cell int, times long")
+
+
+def _profiled(*columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=["who", "fp", "n", "parity", "cell", "times"])
+
+
+def cell_counts(profiled: DataFrame) -> np.ndarray:
+    """How many shingles of all texts fall in each cell; always ``ORDER_CELLS`` counts."""
+    out = np.zeros(ORDER_CELLS, dtype=np.int64)
+    found = profiled.where("cell is not null").groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
+    out[found["cell"].to_numpy()] = found["times"].to_numpy()
+    return out
+
+
+def prefixes(bodies: DataFrame, often: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """Per text (``code``, ``body``) its first shingles, rarest cell first: ``shingle``, ``code``, ``at``, its place, and ``n``, shingles of the text.
 
     Texts with a Jaccard similarity of ``similarity`` or more have one of them in common, whatever order all texts share.
     Blank texts have one row with ``n`` 0.
     """
-    known, often = common
+    last = len(often) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[np.ndarray, ...]]:
             for code, s in _each_text(batches, width):
                 n = len(s)
-                if len(known) and n:
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")]
+                s = s[np.argsort(often[s & last], kind="stable")]
                 first = s[: n - math.ceil(similarity * n - _SLACK) + 1] if n else np.zeros(1, dtype=np.int64)
                 yield first, np.full(len(first), code), np.arange(len(first), dtype=np.int32), np.full(len(first), n, dtype=np.int32)
 
@@ -369,12 +422,37 @@ def prefixes(bodies: DataFrame, common: tuple[np.ndarray, np.ndarray], width: in
     return bodies.mapInArrow(run, "shingle long, code long, at int, n int")
 
 
+def _may_be_alike(n: str, parity: str, other_n: str, other_parity: str, similarity: float) -> Column:
+    """If sizes and parities of two texts leave room for the similarity; true for all that have it."""
+    p, q = F.col(parity), F.col(other_parity)
+    k = F.least(F.size(p), F.size(q))
+
+    def folded(x: Column) -> Column:  # alike sizes differ by less than two, so there is one half to fold at most
+        halves = F.zip_with(F.slice(x, F.lit(1), k), F.slice(x, k + 1, k), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(x) > k, halves).otherwise(x)
+
+    turned = F.aggregate(F.zip_with(folded(p), folded(q), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    both = F.col(n) + F.col(other_n)
+    sized = F.least(n, other_n) >= F.lit(similarity) * F.greatest(n, other_n) - _SLACK
+    # With similarity t the texts differ in (1 - t) / (1 + t) of their shingles, one by one, at most.
+    return F.when(sized, turned <= F.lit((1 - similarity) / (1 + similarity)) * both + _SLACK).otherwise(F.lit(False))
+
+
+def _plausible(pairs: DataFrame, texts: DataFrame, similarity: float, by: str = "mark") -> DataFrame:
+    """Of pairs ``a``, ``b`` (marks or codes) those of different groups that may be alike, as pairs ``x``, ``y`` of marks."""
+    left = texts.select(F.col(by).alias("a"), F.col("mark").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("parity").alias("px"))
+    right = texts.select(F.col(by).alias("b"), F.col("mark").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("parity").alias("py"))
+    met = pairs.join(left, "a").join(right, "b").where("rx != ry")
+    return met.where(_may_be_alike("nx", "px", "ny", "py", similarity)).select("x", "y")
+
+
 def _alike(pairs: DataFrame, marked: DataFrame, words_each: int, similarity: float) -> DataFrame:
     """Of pairs ``x``, ``y`` of marks, those whose sets of shingles have the similarity."""
     pairs = stored(pairs)
-    involved = pairs.select(F.col("x").alias("_mark")).union(pairs.select("y")).distinct()
+    # A table, so that the planner knows its size: texts are not shuffled for a short list.
+    involved = written(pairs.select(F.col("x").alias("_m")).union(pairs.select("y")).distinct(), "compared")
     # Sets only of texts that have a candidate, once per text.
-    bodies = marked.select("_mark", "_body").join(involved, "_mark", "left_semi").dropDuplicates(["_mark"])
+    bodies = marked.select("_mark", "_body").join(involved, F.col("_mark") == F.col("_m"), "left_semi").dropDuplicates(["_mark"])
     sets = stored(with_shingles(bodies.select(F.col("_mark").alias("mark"), F.col("_body").alias("body")), "body", words_each))
     left, right = sets.select(F.col("mark").alias("x"), F.col("s").alias("sx")), sets.select(F.col("mark").alias("y"), F.col("s").alias("sy"))
     both = F.size(F.array_intersect("sx", "sy"))
@@ -385,17 +463,33 @@ def _alike(pairs: DataFrame, marked: DataFrame, words_each: int, similarity: flo
 def _grouped(texts: DataFrame, alike: DataFrame) -> DataFrame:
     """Texts with ``root``, the name of their group."""
     groups = components(alike, "x", "y")
-    return texts.join(groups, F.col("mark") == F.col("node"), "left").select(*texts.columns, F.coalesce("root", "mark").alias("root"))
+    own = [c for c in texts.columns if c != "root"]
+    return texts.select(*own).join(groups, F.col("mark") == F.col("node"), "left").select(*own, F.coalesce("root", "mark").alias("root"))
+
+
+def shared_prefixes(rows: DataFrame) -> DataFrame:
+    """Rows of ``prefixes`` whose shingle several texts have, each text once, with ``first``, the least text of the shingle.
+
+    The least and the largest text of a shingle come from an aggregation, combined in each task, and rows meet them in
+    a join that adaptive execution splits, so a shingle that a third of all texts has is in no single task.
+    """
+    place = F.struct("code", "n", "at")
+    ends = rows.groupBy(F.col("shingle").alias("t")).agg(F.min(place).alias("first"), F.max("code").alias("last"))
+    ends = written(ends.where("first.code != last").drop("last"), "ends")
+    return rows.join(ends, F.col("shingle") == F.col("t")).select("shingle", "code", "at", "n", "first")
+
+
+def _fits(n: str, at: str, other_n: str, other_at: str, similarity: float) -> Column:
+    """If the shingles from a common one on are enough for the similarity."""
+    left = F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at))
+    return left >= F.lit(similarity / (1 + similarity)) * (F.col(n) + F.col(other_n)) - _SLACK
 
 
 def _with_first(shared: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of marks: each text with the first text that shares a shingle, if they may be alike by its places and are not of one group already."""
-    left = F.least(F.col("n") - F.col("at"), F.col("first.n") - F.col("first.at"))
-    fits = left >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("first.n")) - _SLACK
+    """Pairs of marks: each text with the first text that shares a shingle, if they may be alike and are not of one group already."""
+    fits = _fits("n", "at", "first.n", "first.at", similarity)
     pairs = shared.where((F.col("code") != F.col("first.code")) & fits).select(F.col("first.code").alias("a"), F.col("code").alias("b")).distinct()
-    left = texts.select(F.col("code").alias("a"), F.col("mark").alias("x"), F.col("root").alias("rx"))
-    right = texts.select(F.col("code").alias("b"), F.col("mark").alias("y"), F.col("root").alias("ry"))
-    return pairs.join(left, "a").join(right, "b").where("rx != ry").select("x", "y")
+    return _plausible(pairs, texts, similarity, "code")
 
 
 def _between_groups(shared: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -404,16 +498,16 @@ def _between_groups(shared: DataFrame, texts: DataFrame, similarity: float) -> D
     Texts outside the most frequent group of a shingle meet all others; that group's texts do not meet each other.
     """
     own = texts.select(F.col("code").alias("c"), "mark", "root")
-    rows = stored(shared.join(own, F.col("code") == F.col("c")).select("shingle", "at", "n", "mark", "root"))
+    rows = stored(shared.join(own, F.col("code") == F.col("c")).select("shingle", "at", "n", "mark", "root").dropDuplicates(["shingle", "mark"]))
     counts = rows.groupBy("shingle", "root").agg(F.count("*").alias("m"))
     main = counts.groupBy(F.col("shingle").alias("t")).agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
     rows = stored(rows.join(main, F.col("shingle") == F.col("t")).drop("t", "kinds"))
     a, b = rows.where("root != main").alias("a"), rows.alias("b")
-    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    fits = left >= F.lit(similarity / (1 + similarity)) * (F.col("a.n") + F.col("b.n")) - _SLACK
     once_each = (F.col("b.root") == F.col("b.main")) | (F.col("a.mark") < F.col("b.mark"))
+    fits = _fits("a.n", "a.at", "b.n", "b.at", similarity)
     met = a.join(b.hint("merge"), (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") != F.col("b.root")) & once_each & fits)
-    return met.select(F.least("a.mark", "b.mark").alias("x"), F.greatest("a.mark", "b.mark").alias("y")).distinct()
+    pairs = met.select(F.least("a.mark", "b.mark").alias("a"), F.greatest("a.mark", "b.mark").alias("b")).distinct()
+    return _plausible(pairs, texts, similarity)
 
 
 def distinct_texts(
@@ -426,31 +520,37 @@ def distinct_texts(
     fingerprints (of ``width`` words) lie within ``radius`` bits, the first text standing for its fingerprint, are
     compared, which joins most of a large group of near copies. Each text's rarest shingles, as many as leave none
     without one in common with a text alike, are then shared shingles: every text is compared with the first that has the
-    shingle, and after that with all that have it and are not of its group. The fingerprints and the order of shingles
-    change what is compared, not the result. A null id is larger than any other; rows of one text with the same id, or
-    all without, stay together. Of all groups, that of texts without words is one.
+    shingle, and after that with all that have it and are not of its group. The fingerprints and the order of shingles,
+    by counts of all texts in a fixed number of cells, change what is compared, not the result. Pairs whose parities of
+    shingles differ in too many bits are not alike and are passed over before any set is built.
+
+    Nulls and empty texts are texts without words, of which all are one group. A null id is larger than any other; rows of
+    one text with the same id, or all without, stay together, repeated rows too. Ties go to the text of smallest hash. A
+    very long text is read whole; its row, its set and each set it is compared with must fit in a task. An empty table
+    gives an empty result; columns of other names are kept as they are.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    marked = docs.select(F.struct("*").alias("row"), F.col(key).alias("_id"), body.alias("_body"), F.sha2(body.cast("binary"), 256).alias("_mark"))
+    # 128 bits stand for a text.
+    mark = F.unhex(F.substring(F.sha2(body.cast("binary"), 256), 1, 32))
+    marked = docs.select(F.struct("*").alias("row"), F.col(key).alias("_id"), body.alias("_body"), mark.alias("_mark"))
     who = F.struct(F.col("_id").alias("id"), F.col("_mark").alias("mark"), F.xxhash64("_body").alias("code")).alias("who")
-    seen = stored(fingerprints(marked.select(who, "_body"), "who", "_body", width))
-    texts = stored(seen.groupBy("who.mark").agg(F.min("who.id").alias("least"), F.min("fp").alias("fp"), F.min("who.code").alias("code")))
+    seen = stored(profiles(marked.select(who, F.col("_body").alias("body")), width, words_each))
+    often = cell_counts(seen)
+    each = seen.where("cell is null").groupBy("who.mark").agg(
+        F.min("who.id").alias("least"), *(F.min(c).alias(n) for c, n in (("fp", "fp"), ("who.code", "code"), ("n", "n"), ("parity", "parity")))
+    )
+    texts = stored(each.withColumn("root", F.col("mark")))
     first = stored(texts.groupBy("fp").agg(F.min("mark").alias("first"), F.count("*").alias("n")))
     near = links(first.select("fp"), radius)
     across = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
     within = texts.join(first.where("n > 1").select(F.col("fp").alias("f"), "first"), F.col("fp") == F.col("f")).where("mark != first").select(F.col("first").alias("x"), F.col("mark").alias("y"))
-    alike = _alike(across.union(within), marked, words_each, similarity)
-    texts = texts.select("mark", "least", "code")
+    texts = texts.drop("fp")
+    alike = _alike(_plausible(across.union(within).toDF("a", "b"), texts, similarity), marked, words_each, similarity)
     del seen, first, near, across, within
     release(docs.sparkSession)
 
     bodies = marked.select(F.xxhash64("_body").alias("code"), F.col("_body").alias("body"))
-    common = common_shingles(bodies, texts.count(), words_each)
-    sharing = Window.partitionBy("shingle")
-    place = F.struct("code", "n", "at")
-    found = prefixes(bodies, common, words_each, similarity).select("*", F.min(place).over(sharing).alias("first"), F.max("code").over(sharing).alias("last"))
-    shared = stored(found.where("first.code != last").select("shingle", "code", "at", "n", "first").dropDuplicates(["shingle", "code"]))
-    del found
+    shared = stored(shared_prefixes(prefixes(bodies, often, words_each, similarity)))
     for candidates in (_with_first, _between_groups):
         release(docs.sparkSession)
         grouped = stored(_grouped(texts, alike))

@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from tallygrove.llm import simhash
@@ -105,11 +106,47 @@ def test_large_group_and_chains(spark):
     assert _kept(spark, rows) == brute_force(rows)
 
 
-@pytest.mark.parametrize("counted", [1, 50])
-def test_order_of_shingles_changes_nothing(spark, monkeypatch, counted):
-    monkeypatch.setattr(simhash, "COUNTED_TEXTS", counted)
+@pytest.mark.parametrize("cells", [1, 64])
+def test_order_of_shingles_changes_nothing(spark, monkeypatch, cells):
+    monkeypatch.setattr(simhash, "ORDER_CELLS", cells)
     rng = random.Random(8)
     base = [_prose(rng, 80) for _ in range(12)]
     line = _prose(rng, 30)
     rows = [(k, " ".join(x + line)) for k, x in enumerate(base + [_copy(rng, x, 0.8) for x in base])]
     assert _kept(spark, rows) == brute_force(rows)
+
+
+def test_common_passages_are_not_compared_in_pairs(spark, monkeypatch):
+    # Unlike texts with one passage, which few of all texts have; listed in pairs they would be 79,800.
+    rng = random.Random(9)
+    passage = _prose(rng, 40)
+    rows = [(k, " ".join(_prose(rng, 90) + (passage if k < 400 else []))) for k in range(2000)]
+    compared, plausible = [], simhash._plausible
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return plausible(pairs, *more)
+
+    monkeypatch.setattr(simhash, "_plausible", counted)
+    assert _kept(spark, rows) == [k for k, _ in rows]
+    assert sum(compared) < 4000
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(10)
+    long = _prose(rng, 60_000)
+    near, far = [*long[:30_000], "other", *long[30_001:]], [*long[:20_000], *_prose(rng, 40_000)]
+    rows = [(k, " ".join(x)) for k, x in enumerate((long, near, far))] + [(3, "One two"), (4, None)]
+    assert _kept(spark, rows) == brute_force(rows) == [0, 2, 3, 4]
+
+
+def test_parities_never_pass_over_a_pair():
+    rng = random.Random(11)
+    for n in (1, 5, 63, 64, 65, 500, 9000):
+        words = _prose(rng, n + 4)
+        one = simhash.shingle_hashes(" ".join(words).encode(), 5)
+        other = simhash.shingle_hashes(" ".join(words[: n // 2] + _prose(rng, max(1, n // 9)) + words[n // 2 :]).encode(), 5)
+        p, q = simhash.parities(one), simhash.parities(other)
+        while len(p) != len(q):
+            p, q = (x if len(x) == min(len(p), len(q)) else x[: len(x) // 2] ^ x[len(x) // 2 :] for x in (p, q))
+        assert sum(bin(int(x) & (1 << 64) - 1).count("1") for x in p ^ q) <= len(np.setxor1d(one, other))
