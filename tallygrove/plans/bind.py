@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Narrow rows that grow wide in later steps, dealt out by key to tasks of about so many rows: a small file is few tasks."""
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(c), digits).alias(c) if c in names else F.col(c) for c in df.columns])
 

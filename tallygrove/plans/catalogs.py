@@ -13,10 +13,12 @@ from ..session import scratch_path, stored
 from ..sources import documents as d
 from ..sources import tables as st
 from . import query
-from .bind import table
+from .bind import spread, table
 
 _URL = "http://example.org/StructureDefinition/"
 _CODES = [*TYPE_NAMES, "other"]
+#: Documents that one task makes; each is far longer than its part is in the file.
+_DOCUMENTS_PER_TASK = 20_000
 
 
 # ---- the made documents, in Spark ----
@@ -74,7 +76,8 @@ def _element(j: Column) -> Column:
 def document_texts(spark, sf_dir) -> DataFrame:
     """JSON text and path of one document per part."""
     k, size = F.col("k"), F.col("p_size")
-    parts = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey")).withColumn("t", _key(F.col("k")))
+    given = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    parts = spread(given, _DOCUMENTS_PER_TASK, "p_partkey").withColumn("k", F.col("p_partkey")).withColumn("t", _key(F.col("k")))
     none = F.lit(None).cast("string")
 
     def extension(url: str, text: Column, canonical: Column = none, code: Column = none, sub: Column | None = None) -> Column:
