@@ -31,6 +31,9 @@ PLAIN_BLOCK = r"(?s)```[\s\x1c-\x1f\x85\p{Z}]*\n(.*?)```"
 SQL_WORDS = ("SELECT", "WITH", "INSERT", "CREATE")
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 RULE_LINE = r"^[\s\x1c-\x1f\x85\p{Z}|+-]+$"
+#: In whole texts: a line end or a pipe with the space around it, and all from the first row of a pipe table on.
+CELL_EDGE = r"[\t\x0b\f\r\x1c-\x1f\x85\p{Z}]*+([\n|])[\t\x0b\f\r\x1c-\x1f\x85\p{Z}]*+"
+FROM_FIRST_ROW = r"(?dm)^(?![\t\x0b\f\r\x1c-\x1f\x85\p{Z}|+-]*+(?:\n|\z))[^\n]*\|(?s:.*)"
 ERROR_CODE = r"(?s)^(.*?)\p{Nd}{3}[\s\x1c-\x1f\x85\p{Z}]+"
 CSV_AFTER = r"(?s)rows returned.*?\n\n(.*)"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +17,8 @@ def once(df: DataFrame, **values: Column) -> DataFrame:
     for name, value in values.items():
         df = df.select("*", F.explode_outer(F.array(value)).alias(name))
     return df
+
+
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """A value computed once within an expression, however often ``use`` names it; cheaper than a column of its own."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

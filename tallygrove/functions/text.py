@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import (
-    CSV_AFTER, ERROR_CODE, ERROR_LENGTH, ERROR_TAIL, PLAIN_BLOCK, RULE_LINE, SPACE, SQL_BLOCK, SQL_WORDS,
+    CELL_EDGE, CSV_AFTER, ERROR_CODE, ERROR_LENGTH, ERROR_TAIL, FROM_FIRST_ROW, PLAIN_BLOCK, RULE_LINE, SPACE, SQL_BLOCK, SQL_WORDS,
 )
+from .once import named
 
 
 def strip(text: Column) -> Column:
@@ -53,9 +54,15 @@ def is_pipe_row(line: Column) -> Column:
     return line.contains("|") & ~line.rlike(RULE_LINE)
 
 
-def pipe_cells(line: Column) -> Column:
-    """Non-empty cells of one pipe row."""
-    return F.filter(F.transform(F.split(line, "\\|"), strip), lambda c: c != "")
+def pipe_table(text: Column) -> Column:
+    """Cells of the first pipe table, header first: from its first row to the next blank line, rows as wide as the header.
+
+    Space around lines and cells goes in one pass over the text; what is not part of the table is never split.
+    """
+    rest = F.regexp_extract(F.regexp_replace(strip(text), CELL_EDGE, "$1"), FROM_FIRST_ROW, 0)
+    lines = F.filter(F.split(F.substring_index(rest, "\n\n", 1), "\n"), is_pipe_row)
+    rows = F.transform(lines, lambda x: F.filter(F.split(x, "\\|"), lambda c: c != ""))
+    return named(rows, lambda t: F.filter(t, lambda r: F.size(r) == F.size(F.get(t, F.lit(0)))))
 
 
 def csv_after_marker(text: Column) -> Column:
@@ -84,3 +91,9 @@ def csv_cells(record: Column) -> Column:
             F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"')),
         ).otherwise(cell),
     )
+
+
+def csv_table(text: Column) -> Column:
+    """Fields of the CSV behind the row-count line, header first; NULL where a record is longer than the header."""
+    records = F.transform(csv_records(csv_after_marker(text)), csv_cells)
+    return named(records, lambda t: F.when(F.forall(t, lambda r: F.size(r) <= F.size(F.get(t, F.lit(0)))), t))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.once import once
-from ..functions.text import csv_after_marker, csv_cells, csv_records, is_pipe_row, pipe_cells, sql_block, strip
+from ..functions.once import named
+from ..functions.text import csv_table, pipe_table, sql_block
 
 
 def extract_sql(texts: DataFrame, text: str, name: str = "sql") -> DataFrame:
@@ -21,37 +21,19 @@ def table_cells(texts: DataFrame, text: str, keys: list[str]) -> DataFrame:
     filled with missing values. Each text is taken apart in its own row, so nothing is shuffled.
     """
     source = F.col(text)
-    start = texts.where(source.contains("|") | source.contains("rows returned")).select(*keys, source.alias("text"))
-    lined = once(start, lines=F.transform(F.split(strip(F.col("text")), "\n"), strip))
-    kinds = F.transform(
-        "lines", lambda x: F.when(is_pipe_row(x), "row").when(x == "", "blank").otherwise("other")
-    )
-    lined = once(lined, kinds=kinds)
-    lined = once(lined, first=F.array_position("kinds", "row").cast("int"))
-    rest = F.filter(
-        F.arrays_zip("lines", "kinds"), lambda x, i: (i + 1 >= F.col("first")) & (F.col("first") > 0)
-    )
-    lined = once(lined, rest=rest)
-    lined = once(lined, end=F.array_position("rest.kinds", "blank").cast("int"))
-    piped = F.filter("rest", lambda x, i: (x["kinds"] == "row") & ((F.col("end") == 0) | (i + 1 < F.col("end"))))
-    cells = once(lined, pipe=F.transform(piped, lambda x: pipe_cells(x["lines"]))).select(*keys, "text", "pipe")
-    cells = once(cells, width=F.size(F.get("pipe", F.lit(0))))
-    fitting = F.filter("pipe", lambda r, i: (i > 0) & (F.size(r) == F.col("width")))
-    cells = once(cells, fitting=fitting)
+    start = texts.where(source.contains("|") | source.contains("rows returned"))
     # The CSV part is only looked for in texts without a pipe table.
-    csv = F.when(F.size("fitting") <= 0, csv_after_marker(F.col("text")))
-    cells = once(cells, csv=F.transform(csv_records(csv), csv_cells))
-    cells = once(cells, csv_width=F.size(F.get("csv", F.lit(0))))
-    whole = F.forall("csv", lambda r: F.size(r) <= F.col("csv_width"))
-    chosen = cells.select(
-        *keys,
-        F.when(F.size("fitting") > 0, F.get("pipe", F.lit(0))).otherwise(F.get("csv", F.lit(0))).alias("head"),
-        F.when(F.size("fitting") > 0, F.col("fitting"))
-        .when(whole, F.filter("csv", lambda r, i: i > 0))
-        .alias("rows"),
+    found = named(pipe_table(source), lambda t: F.when(F.size(t) > 1, t).otherwise(csv_table(source)))
+    rows = named(
+        found,
+        lambda t: F.transform(
+            F.slice(t, F.lit(2), F.size(t)), lambda r: F.struct(F.get(t, F.lit(0)).alias("head"), r.alias("cells"))
+        ),
     )
-    rows = chosen.select(*keys, "head", F.posexplode("rows").alias("row_no", "cells"))
-    pairs = F.arrays_zip(F.col("head").alias("name"), F.col("cells").alias("value"))
-    return rows.select(*keys, "row_no", F.posexplode(pairs).alias("column_no", "c")).select(
+    # Not exploding to nothing: that would bring in filters that work the whole expression out again.
+    listed = start.select(*keys, F.posexplode_outer(rows).alias("row_no", "r")).where(F.col("row_no").isNotNull())
+    pairs = F.arrays_zip(F.col("r.head").alias("name"), F.col("r.cells").alias("value"))
+    cells = listed.select(*keys, "row_no", F.posexplode_outer(pairs).alias("column_no", "c"))
+    return cells.where(F.col("column_no").isNotNull()).select(
         *keys, "row_no", "column_no", F.col("c.name").alias("column_name"), F.col("c.value").alias("value")
     )
