@@ -315,7 +315,7 @@ def resolved_tables(spark, sf_dir):
         FROM links JOIN named AS s ON s.table_name = links.table_name LEFT JOIN named AS g ON g.table_name = links.target_table""",
 )
 def resolved_links(spark, sf_dir):
-    tables = stored(_tables(spark, sf_dir))
+    tables = stored(_tables(spark, sf_dir).drop("columns"))
     return c.resolve_links(c.catalog_links(tables), c.resolve_names(tables, _listing(spark, sf_dir)))
 
 

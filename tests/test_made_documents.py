@@ -28,3 +28,11 @@ def test_spread_keeps_every_row(spark):
     assert sorted(spread(given, 2, "k").collect(), key=repr) == sorted(given.collect(), key=repr)
     assert spread(given, 2, "k").rdd.getNumPartitions() == 2
     assert spread(given.limit(0), 2, "k").count() == 0
+
+
+def test_links_are_resolved_without_stored_columns(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(catalogs, "stored", lambda df: kept.append(df.columns) or df)
+    _parts(spark, tmp_path, 100)
+    links = catalogs.resolved_links(spark, str(tmp_path))
+    assert len(kept) == 1 and "columns" not in kept[0] and "link_urls" in kept[0] and links.count() > 10
