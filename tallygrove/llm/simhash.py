@@ -439,15 +439,15 @@ def _may_be_alike(n: str, parity: str, other_n: str, other_parity: str, similari
 
 
 def _plausible(pairs: DataFrame, texts: DataFrame, similarity: float, by: str = "mark") -> DataFrame:
-    """Of pairs ``a``, ``b`` (marks or codes) those of different groups that may be alike, as pairs ``x``, ``y`` of marks."""
+    """Of pairs ``a``, ``b`` (marks or codes) those of different groups that may be alike, as pairs ``x``, ``y`` of marks with their groups ``rx``, ``ry``."""
     left = texts.select(F.col(by).alias("a"), F.col("mark").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("parity").alias("px"))
     right = texts.select(F.col(by).alias("b"), F.col("mark").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("parity").alias("py"))
     met = pairs.join(left, "a").join(right, "b").where("rx != ry")
-    return met.where(_may_be_alike("nx", "px", "ny", "py", similarity)).select("x", "y")
+    return met.where(_may_be_alike("nx", "px", "ny", "py", similarity)).select("x", "y", "rx", "ry")
 
 
 def _alike(pairs: DataFrame, marked: DataFrame, words_each: int, similarity: float) -> DataFrame:
-    """Of pairs ``x``, ``y`` of marks, those whose sets of shingles have the similarity."""
+    """Of pairs ``x``, ``y`` of marks, all columns, those whose sets of shingles have the similarity."""
     pairs = stored(pairs)
     # A table, so that the planner knows its size: texts are not shuffled for a short list.
     involved = written(pairs.select(F.col("x").alias("_m")).union(pairs.select("y")).distinct(), "compared")
@@ -457,14 +457,17 @@ def _alike(pairs: DataFrame, marked: DataFrame, words_each: int, similarity: flo
     left, right = sets.select(F.col("mark").alias("x"), F.col("s").alias("sx")), sets.select(F.col("mark").alias("y"), F.col("s").alias("sy"))
     both = F.size(F.array_intersect("sx", "sy"))
     every = F.size("sx") + F.size("sy") - both
-    return stored(pairs.join(left, "x").join(right, "y").where((every == 0) | (both >= F.lit(similarity) * every)).select("x", "y"))
+    return stored(pairs.join(left, "x").join(right, "y").where((every == 0) | (both >= F.lit(similarity) * every)).select(*pairs.columns))
 
 
 def _grouped(texts: DataFrame, alike: DataFrame) -> DataFrame:
-    """Texts with ``root``, the name of their group."""
-    groups = components(alike, "x", "y")
+    """Texts with ``root``, the name of their group, the least mark in it, once groups with texts that are alike are one.
+
+    Only names of groups are linked: what earlier links joined is not gone through again.
+    """
+    groups = components(alike, "rx", "ry").withColumnRenamed("root", "_new")
     own = [c for c in texts.columns if c != "root"]
-    return texts.select(*own).join(groups, F.col("mark") == F.col("node"), "left").select(*own, F.coalesce("root", "mark").alias("root"))
+    return texts.join(groups, F.col("root") == F.col("node"), "left").select(*own, F.coalesce("_new", "root").alias("root"))
 
 
 def shared_prefixes(rows: DataFrame) -> DataFrame:
@@ -553,9 +556,9 @@ def distinct_texts(
     shared = stored(shared_prefixes(prefixes(bodies, often, words_each, similarity)))
     for candidates in (_with_first, _between_groups):
         release(docs.sparkSession)
-        grouped = stored(_grouped(texts, alike))
-        alike = stored(alike.union(_alike(candidates(shared, grouped, similarity), marked, words_each, similarity)))
-    del shared, grouped
+        texts = stored(_grouped(texts, alike))
+        alike = _alike(candidates(shared, texts, similarity), marked, words_each, similarity)
+    del shared
     release(docs.sparkSession)
     ranked = _grouped(texts, alike)
     best = ranked.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "mark")).alias("best"))

@@ -150,3 +150,13 @@ def test_parities_never_pass_over_a_pair():
         while len(p) != len(q):
             p, q = (x if len(x) == min(len(p), len(q)) else x[: len(x) // 2] ^ x[len(x) // 2 :] for x in (p, q))
         assert sum(bin(int(x) & (1 << 64) - 1).count("1") for x in p ^ q) <= len(np.setxor1d(one, other))
+
+
+def test_joined_groups_are_not_linked_again(spark, monkeypatch):
+    rng, given, components = random.Random(5), [], simhash.components
+    rows = [(i, " ".join(_prose(rng, 60))) for i in range(20)]
+    rows += [(20 + i, t + " more") for i, t in rows]
+    monkeypatch.setattr(simhash, "components", lambda links, a, b: given.append(links.count()) or components(links, a, b))
+    kept = simhash.distinct_texts(_frame(spark, rows))
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute_force(rows) == list(range(20))
+    assert len(given) == 3 and sum(given) == 20  # each pair is linked once, not in every step after it
