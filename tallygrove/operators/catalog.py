@@ -104,11 +104,12 @@ def _sub_of_element(element: Column, words: Vocabulary) -> Column:
     return _sub(element["extension"], words.semantics, "measurement-method")
 
 
-def parse_tables(documents: DataFrame, words: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+def parse_tables(documents: DataFrame, words: Vocabulary = DEFAULT_VOCABULARY, tasks: int | None = None) -> DataFrame:
     """One row per described table, its columns and links nested; a later document of the same table wins.
 
     Everything about a document stays in its own row, so the one shuffle is the choice among
-    documents of the same table name, which is combined before it.
+    documents of the same table name, which is combined before it. Tasks after it sort wide rows; where their number
+    is known to the caller, ``tasks`` of them share the tables by name, and documents are combined after the shuffle.
     """
     name = _first(_sub(F.col("extension"), words.table_name, "table-name"))["valueString"]
     security = F.filter(F.col("meta.security"), lambda s: s["system"].contains("Confidentiality"))
@@ -142,6 +143,8 @@ def parse_tables(documents: DataFrame, words: Vocabulary = DEFAULT_VOCABULARY) -
         )
     )
     fields = [c for c in parsed.columns if c != "table_name"]
+    if tasks:
+        parsed = parsed.repartition(tasks, "table_name")
     return (
         parsed.groupBy("table_name")
         .agg(F.max_by(F.struct(*fields), "doc_path").alias("t"), F.min("doc_path").alias("first_path"))
@@ -157,12 +160,15 @@ def catalog_columns(tables: DataFrame) -> DataFrame:
 
 
 def catalog_links(tables: DataFrame) -> DataFrame:
-    """One row per link; the target is the last table that has the URL, or NULL."""
+    """One row per link; the target is the last table that has the URL, or NULL.
+
+    Owners are as many as tables. Their size is estimated far too low, and adaptive execution does not take back a broadcast.
+    """
     links = tables.select("table_name", F.posexplode("link_urls").alias("position", "target_url"))
     owners = tables.groupBy(F.col("profile_url").alias("target_url")).agg(
         F.max_by("table_name", "first_path").alias("target_table")
     )
-    return links.join(owners, "target_url", "left").select("table_name", "position", "target_url", "target_table")
+    return links.join(owners.hint("merge"), "target_url", "left").select("table_name", "position", "target_url", "target_table")
 
 
 def actual_names(listed: DataFrame) -> DataFrame:
@@ -209,11 +215,14 @@ def resolve_links(links: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def with_targets(tables: DataFrame, links: DataFrame) -> DataFrame:
-    """Tables with an array of link targets in order; a document's own links are all that gather per table."""
+    """Tables with an array of link targets in order; a document's own links are all that gather per table.
+
+    Targets grow with the tables and are not broadcast, as owners of links are not.
+    """
     targets = links.groupBy("table_name").agg(
         F.array_sort(F.collect_list(F.struct("position", "target_url", "target_table"))).alias("links")
     )
-    return tables.join(targets, "table_name", "left").withColumn("links", F.coalesce("links", F.array()))
+    return tables.join(targets.hint("merge"), "table_name", "left").withColumn("links", F.coalesce("links", F.array()))
 
 
 def _lines(*parts: Column) -> Column:

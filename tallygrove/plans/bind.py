@@ -18,9 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+def tasks_of(df: DataFrame, rows: int) -> int:
+    """Number of tasks of about so many rows each."""
+    return max(1, -(-df.count() // rows))
+
+
 def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """Narrow rows that grow wide in later steps, dealt out by key to tasks of about so many rows: a small file is few tasks."""
-    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+    return df.repartition(tasks_of(df, rows), *keys)
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:

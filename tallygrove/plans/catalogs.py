@@ -13,11 +13,11 @@ from ..session import scratch_path, stored
 from ..sources import documents as d
 from ..sources import tables as st
 from . import query
-from .bind import spread, table
+from .bind import spread, table, tasks_of
 
 _URL = "http://example.org/StructureDefinition/"
 _CODES = [*TYPE_NAMES, "other"]
-#: Documents that one task makes; each is far longer than its part is in the file.
+#: Documents that one task makes or chooses among; each is far longer than its part is in the file.
 _DOCUMENTS_PER_TASK = 20_000
 
 
@@ -143,7 +143,8 @@ def document_texts(spark, sf_dir) -> DataFrame:
 
 
 def _tables(spark, sf_dir) -> DataFrame:
-    return c.parse_tables(d.parse_documents(document_texts(spark, sf_dir), "text", "path"))
+    tasks = tasks_of(table(spark, sf_dir, "part"), _DOCUMENTS_PER_TASK)
+    return c.parse_tables(d.parse_documents(document_texts(spark, sf_dir), "text", "path"), tasks=tasks)
 
 
 def _listing(spark, sf_dir) -> DataFrame:

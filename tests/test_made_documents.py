@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallygrove.operators import catalog
 from tallygrove.plans import catalogs
 from tallygrove.plans.bind import spread
 
@@ -36,3 +37,20 @@ def test_links_are_resolved_without_stored_columns(spark, tmp_path, monkeypatch)
     _parts(spark, tmp_path, 100)
     links = catalogs.resolved_links(spark, str(tmp_path))
     assert len(kept) == 1 and "columns" not in kept[0] and "link_urls" in kept[0] and links.count() > 10
+
+
+def test_tables_are_shared_by_name_over_counted_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalogs, "_DOCUMENTS_PER_TASK", 200)
+    _parts(spark, tmp_path, 4500)
+    tables = catalogs.catalog_tables(spark, str(tmp_path))
+    per_task = [r[1] for r in tables.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) == 23 and max(per_task) < 200 and sum(per_task) == tables.select("table_name").distinct().count()
+
+
+def test_tables_that_grow_with_the_documents_are_not_broadcast(spark, tmp_path):
+    _parts(spark, tmp_path, 500)
+    tables = catalogs.stored(catalogs._tables(spark, str(tmp_path)))
+    links = catalog.catalog_links(tables)
+    for found in (links, catalog.with_targets(tables, links)):
+        plan = found._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
